@@ -1,0 +1,6 @@
+"""Streaming.
+
+The analysis this library reproduces is batch only: it has no watermark,
+event-time window, state or late data.  No streaming operator is built; the
+package exists so the layout matches the other layers.
+"""
