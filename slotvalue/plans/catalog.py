@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import slots
-from slotvalue.plans.params import FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT
+from slotvalue.operators import bands, exemplars, slots
+from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
 from slotvalue.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +34,50 @@ def q_slot_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("slot", r6("avg_rank"), r6("med_rank"), "label_avg", "label_med", "highlight")
 
 
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bands.band_assign(tables.entrants(spark, sf_dir), as_of=AS_OF, max_slot=LOTTERY,
+                             years=MATURITY_YEARS)
+
+
+def q_band_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _assigned(spark, sf_dir)
+    return df.select("class_year", "slot", "id", "name", "exposure", "value", "rate",
+                     r6("mean_rate"), r6("sd_rate"), "band", "band_ord")
+
+
+def q_band_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bands.band_share(_assigned(spark, sf_dir))
+    return df.select("slot", "band", "band_ord", "count", r6("prop"), "label")
+
+
+def q_band_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bands.band_stack(bands.band_share(_assigned(spark, sf_dir)))
+    return df.select("slot", "band", "band_ord", r6("prop"), "label", r6("ymin"), r6("ymax"), r6("ymid"))
+
+
+def q_band_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = bands.band_zero_fill(bands.band_share(_assigned(spark, sf_dir)))
+    return df.select("slot", "band", "band_ord", "count", r6("prop"), "band_label")
+
+
+def _exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exemplars.exemplars(tables.entrants(spark, sf_dir), as_of=AS_OF, max_slot=LOTTERY,
+                               years=MATURITY_YEARS)
+
+
+def q_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _exemplars(spark, sf_dir)
+    return df.select("class_year", "slot", "id", "name", "exposure", "value", "rate", "rn", "n",
+                     "middle_dist", "category", "category_ord")
+
+
 QUERIES: dict[str, Query] = {
     "slot_value": q_slot_value,
     "class_rank": q_class_rank,
     "slot_rank": q_slot_rank,
+    "band_assign": q_band_assign,
+    "band_share": q_band_share,
+    "band_stack": q_band_stack,
+    "band_zero_fill": q_band_zero_fill,
+    "exemplars": q_exemplars,
 }

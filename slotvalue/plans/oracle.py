@@ -4,7 +4,7 @@ Spark results."""
 
 from __future__ import annotations
 
-from slotvalue.plans.params import FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT
+from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
 
 D = FLOAT_DIGITS
 
@@ -71,3 +71,110 @@ SELECT slot, round(avg_rank, {D}) AS avg_rank, round(med_rank, {D}) AS med_rank,
        {_flag('slot')} AS highlight
 FROM s
 """
+
+
+BAND_ORD = ("CAST(CASE band WHEN 'mega_boom' THEN 1 WHEN 'boom' THEN 2 WHEN 'role_player' THEN 3 "
+            "WHEN 'bust' THEN 4 WHEN 'mega_bust' THEN 5 END AS BIGINT)")
+MATURE = f"class_year <= year(DATE '{AS_OF}') - {MATURITY_YEARS}"
+
+ASSIGNED = f"""
+rated AS (
+  SELECT *, value / nullif(exposure, 0) AS rate
+  FROM entrants WHERE slot <= {LOTTERY} AND {MATURE}
+),
+stats AS (SELECT avg(rate) AS m, stddev_samp(rate) AS s FROM rated),
+assigned AS (
+  SELECT rated.*, stats.m AS mean_rate, stats.s AS sd_rate,
+         CASE WHEN exposure = 0 THEN 'mega_bust'
+              WHEN rate < m - s THEN 'mega_bust'
+              WHEN rate < m - 0.5 * s THEN 'bust'
+              WHEN rate < m + 0.5 * s THEN 'role_player'
+              WHEN rate < m + s THEN 'boom'
+              ELSE 'mega_boom' END AS band
+  FROM rated, stats
+)"""
+
+SHARES = f"""
+counts AS (SELECT slot, band, count(*) AS count FROM assigned GROUP BY slot, band),
+shares AS (
+  SELECT slot, band, {BAND_ORD} AS band_ord, count,
+         count / sum(count) OVER (PARTITION BY slot) AS prop
+  FROM counts
+)"""
+
+SQL["band_assign"] = f"""
+WITH {ENTRANTS}, {ASSIGNED}
+SELECT class_year, slot, id, name, exposure, value, rate,
+       round(mean_rate, {D}) AS mean_rate, round(sd_rate, {D}) AS sd_rate, band, {BAND_ORD} AS band_ord
+FROM assigned
+"""
+
+SQL["band_share"] = f"""
+WITH {ENTRANTS}, {ASSIGNED}, {SHARES}
+SELECT slot, band, band_ord, count, round(prop, {D}) AS prop,
+       printf('%.1f%%', round_even(prop * 100, 1)) AS label
+FROM shares
+"""
+
+SQL["band_stack"] = f"""
+WITH {ENTRANTS}, {ASSIGNED}, {SHARES},
+stacked AS (
+  SELECT *, sum(prop) OVER (PARTITION BY slot ORDER BY band_ord DESC
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ymax
+  FROM shares
+)
+SELECT slot, band, band_ord, round(prop, {D}) AS prop, printf('%.1f%%', round_even(prop * 100, 1)) AS label,
+       round(ymax - prop, {D}) AS ymin, round(ymax, {D}) AS ymax, round(ymax - prop / 2, {D}) AS ymid
+FROM stacked
+"""
+
+SQL["band_zero_fill"] = f"""
+WITH {ENTRANTS}, {ASSIGNED}, {SHARES},
+grid AS (
+  SELECT s.slot, b.band FROM (SELECT DISTINCT slot FROM shares) s,
+  (VALUES ('mega_boom'), ('boom'), ('role_player'), ('bust'), ('mega_bust')) b(band)
+)
+SELECT g.slot, g.band,
+       CAST(CASE g.band WHEN 'mega_boom' THEN 1 WHEN 'boom' THEN 2 WHEN 'role_player' THEN 3
+            WHEN 'bust' THEN 4 WHEN 'mega_bust' THEN 5 END AS BIGINT) AS band_ord,
+       CAST(coalesce(sh.count, 0) AS BIGINT) AS count, round(coalesce(sh.prop, 0.0), {D}) AS prop,
+       CASE g.band WHEN 'mega_boom' THEN 'Mega Boom' WHEN 'boom' THEN 'Boom'
+            WHEN 'role_player' THEN 'Role Player' WHEN 'bust' THEN 'Bust'
+            WHEN 'mega_bust' THEN 'Mega Bust' END AS band_label
+FROM grid g LEFT JOIN shares sh ON sh.slot = g.slot AND sh.band = g.band
+"""
+
+EXEMPLARS = f"""
+ex_base AS (
+  SELECT *, value / exposure AS rate FROM entrants
+  WHERE {MATURE} AND slot <= {LOTTERY} AND exposure > 0
+),
+ex_pos AS (
+  SELECT *, row_number() OVER (PARTITION BY slot ORDER BY rate ASC NULLS LAST, class_year, id) AS rn,
+         count(*) OVER (PARTITION BY slot) AS n
+  FROM ex_base
+),
+ex_dist AS (SELECT *, abs(rn - (n + 1) / 2.0) AS middle_dist FROM ex_pos),
+ex_all AS (
+  SELECT *, 'Bottom 3' AS category FROM ex_dist WHERE rn <= 3
+  UNION ALL
+  SELECT * EXCLUDE (t), 'Top 3' AS category FROM (
+    SELECT *, row_number() OVER (PARTITION BY slot ORDER BY rate DESC NULLS LAST, rn) AS t FROM ex_dist
+  ) WHERE t <= 3
+  UNION ALL
+  SELECT * EXCLUDE (t), 'Middle 3' AS category FROM (
+    SELECT *, row_number() OVER (PARTITION BY slot ORDER BY middle_dist, rn) AS t FROM ex_dist
+  ) WHERE t <= 3
+),
+exemplars AS (
+  SELECT *, CAST(CASE category WHEN 'Top 3' THEN 1 WHEN 'Middle 3' THEN 2 WHEN 'Bottom 3' THEN 3 END
+                 AS BIGINT) AS category_ord
+  FROM ex_all
+)"""
+
+SQL["exemplars"] = f"""
+WITH {ENTRANTS}, {EXEMPLARS}
+SELECT class_year, slot, id, name, exposure, value, rate,
+       CAST(rn AS BIGINT) AS rn, CAST(n AS BIGINT) AS n, middle_dist, category, category_ord
+FROM exemplars
+"""
