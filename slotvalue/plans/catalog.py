@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import bands, exemplars, slots
+from slotvalue.operators import bands, clean, exemplars, keys, slots
 from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
-from slotvalue.sources import tables
+from slotvalue.sources import pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,44 @@ def q_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "middle_dist", "category", "category_ord")
 
 
+def q_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return keys.name_clean(docs, "text").select("doc_id", "name_clean", "first_name", "last_name", "base_id")
+
+
+def q_entity_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = keys.entity_key(tables.entrants(spark, sf_dir).select("class_year", "slot", "id", "name"))
+    return df.select("class_year", "slot", "id", "name", "base_id", "player_id")
+
+
+def q_clean_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.clean_entrants(tables.raw_entrants(spark, sf_dir))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_table(spark, sf_dir, "pages")
+
+
+def q_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_scan(_pages(spark, sf_dir))
+
+
+def q_page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_cells(_pages(spark, sf_dir))
+
+
+def q_page_first_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_first_table(pages.page_cells(_pages(spark, sf_dir)))
+
+
+def q_header_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.header_promote(pages.page_cells(_pages(spark, sf_dir)))
+
+
+def q_class_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.class_union(_pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "slot_value": q_slot_value,
     "class_rank": q_class_rank,
@@ -80,4 +118,12 @@ QUERIES: dict[str, Query] = {
     "band_stack": q_band_stack,
     "band_zero_fill": q_band_zero_fill,
     "exemplars": q_exemplars,
+    "name_clean": q_name_clean,
+    "entity_key": q_entity_key,
+    "clean_entrants": q_clean_entrants,
+    "page_scan": q_page_scan,
+    "page_cells": q_page_cells,
+    "page_first_table": q_page_first_table,
+    "header_promote": q_header_promote,
+    "class_union": q_class_union,
 }

@@ -4,6 +4,8 @@ Spark results."""
 
 from __future__ import annotations
 
+from slotvalue.functions.text import latin_ascii_sql
+from slotvalue.sources.pages import CELL, CLASS_IN_URL, CONTAINER, ENTITIES, HAS_CELL, HREF, ROW, TAG
 from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
 
 D = FLOAT_DIGITS
@@ -178,3 +180,118 @@ SELECT class_year, slot, id, name, exposure, value, rate,
        CAST(rn AS BIGINT) AS rn, CAST(n AS BIGINT) AS n, middle_dist, category, category_ord
 FROM exemplars
 """
+
+
+def _name_parts(src: str, col: str) -> str:
+    """CTE body: name_clean, first_name, last_name, base_id of ``col``."""
+    return f"""
+  SELECT *, parts[1] AS first_name, parts[-1] AS last_name,
+         coalesce(substring(lower(parts[-1]), 1, 5), 'NA')
+           || coalesce(substring(lower(parts[1]), 1, 2), 'NA') AS base_id
+  FROM (SELECT *, string_split(name_clean, ' ') AS parts
+        FROM (SELECT *, regexp_replace({latin_ascii_sql(col)}, '[^A-Za-z ]', '', 'g') AS name_clean
+              FROM {src}))"""
+
+
+SQL["name_clean"] = f"""
+SELECT doc_id, name_clean, first_name, last_name, base_id
+FROM ({_name_parts('documents', 'text')})
+"""
+
+SQL["entity_key"] = f"""
+WITH {ENTRANTS},
+named AS ({_name_parts('entrants', 'name')}),
+keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY class_year, id) AS occ,
+         count(*) OVER (PARTITION BY base_id) AS nk
+  FROM named
+)
+SELECT class_year, slot, id, name, base_id,
+       CASE WHEN nk = 1 THEN base_id ELSE base_id || CAST(occ AS VARCHAR) END AS player_id
+FROM keyed
+"""
+
+SQL["clean_entrants"] = """
+SELECT CAST(year(o.o_orderdate) AS BIGINT) AS class_year,
+       CAST(c.c_nationkey + 1 AS BIGINT) AS slot,
+       c.c_name AS name,
+       CAST(coalesce(l.n, 0) AS DOUBLE) AS exposure,
+       CAST(CASE WHEN l.n IS NULL THEN 0 ELSE o.o_totalprice / 1000 END AS DOUBLE) AS value,
+       CAST(o.o_totalprice AS DOUBLE) AS value2,
+       CAST(o.o_orderkey AS BIGINT) AS row_pos
+FROM orders o
+JOIN customer c ON o.o_custkey = c.c_custkey
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l
+  ON l.l_orderkey = o.o_orderkey
+WHERE o.o_orderstatus <> 'P' AND c.c_name <> ''
+"""
+
+SQL["page_scan"] = f"""
+SELECT page_id, url, TRY_CAST(regexp_extract(url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
+       CAST(length(html) AS BIGINT) AS n_chars
+FROM pages
+"""
+
+
+def _cell_text(expr: str) -> str:
+    t = f"regexp_replace({expr}, '{TAG}', '', 'g')"
+    for ent, ch in ENTITIES:
+        ch_sql = ch.replace("'", "''")
+        t = f"replace({t}, '{ent}', '{ch_sql}')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+CELLS = f"""
+pc_containers AS (
+  SELECT page_id, cs, unnest(range(len(cs))) AS table_idx
+  FROM (SELECT page_id, regexp_extract_all(html, '{CONTAINER}', 1) AS cs FROM pages)
+),
+pc_rows AS (
+  SELECT page_id, table_idx, rs, unnest(range(len(rs))) AS row_idx
+  FROM (SELECT page_id, table_idx, regexp_extract_all(cs[table_idx + 1], '{ROW}', 1) AS rs
+        FROM pc_containers)
+),
+pc_cells AS (
+  SELECT page_id, table_idx, row_idx, cl, unnest(range(len(cl))) AS col_idx
+  FROM (SELECT page_id, table_idx, row_idx,
+               CASE WHEN regexp_matches(rs[row_idx + 1], '{HAS_CELL}')
+                    THEN regexp_extract_all(rs[row_idx + 1], '{CELL}', 1)
+                    ELSE [rs[row_idx + 1]] END AS cl
+        FROM pc_rows)
+),
+cells AS (
+  SELECT page_id, CAST(table_idx AS BIGINT) AS table_idx, CAST(row_idx AS BIGINT) AS row_idx,
+         CAST(col_idx AS BIGINT) AS col_idx, {_cell_text('cl[col_idx + 1]')} AS cell,
+         nullif(regexp_extract(cl[col_idx + 1], '{HREF}', 1), '') AS href
+  FROM pc_cells
+)"""
+
+SQL["page_cells"] = f"WITH {CELLS} SELECT * FROM cells"
+
+SQL["page_first_table"] = f"WITH {CELLS} SELECT * FROM cells WHERE table_idx = 0"
+
+SQL["header_promote"] = f"""
+WITH {CELLS},
+hdr AS (
+  SELECT page_id, table_idx, col_idx, coalesce(cell, '') AS name,
+         row_number() OVER (PARTITION BY page_id, table_idx, coalesce(cell, '') ORDER BY col_idx) - 1 AS k
+  FROM cells WHERE row_idx = 0
+),
+names AS (
+  SELECT page_id, table_idx, col_idx,
+         CASE WHEN k = 0 THEN name ELSE name || '.' || CAST(k AS VARCHAR) END AS col_name
+  FROM hdr
+)
+SELECT b.page_id, b.table_idx, b.row_idx, b.col_idx, n.col_name, b.cell, b.href
+FROM cells b LEFT JOIN names n
+  ON n.page_id = b.page_id AND n.table_idx = b.table_idx AND n.col_idx = b.col_idx
+WHERE b.row_idx > 0
+"""
+
+SQL["class_union"] = f"""
+WITH {CELLS}
+SELECT c.page_id, TRY_CAST(regexp_extract(p.url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
+       c.table_idx, c.row_idx, c.col_idx, c.cell, c.href
+FROM cells c JOIN pages p ON p.page_id = c.page_id
+WHERE c.table_idx = 0
+"""

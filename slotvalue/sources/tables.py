@@ -58,3 +58,31 @@ def col_list(cols) -> list[Column]:
     if isinstance(cols, (str, Column)):
         cols = [cols]
     return [F.col(c) if isinstance(c, str) else c for c in cols]
+
+
+def raw_entrant_text(orders: DataFrame, customer: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The entrants as a scraped page table would hold them: every field is
+    text, exposure and value are ``""`` when an order has no line items, and
+    orders in status ``P`` stand in for repeated header rows (slot text
+    ``Pk``).  Input for ``clean_entrants`` that grows with the tables."""
+    items = lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
+    o = orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    c = customer.select("c_custkey", "c_name", "c_nationkey")
+    j = (o.join(c, o.o_custkey == c.c_custkey, "inner")
+         .join(items, o.o_orderkey == items.l_orderkey, "left"))
+    none = F.col("n_items").isNull()
+    return j.select(
+        F.year("o_orderdate").cast("bigint").alias("class_year"),
+        F.col("o_orderkey").cast("bigint").alias("row_pos"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("Pk"))
+         .otherwise((F.col("c_nationkey") + 1).cast("string")).alias("Pk"),
+        F.col("c_name").alias("Player"),
+        F.when(none, F.lit("")).otherwise(F.col("n_items").cast("string")).alias("Yrs"),
+        F.when(none, F.lit("")).otherwise((F.col("o_totalprice") / 1000).cast("string")).alias("WS"),
+        F.col("o_totalprice").cast("string").alias("VORP"),
+    )
+
+
+def raw_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_entrant_text(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
+                            read_table(spark, sf_dir, "lineitem"))
