@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import bands, clean, compare, exemplars, keys, report, slots
+from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, REPORT_SLOTS)
+                                    PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY)
 from slotvalue.sources import files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +149,43 @@ def q_cmp_bust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("slot", r6("bust_share"), "bust_pos")
 
 
+def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read_table(spark, sf_dir, "documents")
+    queries = tables.read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
+    return corpus.search(corpus.doc_index(docs), queries)
+
+
+def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _doc_hits(spark, sf_dir).select("query_id", "query", "entry_id", "href", "score", "rank")
+
+
+def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _doc_hits(spark, sf_dir)
+    docs = tables.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
+    return hits.join(docs, "entry_id").select(
+        "query_id", "entry_id", corpus.snippet(F.col("text"), F.col("query")).alias("snippet"))
+
+
+def q_doc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pg = _pages(spark, sf_dir)
+    return corpus.collapse(corpus.search(corpus.page_index(pg), corpus.title_queries(pg)))
+
+
+def q_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.word_stats(tables.read_table(spark, sf_dir, "documents"))
+
+
+def q_doc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return corpus.listing_page(docs, page=LISTING_PAGE, size=LISTING_SIZE, order=[F.col("doc_id").desc()])
+
+
+def q_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return corpus.in_category(docs, CATEGORY, F.concat_ws(",", "lang", "source"))
+
+
 QUERIES: dict[str, Query] = {
     "slot_value": q_slot_value,
     "class_rank": q_class_rank,
@@ -173,4 +210,10 @@ QUERIES: dict[str, Query] = {
     "cmp_ratio": q_cmp_ratio,
     "cmp_worst_rank": q_cmp_worst_rank,
     "cmp_bust_rank": q_cmp_bust_rank,
+    "doc_search": q_doc_search,
+    "doc_snippet": q_doc_snippet,
+    "doc_collapse": q_doc_collapse,
+    "doc_stats": q_doc_stats,
+    "doc_listing": q_doc_listing,
+    "doc_category": q_doc_category,
 }

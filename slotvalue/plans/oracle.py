@@ -7,7 +7,8 @@ from __future__ import annotations
 from slotvalue.functions.text import latin_ascii_sql
 from slotvalue.sources.pages import CELL, CLASS_IN_URL, CONTAINER, ENTITIES, HAS_CELL, HREF, ROW, TAG
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER)
+                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY)
+from slotvalue.operators.corpus import ARTICLE, H1, PARA, TITLE
 
 D = FLOAT_DIGITS
 
@@ -369,3 +370,107 @@ SELECT slot, round(bust_share, {D}) AS bust_share,
        CAST(rank() OVER (ORDER BY bust_share DESC) AS BIGINT) AS bust_pos
 FROM b
 """
+
+
+def _search(queries: str, index: str) -> str:
+    """CTE body: every (query, entry) pair with a positive weighted score,
+    ranked per query, at most 50 per query."""
+    score = " + ".join(f"CASE WHEN strpos(lower(e.{f}), lower(q.query)) > 0 THEN {w} ELSE 0 END"
+                       for f, w in (("title", 20), ("section", 20), ("text", 10)))
+    return f"""
+  SELECT * FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS BIGINT) AS rank
+    FROM (SELECT q.query_id, q.query, e.entry_id, e.href, CAST({score} AS BIGINT) AS score
+          FROM {queries} q, {index} e WHERE length(q.query) >= 2)
+    WHERE score > 0)
+  WHERE rank <= 50"""
+
+
+DOC_HITS = f"""
+bq AS (SELECT CAST(item_id AS BIGINT) AS query_id, text AS query FROM benchmark),
+di AS (SELECT CAST(doc_id AS BIGINT) AS entry_id, 'doc/' || CAST(doc_id AS VARCHAR) AS href,
+              '' AS title, '' AS section, coalesce(text, '') AS text FROM documents),
+hits AS ({_search('bq', 'di')})"""
+
+SQL["doc_search"] = f"WITH {DOC_HITS} SELECT query_id, query, entry_id, href, score, rank FROM hits"
+
+SQL["doc_snippet"] = f"""
+WITH {DOC_HITS},
+m AS (
+  SELECT h.query_id, h.entry_id, d.text AS t, strpos(lower(d.text), lower(h.query)) - 1 AS s
+  FROM hits h JOIN documents d ON d.doc_id = h.entry_id
+),
+st AS (
+  SELECT *, CASE WHEN s < 50 THEN 0
+                 WHEN regexp_matches(substring(t, 1, s + 1), '[ ,:]')
+                   THEN length(regexp_extract(substring(t, 1, s + 1), '(?s)^(.*)[ ,:]', 1)) + 1
+                 ELSE 0 END AS st
+  FROM m
+),
+en AS (
+  SELECT *, st + 200 AS e0, substring(t, st + 200 + 1, length(t)) AS tail FROM st
+),
+en2 AS (SELECT *, regexp_extract(tail, '^([^ ,:]*)', 1) AS run FROM en)
+SELECT query_id, entry_id,
+       CASE WHEN s < 0 THEN t
+            WHEN e0 <= length(t) AND length(run) < length(tail)
+              THEN substring(t, st + 1, e0 + length(run) - st) || '…'
+            ELSE substring(t, st + 1, length(t)) END AS snippet
+FROM en2
+"""
+
+PAGE_INDEX = f"""
+pi_base AS (
+  SELECT page_id, split_part(url, '#', 1) AS base,
+         {_cell_text(f"regexp_extract(html, '{TITLE}', 1)")} AS title,
+         {_cell_text(f"regexp_extract(html, '{H1}', 1)")} AS section, html
+  FROM pages
+),
+pi AS (
+  SELECT page_id * 1000 AS entry_id, base AS href, title, section,
+         {_cell_text(f"regexp_extract(html, '{ARTICLE}', 1)")} AS text
+  FROM pi_base
+  UNION ALL
+  SELECT page_id * 1000 + pos + 1 AS entry_id, base || '#p' || CAST(pos AS VARCHAR) AS href, title, section,
+         {_cell_text('ps[pos + 1]')} AS text
+  FROM (SELECT *, unnest(range(len(ps))) AS pos
+        FROM (SELECT *, regexp_extract_all(html, '{PARA}', 1) AS ps FROM pi_base))
+),
+tq AS (
+  SELECT CAST(min(page_id) AS BIGINT) AS query_id, query
+  FROM (SELECT page_id, {_cell_text(f"regexp_extract(html, '{TITLE}', 1)")} AS query FROM pages)
+  GROUP BY query
+)"""
+
+SQL["doc_collapse"] = f"""
+WITH {PAGE_INDEX},
+hits AS ({_search('tq', 'pi')}),
+hb AS (SELECT *, split_part(href, '#', 1) AS base_href, strpos(href, '#') = 0 AS is_doc FROM hits),
+pos AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, base_href ORDER BY is_doc DESC, rank) AS item_pos,
+         count(*) OVER (PARTITION BY query_id, base_href) AS group_size,
+         min(rank) OVER (PARTITION BY query_id, base_href) AS group_rank
+  FROM hb
+)
+SELECT query_id, base_href, group_rank, CAST(item_pos AS BIGINT) AS item_pos, href, entry_id, score,
+       CAST(group_size AS BIGINT) AS group_size, CAST(greatest(group_size - 3, 0) AS BIGINT) AS more
+FROM pos WHERE item_pos <= 3
+"""
+
+SQL["doc_stats"] = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words,
+       CAST(ceil(len(regexp_extract_all(text, '\S+')) / 200) AS BIGINT) AS reading_minutes,
+       CAST(length(text) AS BIGINT) AS chars
+FROM documents
+"""
+
+SQL["doc_listing"] = f"""
+SELECT doc_id, lang, source, n_chars,
+       CAST(row_number() OVER (ORDER BY doc_id DESC) AS BIGINT) AS position
+FROM documents ORDER BY doc_id DESC LIMIT {LISTING_SIZE} OFFSET {(LISTING_PAGE - 1) * LISTING_SIZE}
+"""
+
+SQL["doc_category"] = f"""
+SELECT doc_id, lang, source FROM documents
+WHERE coalesce(list_contains(string_split(concat_ws(',', lang, source), ','), '{CATEGORY}'), false)
+"""

@@ -14,3 +14,6 @@ MATURITY_YEARS = 4
 FLOAT_DIGITS = 6       # float results are rounded so engines agree on the last bits
 REPORT_SLOTS = None    # all slots of the exemplars table
 PLACEHOLDER = "images/placeholder.jpg"
+LISTING_PAGE = 2
+LISTING_SIZE = 25
+CATEGORY = "fr"
