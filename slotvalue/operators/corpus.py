@@ -72,10 +72,12 @@ def title_queries(pages: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- search
 
 def _grams(text: Column, k: int) -> Column:
-    """Distinct k-character pieces of ``text`` (empty for shorter text)."""
-    n = F.length(text) - (k - 1)
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, k))))\
-        .otherwise(F.array().cast("array<string>"))
+    """Distinct k-character pieces of ``text`` (empty for shorter text).
+
+    One regex pass with a look-ahead capture yields every overlapping
+    piece, so the cost is linear in the text length (taking ``substring``
+    at each position would rescan the text from its start each time)."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 
 def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS,
