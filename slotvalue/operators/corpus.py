@@ -17,6 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotvalue.session import ensure_checkpoint_dir
 from slotvalue.sources.pages import cell_text
 
 # Field weights of the search index and the result limits.
@@ -80,8 +81,31 @@ def _grams(text: Column, k: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
 
 
+def _rarest(query_keys: DataFrame, entry_keys: DataFrame, key: str) -> DataFrame:
+    """(query_id, entry_id) candidates: the entries holding the query's
+    rarest key.  ``query_keys``: (query_id, key), every key a matching entry
+    must hold; ``entry_keys``: (entry_id, key), distinct per entry.  A query
+    with a key no entry holds gets no candidate (it cannot match)."""
+    held = entry_keys.join(query_keys.select(key).distinct(), key, "left_semi")
+    freq = held.groupBy(key).agg(F.count(F.lit(1)).alias("_df"))
+    anchor = (query_keys.join(freq, key, "left")
+              .withColumn("_df", F.coalesce(F.col("_df"), F.lit(0)))
+              .groupBy("query_id")
+              .agg(F.min_by(key, F.struct("_df", key)).alias(key), F.min("_df").alias("_df"))
+              .where(F.col("_df") > 0).select("query_id", key))
+    return anchor.join(held, key).select("query_id", "entry_id")
+
+
+def _interior_words(lq: Column) -> Column:
+    """Words of the query with white space on both sides inside the query:
+    any entry containing the query holds them as whole words."""
+    toks = F.split(lq, r"\s+")
+    inner = F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 2, F.lit(0)))
+    return F.array_distinct(F.filter(inner, lambda x: x != ""))
+
+
 def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS,
-           limit: int | None = LIMIT, min_len: int = MIN_QUERY) -> DataFrame:
+           limit: int | None = LIMIT, min_len: int = MIN_QUERY, materialize: bool = False) -> DataFrame:
     """Case-insensitive exact-substring search of every query over the
     weighted fields of the index.
 
@@ -89,27 +113,37 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
     href, score (sum of the weights of matching fields) and ``rank`` (1 =
     best; ties by entry id), at most ``limit`` entries per query (a
     per-group limit applied partially before the shuffle).
+
+    Candidates: a query with interior words goes to the entries holding its
+    rarest interior word (entries are split into distinct words once); a
+    query without one goes to the entries holding its rarest character
+    trigram (or the 2-character query itself).  The trigram route is only
+    planned when such queries exist (a check over the query table alone).
     """
     fields = list(weights)
     q = (queries.where(F.length("query") >= min_len)
-         .select("query_id", "query", F.lower("query").alias("lq")))
+         .select("query_id", "query", F.lower("query").alias("lq"))
+         .withColumn("_inner", _interior_words(F.col("lq"))))
+    # the lowered index is read twice (words, then the exact check of the
+    # candidates); ``materialize=True`` writes it once to the checkpoint
+    # directory, worth it when building the index is costly (page parsing)
     e = index.select("entry_id", "href", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"l_{f}")
                                            for f in fields])
-    # grams of every query: trigrams, or the query itself when it is 2 long
-    qg = q.select("query_id", F.explode(
-        F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
-    wanted = qg.select("g").distinct()
-    eg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
-        *[F.concat(_grams(F.col(f"l_{f}"), 3), _grams(F.col(f"l_{f}"), 2)) for f in fields])))).alias("g"))
-    eg = eg.join(wanted, "g", "left_semi")
-    freq = eg.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    # rarest gram per query; a gram no entry holds means no match at all
-    anchor = (qg.join(freq, "g", "left").groupBy("query_id")
-              .agg(F.min_by("g", F.struct(F.coalesce(F.col("df"), F.lit(0)), F.col("g"))).alias("g"),
-                   F.min(F.coalesce(F.col("df"), F.lit(0))).alias("df"))
-              .where(F.col("df") > 0).select("query_id", "g"))
-    cand = anchor.join(eg, "g").select("query_id", "entry_id")
-    pairs = cand.join(q, "query_id").join(e, "entry_id")
+    if materialize:
+        ensure_checkpoint_dir(e.sparkSession)
+        e = e.checkpoint(eager=True)
+    qw = q.select("query_id", F.explode("_inner").alias("w"))
+    ew = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
+        *[F.split(F.col(f"l_{f}"), r"\s+") for f in fields])))).alias("w"))
+    cand = _rarest(qw, ew, "w")
+    short = q.where(F.size("_inner") == 0)
+    if not short.isEmpty():
+        qg = short.select("query_id", F.explode(
+            F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
+        eg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
+            *[F.concat(_grams(F.col(f"l_{f}"), 3), _grams(F.col(f"l_{f}"), 2)) for f in fields])))).alias("g"))
+        cand = cand.unionByName(_rarest(qg, eg, "g"))
+    pairs = cand.join(q.drop("_inner"), "query_id").join(e, "entry_id")
     score = sum((F.when(F.instr(F.col(f"l_{f}"), F.col("lq")) > 0, F.lit(w)).otherwise(F.lit(0))
                  for f, w in weights.items()), F.lit(0))
     hits = pairs.select("query_id", "query", "entry_id", "href", score.cast("bigint").alias("score")) \
