@@ -13,8 +13,9 @@ values with bounded tasks:
 2. number rows inside each partition (``mapInPandas``: per-partition
    imperative logic over sorted Arrow batches; only the open group of the
    current partition is buffered);
-3. checkpoint the numbered rows to the session's checkpoint directory, so
-   the partition ids stay stable if an executor is lost;
+3. write the numbered rows to a table in the session's checkpoint
+   directory, so partition ids stay stable if an executor is lost, with the
+   first and last row of every partition in a separate directory;
 4. only the first and the last group of a partition can continue in another
    partition.  Their pieces ("segments", at most ``2 * P`` rows) get their
    offsets and totals from a window over the segment table, which is then
@@ -27,6 +28,7 @@ group-keyed shuffle and no join on a skewed key.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -37,8 +39,7 @@ from pyspark.sql import types as T
 
 from slotvalue.session import ensure_checkpoint_dir
 
-_PID, _RN, _N, _DR, _FIRST, _LAST = ("_pid", "_rn_local", "_n_local", "_dr_local",
-                                     "_first_in_part", "_last_in_part")
+_PID, _RN, _N, _DR, _KIND = ("_pid", "_rn_local", "_n_local", "_dr_local", "_kind")
 
 
 def _differs(cur: pd.Series, prev_first, has_prev: bool) -> np.ndarray:
@@ -69,15 +70,14 @@ def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
         rn_open = 0           # rows of the open group seen so far
         dr_open = 0           # distinct dense values of the open group so far
         open_parts: list[pd.DataFrame] = []   # buffered rows of the open group
-        started = False
+        first_row: pd.DataFrame | None = None   # copy of the partition's first row
 
         def emit(frame: pd.DataFrame) -> pd.DataFrame:
-            nonlocal started
-            frame[_FIRST] = False
-            frame[_LAST] = False
-            if not started:
-                frame.iloc[0, frame.columns.get_loc(_FIRST)] = True
-                started = True
+            nonlocal first_row
+            frame[_KIND] = "row"
+            if first_row is None:
+                first_row = frame.iloc[[0]].copy()
+                first_row[_KIND] = "first"
             return frame
 
         for pdf in batches:
@@ -125,12 +125,15 @@ def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
             last_val = tuple(pdf[c].iloc[-1] for c in dense_on)
             has_prev = True
 
-        for j, fr in enumerate(open_parts):
+        for fr in open_parts:
             fr[_N] = rn_open
-            fr = emit(fr)
-            if j == len(open_parts) - 1:
-                fr.iloc[-1, fr.columns.get_loc(_LAST)] = True
-            yield fr
+            yield emit(fr)
+        # the partition's first and last rows again, as segment rows
+        if open_parts:
+            last_row = open_parts[-1].iloc[[-1]].copy()
+            last_row[_KIND] = "last"
+            yield first_row
+            yield last_row
 
     return run
 
@@ -163,17 +166,24 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
         T.StructField(_RN, T.LongType(), False),
         T.StructField(_DR, T.LongType(), False),
         T.StructField(_N, T.LongType(), False),
-        T.StructField(_FIRST, T.BooleanType(), False),
-        T.StructField(_LAST, T.BooleanType(), False),
+        T.StructField(_KIND, T.StringType(), False),
     ])
-    numbered = ranged.mapInPandas(_local_numbering(keys, dense_on), schema).checkpoint(eager=True)
+    # numbered rows and the per-partition segment rows are written once, as
+    # a table in the checkpoint directory partitioned by kind: the segment
+    # rows are then read from their own (tiny) directory, not by scanning
+    # the numbered rows again
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
+    (ranged.mapInPandas(_local_numbering(keys, dense_on), schema)
+     .write.mode("overwrite").partitionBy(_KIND).parquet(path))
+    stored = spark.read.schema(schema).parquet(path)
+    numbered = stored.where(F.col(_KIND) == "row").drop(_KIND)
 
     # segments: pieces of the first and last group of every partition
     kf = [F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)]
-    first = numbered.where(F.col(_FIRST)).select(
+    first = stored.where(F.col(_KIND) == "first").select(
         F.col(_PID), *kf, F.col(_N).alias("_size"),
         *[F.col(c).alias(f"_f_{i}") for i, c in enumerate(dense_on)])
-    last = numbered.where(F.col(_LAST)).select(
+    last = stored.where(F.col(_KIND) == "last").select(
         F.col(_PID).alias("_lpid"), *[F.col(k).alias(f"_lk_{i}") for i, k in enumerate(keys)],
         F.col(_N).alias("_lsize"), F.col(_DR).alias("_dcount"),
         *[F.col(c).alias(f"_l_{i}") for i, c in enumerate(dense_on)])
