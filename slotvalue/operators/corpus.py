@@ -117,8 +117,9 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
     Candidates: a query with interior words goes to the entries holding its
     rarest interior word (entries are split into distinct words once); a
     query without one goes to the entries holding its rarest character
-    trigram (or the 2-character query itself).  The trigram route is only
-    planned when such queries exist (a check over the query table alone).
+    trigram taken inside its words (a 2-character word is its own gram),
+    matched against grams of the entries' distinct words.  These routes are
+    only planned when such queries exist (checks over the query table).
     """
     fields = list(weights)
     q = (queries.where(F.length("query") >= min_len)
@@ -132,17 +133,33 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
     if materialize:
         ensure_checkpoint_dir(e.sparkSession)
         e = e.checkpoint(eager=True)
+    words = e.select("entry_id", F.array_distinct(F.flatten(F.array(
+        *[F.split(F.col(f"l_{f}"), r"\s+") for f in fields]))).alias("_words"))
     qw = q.select("query_id", F.explode("_inner").alias("w"))
-    ew = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
-        *[F.split(F.col(f"l_{f}"), r"\s+") for f in fields])))).alias("w"))
+    ew = words.select("entry_id", F.explode("_words").alias("w"))
     cand = _rarest(qw, ew, "w")
     short = q.where(F.size("_inner") == 0)
     if not short.isEmpty():
-        qg = short.select("query_id", F.explode(
-            F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
-        eg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
-            *[F.concat(_grams(F.col(f"l_{f}"), 3), _grams(F.col(f"l_{f}"), 2)) for f in fields])))).alias("g"))
+        # no interior word: the query lies inside one entry word, or spans
+        # the end of one word and the start of the next, so every gram of
+        # each query word occurs inside some word of the entry
+        qtok = F.filter(F.split(F.col("lq"), r"\s+"), lambda t: F.length(t) >= 2)
+        qgrams = F.array_distinct(F.flatten(F.transform(
+            qtok, lambda t: F.when(F.length(t) == 2, F.array(t)).otherwise(_grams(t, 3)))))
+        qg = short.select("query_id", F.explode(qgrams).alias("g"))
+        eg = words.select("entry_id", F.explode(F.array_distinct(F.flatten(F.transform(
+            F.col("_words"), lambda t: F.concat(_grams(t, 3), _grams(t, 2)))))).alias("g"))
         cand = cand.unionByName(_rarest(qg, eg, "g"))
+        # queries whose words are all single characters ("a b"): grams that
+        # cross white space, over whole fields
+        tiny = short.where(F.size(qtok) == 0)
+        if not tiny.isEmpty():
+            tg = tiny.select("query_id", F.explode(
+                F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
+            fg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
+                *[F.concat(_grams(F.col(f"l_{f}"), 3), _grams(F.col(f"l_{f}"), 2)) for f in fields]))))
+                .alias("g"))
+            cand = cand.unionByName(_rarest(tg, fg, "g"))
     pairs = cand.join(q.drop("_inner"), "query_id").join(e, "entry_id")
     score = sum((F.when(F.instr(F.col(f"l_{f}"), F.col("lq")) > 0, F.lit(w)).otherwise(F.lit(0))
                  for f, w in weights.items()), F.lit(0))

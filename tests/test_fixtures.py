@@ -186,14 +186,16 @@ def test_search_collapse_snippet(spark):
         (4, "a.html#s3", "Alpha page", "Part", "brown"),
         (5, "b.html", "Beta", "", "QUICK BROWN things"),
     ], "entry_id long, href string, title string, section string, text string")
-    q = spark.createDataFrame([(1, "quick brown"), (2, "alpha"), (3, "x"), (4, "own")],
-                              "query_id long, query string")
+    q = spark.createDataFrame([(1, "quick brown"), (2, "alpha"), (3, "x"), (4, "own"), (5, "wn do"),
+                               (6, "a q")], "query_id long, query string")
     hits = corpus.search(idx, q)
     got = rows(hits, "query_id", "entry_id", "score")
     assert (1, 1, 10) in got and (1, 2, 10) in got and (1, 5, 10) in got
     assert [r for r in got if r[0] == 2] == [(2, e, 20) for e in (1, 2, 3, 4)]
     assert not [r for r in got if r[0] == 3]          # shorter than 2
     assert len([r for r in got if r[0] == 4]) == 4    # inside words
+    assert [r for r in got if r[0] == 5] == [(5, 2, 10)]   # across a word boundary
+    assert [r for r in got if r[0] == 6] == [(6, 2, 10)]   # single-character words only
     col = corpus.collapse(hits.where("query_id = 2"))
     assert rows(col, "item_pos", "href", "more") == [(1, "a.html", 1), (2, "a.html#s1", 1), (3, "a.html#s2", 1)]
     text = "word " * 30 + "target here" + ", tail" * 60
