@@ -22,11 +22,14 @@ def slot_report(exemplars: DataFrame, images: DataFrame, *, slots: Iterable[int]
 
     Left join on ``key``: a key repeated in the dimension repeats the row.
     The dimension is a file listing whose size is not known in advance, so
-    no broadcast is forced; AQE broadcasts it when its runtime size is
-    under the threshold and keeps the shuffle join otherwise.
+    no broadcast is forced; it is first cut down to the report's keys.
     """
     ex = exemplars if slots is None else exemplars.where(F.col("slot").isin(list(slots)))
-    joined = ex.join(images.select(key, "path"), key, "left")
+    # the report holds a few rows per slot while the dimension can be large:
+    # reduce the dimension to the report's keys first (a semi join whose
+    # small side AQE can broadcast), then join the two small tables
+    needed = images.select(key, "path").join(ex.select(key).distinct(), key, "left_semi")
+    joined = ex.join(needed, key, "left")
     return joined.select(
         "slot", "category", "category_ord",
         F.coalesce(F.col("path"), F.lit(placeholder)).alias("path"),
