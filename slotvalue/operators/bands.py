@@ -52,7 +52,10 @@ def band_assign(entrants: DataFrame, *, as_of: str, max_slot: int = 14, years: i
     base = mature(entrants.where(F.col(slot) <= max_slot), as_of, years, klass)
     rated = base.withColumn("rate", nan_to_null(safe_ratio(F.col(value), F.col(exposure))))
     stats = rated.select(F.struct(F.avg("rate").alias("m"), F.stddev_samp("rate").alias("s"))).scalar()
-    m, s = stats.getField("m"), stats.getField("s")
+    # the subquery is attached once as a column and its fields referenced
+    # from there, so it is planned (and run) once
+    rated = rated.withColumn("_stats", stats)
+    m, s = F.col("_stats.m"), F.col("_stats.s")
     r = F.col("rate")
     band = (F.when(F.col(exposure) == 0, "mega_bust")
             .when(r < m - s, "mega_bust")
@@ -61,7 +64,7 @@ def band_assign(entrants: DataFrame, *, as_of: str, max_slot: int = 14, years: i
             .when(r < m + s, "boom")
             .otherwise("mega_boom"))
     return (rated.withColumn("mean_rate", m).withColumn("sd_rate", s)
-            .withColumn("band", band).withColumn("band_ord", band_ord(F.col("band"))))
+            .withColumn("band", band).withColumn("band_ord", band_ord(F.col("band"))).drop("_stats"))
 
 
 def band_share(assigned: DataFrame, *, slot: str = "slot") -> DataFrame:
