@@ -17,17 +17,19 @@ def lowest_mean(summary: DataFrame, *, first: int = 5, col: str = "avg") -> Data
 def nearest_mean(summary: DataFrame, *, focus: int = 2, col: str = "avg") -> DataFrame:
     """The other slot whose mean is nearest the focus slot's (lower slot on
     ties).  The focus mean is a scalar subquery, not a join."""
+    fcol = "focus_" + col
     focus_val = summary.where(F.col("slot") == focus).select(F.max(col)).scalar()
-    others = summary.where(F.col("slot") != focus).select(
-        "slot", col, focus_val.alias("focus_" + col), F.abs(F.col(col) - focus_val).alias("diff"))
+    others = (summary.where(F.col("slot") != focus).select("slot", col, focus_val.alias(fcol))
+              .withColumn("diff", F.abs(F.col(col) - F.col(fcol))))
     return others.orderBy(F.col("diff").asc_nulls_last(), "slot").limit(1)
 
 
 def ratio_to_focus(summary: DataFrame, *, focus: int = 2, col: str = "med") -> DataFrame:
     """For every other slot, the focus slot's value divided by the slot's."""
+    fcol = "focus_" + col
     focus_val = summary.where(F.col("slot") == focus).select(F.max(col)).scalar()
-    return summary.where(F.col("slot") != focus).select(
-        "slot", col, focus_val.alias("focus_" + col), F.try_divide(focus_val, F.col(col)).alias("ratio"))
+    return (summary.where(F.col("slot") != focus).select("slot", col, focus_val.alias(fcol))
+            .withColumn("ratio", F.try_divide(F.col(fcol), F.col(col))))
 
 
 def worst_rank(rank_summary: DataFrame, *, first: int = 5) -> DataFrame:
