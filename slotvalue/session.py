@@ -25,8 +25,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "slotvalue", scratch: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks.
 
-    ``scratch`` is a per-run folder; the checkpoint directory is placed in it
-    only because nothing else sets one in local runs.
+    ``scratch`` is a per-run folder for the warehouse, and for checkpoints
+    when the environment names no ``spark.checkpoint.dir``.
     """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
     for k, v in BASE_CONF.items():
@@ -36,16 +36,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.driver.memory", "8g"))
     if scratch is None:
         scratch = tempfile.mkdtemp(prefix="slotvalue-")
-    builder = (builder
-               .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
-               .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse")))
+    builder = builder.config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    # a checkpoint directory named by the environment wins; the scratch
+    # folder is used only where none is set
+    ensure_checkpoint_dir(spark, fallback=os.path.join(scratch, "checkpoints"))
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the checkpoint directory, configuring the context from
     ``spark.checkpoint.dir`` when the cluster named one.
 
@@ -63,6 +63,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at shared storage "
                 "(for example a folder on the cluster's distributed file system)")
-        configured = tempfile.mkdtemp(prefix="slotvalue-ckpt-")
+        configured = fallback or tempfile.mkdtemp(prefix="slotvalue-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
