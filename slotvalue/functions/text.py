@@ -73,7 +73,12 @@ def letters_only(c: Column) -> Column:
 def word(c: Column, n: int) -> Column:
     """n-th space-separated word (negative counts from the end); NULL when
     out of range.  Consecutive spaces give empty words, as a fixed-space
-    split does."""
+    split does.  The first and last words are cut with ``substring_index``
+    (one scan, no array of every word of a long text)."""
+    if n == 1:
+        return F.substring_index(c, " ", 1)
+    if n == -1:
+        return F.substring_index(c, " ", -1)
     return F.try_element_at(F.split(c, " "), F.lit(n))
 
 

@@ -2,12 +2,12 @@
 many-query search with weighted fields, grouping of hits by document and
 snippets around the first match.
 
-Search is a distributed join, not a nested loop: a query can only be
-contained in an entry that holds every 3-character piece (gram) of the
-query, so each query is sent only to the entries that hold its rarest gram
-(2-character queries use the query itself).  Candidate pairs are then
-checked exactly with ``instr``.  No pair of a query and an entry is made
-unless the entry holds the query's rarest gram.
+Search is a distributed join, not a nested loop: an entry containing a
+query holds each of the query's interior words as a whole word, and each
+3-character piece (gram) of every query word inside one of its own words.
+Each query is therefore sent only to the entries holding its rarest such
+word (or gram), found with a distributed frequency count, and candidate
+pairs are then checked exactly with ``instr``.
 """
 
 from __future__ import annotations
@@ -223,7 +223,7 @@ def snippet(text: Column, query: Column, *, before: int = 50, width: int = 200)
 def word_stats(documents: DataFrame, *, words_per_minute: int = 200) -> DataFrame:
     """Word count (runs of non-space characters), reading minutes
     (``ceil(words / words_per_minute)``) and character count of each text."""
-    words = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0))
+    words = F.regexp_count("text", F.lit(r"\S+"))
     return documents.select(
         "doc_id", words.cast("bigint").alias("words"),
         F.ceil(words / words_per_minute).cast("bigint").alias("reading_minutes"),
