@@ -73,7 +73,7 @@ def q_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "text")
     return keys.name_clean(docs, "text").select("doc_id", "name_clean", "first_name", "last_name", "base_id")
 
 
@@ -87,7 +87,7 @@ def q_clean_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_table(spark, sf_dir, "pages")
+    return tables.read_text_table(spark, sf_dir, "pages")
 
 
 def q_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,8 @@ def q_cmp_bust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_table(spark, sf_dir, "documents")
-    queries = tables.read_table(spark, sf_dir, "benchmark").select(
+    docs = tables.read_text_table(spark, sf_dir, "documents")
+    queries = tables.read_text_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
     return corpus.search(corpus.doc_index(docs), queries)
 
@@ -162,7 +162,7 @@ def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _doc_hits(spark, sf_dir)
-    docs = tables.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
+    docs = tables.read_text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
     return hits.join(docs, "entry_id").select(
         "query_id", "entry_id", corpus.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
@@ -173,16 +173,16 @@ def q_doc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.word_stats(tables.read_table(spark, sf_dir, "documents"))
+    return corpus.word_stats(tables.read_text_table(spark, sf_dir, "documents"))
 
 
 def q_doc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return corpus.listing_page(docs, page=LISTING_PAGE, size=LISTING_SIZE, order=[F.col("doc_id").desc()])
 
 
 def q_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return corpus.in_category(docs, CATEGORY, F.concat_ws(",", "lang", "source"))
 
 
