@@ -224,3 +224,10 @@ def test_compare_helpers(spark):
     assert rows(compare.nearest_mean(summary), "slot") == [(3,)]
     ratios = dict(rows(compare.ratio_to_focus(summary), "slot", "ratio"))
     assert ratios == {1: 0.5, 3: None, 6: 2.0}
+
+
+def test_approx_median_opt_in(spark):
+    data = [(2000, 1, i, "x", 1.0, float(i)) for i in range(101)]
+    exact = slots.slot_value(_entrants(spark, data)).first()
+    approx = slots.slot_value(_entrants(spark, data), median="approx").first()
+    assert exact["med"] == 50.0 and abs(approx["med"] - 50.0) <= 1.0
