@@ -55,11 +55,21 @@ def rows_of(pdf: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda t: tuple((x is None, str(type(x)), x if x is not None else 0) for x in t))
 
 
+SPARK_TO_DUCK = {"LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+                 "StringType": "VARCHAR", "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP"}
+
+
 def compare(spark, con, key, fn, sql, sf_dir):
     sdf = fn(spark, sf_dir)
     got = sdf.toPandas()
-    exp = con.execute(sql).df()
+    rel = con.sql(sql)
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    exp = rel.df()
     problems = []
+    bad_types = [(f.name, type(f.dataType).__name__, duck_types.get(f.name)) for f in sdf.schema.fields
+                 if SPARK_TO_DUCK.get(type(f.dataType).__name__) != duck_types.get(f.name)]
+    if bad_types:
+        problems.append(f"types differ: {bad_types}")
     if sorted(got.columns) != sorted(exp.columns):
         problems.append(f"columns spark={sorted(got.columns)} oracle={sorted(exp.columns)}")
     if len(got) != len(exp):
