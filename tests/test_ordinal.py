@@ -50,3 +50,23 @@ def test_single_group_spans_partitions(spark):
     row = got.agg(F.min("rn"), F.max("rn"), F.min("n"), F.max("n"),
                   F.sum((F.col("rn") == F.col("id") + 1).cast("int"))).first()
     assert tuple(row) == (1, 500, 500, 500, 500)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 4))),
+                     min_size=1, max_size=60),
+       parts=st.integers(1, 5))
+def test_property_matches_windows(spark, rows, parts):
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g string, v int")
+    got = number_within(df, ["g"], [F.col("v").asc_nulls_last(), "id"], dense_on=["v"],
+                        partitions=parts, dr="dr").select("id", "rn", "n", "dr")
+    ws = W.partitionBy("g")
+    exp = df.select(
+        "id", F.row_number().over(ws.orderBy(F.col("v").asc_nulls_last(), "id")).cast("long").alias("rn"),
+        F.count("*").over(ws).alias("n"),
+        F.dense_rank().over(ws.orderBy(F.col("v").asc_nulls_last())).cast("long").alias("dr"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
