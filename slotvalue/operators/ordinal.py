@@ -57,8 +57,15 @@ def _differs(cur: pd.Series, prev_first, has_prev: bool) -> np.ndarray:
     return out
 
 
-def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
-    """Build the per-partition function.  Rows arrive sorted by (keys, order)."""
+def _local_numbering(keys: Sequence[str], dense_on: Sequence[str], max_buffer: int):
+    """Build the per-partition function.  Rows arrive sorted by (keys, order).
+
+    Rows are held back only while their group is open, to give them the
+    group's size.  An open group holding more than ``max_buffer`` rows is
+    flushed with size -1 (unknown); its size then comes from a ``size`` row
+    (or from the partition's first/last row when it is the first or last
+    group), so a task never holds more than ``max_buffer`` rows of a group.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -69,8 +76,13 @@ def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
         last_val: tuple = ()
         rn_open = 0           # rows of the open group seen so far
         dr_open = 0           # distinct dense values of the open group so far
-        open_parts: list[pd.DataFrame] = []   # buffered rows of the open group
-        first_row: pd.DataFrame | None = None   # copy of the partition's first row
+        open_parts: list[pd.DataFrame] = []   # held-back rows of the open group
+        held = 0              # number of held-back rows
+        flushed = False       # were rows of the open group emitted without a size?
+        open_is_first = True  # is the open group the partition's first group?
+        open_key_row: pd.DataFrame | None = None   # one row carrying the open group's keys
+        first_row: pd.DataFrame | None = None      # copy of the partition's first row
+        last_row: pd.DataFrame | None = None
 
         def emit(frame: pd.DataFrame) -> pd.DataFrame:
             nonlocal first_row
@@ -80,6 +92,21 @@ def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
                 first_row[_KIND] = "first"
             return frame
 
+        def close_open(size: int) -> Iterator[pd.DataFrame]:
+            """The open group is complete: give held rows their size and
+            record the size of a flushed group."""
+            for fr in open_parts:
+                fr[_N] = size
+                yield emit(fr)
+            if flushed:
+                if open_is_first:
+                    first_row[_N] = size
+                else:
+                    row = open_key_row.copy()
+                    row[_N] = size
+                    row[_KIND] = "size"
+                    yield row
+
         for pdf in batches:
             m = len(pdf)
             if m == 0:
@@ -107,33 +134,49 @@ def _local_numbering(keys: Sequence[str], dense_on: Sequence[str]):
             last_g = int(gidx[-1])
             if last_g > 0:
                 # the open group of earlier batches (if any) is complete
-                if open_parts or cont.any():
+                if has_prev:
                     size = rn_open + int(cont.sum())
-                    for fr in open_parts:
-                        fr[_N] = size
-                        yield emit(fr)
                     pdf.loc[cont, _N] = size
-                closed = gidx < last_g
+                    yield from close_open(size)
+                    if cont.any():
+                        yield emit(pdf.loc[cont].copy())
+                    open_is_first = False
+                else:
+                    open_is_first = last_g == 1
+                closed = (gidx < last_g) & ~cont
                 if closed.any():
                     yield emit(pdf.loc[closed].copy())
-                open_parts = [pdf.loc[~closed].copy()]
+                    open_is_first = False if last_g > 1 else open_is_first
+                tail = pdf.loc[gidx == last_g].copy()
+                open_parts, held, flushed = [tail], len(tail), False
+                open_key_row = tail.iloc[[0]].copy()
             else:
                 open_parts.append(pdf)
+                held += m
+            if held > max_buffer:
+                for fr in open_parts:
+                    fr[_N] = -1
+                    yield emit(fr)
+                open_parts, held, flushed = [], 0, True
             rn_open = int(rn[-1])
             dr_open = int(dr[-1])
             last_key = tuple(pdf[k].iloc[-1] for k in keys)
             last_val = tuple(pdf[c].iloc[-1] for c in dense_on)
+            last_row = pdf.iloc[[-1]].copy()
             has_prev = True
 
+        if not has_prev:
+            return
         for fr in open_parts:
             fr[_N] = rn_open
             yield emit(fr)
+        if flushed and open_is_first:
+            first_row[_N] = rn_open
         # the partition's first and last rows again, as segment rows
-        if open_parts:
-            last_row = open_parts[-1].iloc[[-1]].copy()
-            last_row[_KIND] = "last"
-            yield first_row
-            yield last_row
+        last_row[_N] = rn_open
+        last_row[_KIND] = "last"
+        yield first_row
+        yield last_row
 
     return run
 
@@ -145,7 +188,8 @@ def _sort_exprs(keys: Sequence[str], order: Sequence[str | Column]) -> list[Colu
 
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *,
                   dense_on: Sequence[str] = (), partitions: int | None = None,
-                  rn: str = "rn", n: str = "n", dr: str | None = None) -> DataFrame:
+                  rn: str = "rn", n: str = "n", dr: str | None = None,
+                  max_buffer: int = 1_000_000) -> DataFrame:
     """Add ``rn`` (row_number within ``keys`` ordered by ``order``), ``n``
     (group size) and, when ``dr`` is given, the dense rank of ``dense_on``
     within the group.
@@ -153,6 +197,11 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     ``order`` should make the order total (end it with a unique column) for a
     deterministic ``rn``; ``n`` and the dense rank do not depend on ties.
     Keep ``df`` narrow: every column passes through the Python worker.
+
+    ``partitions`` (default: ``spark.sql.shuffle.partitions``) bounds the
+    broadcast segment table at ``2 * partitions`` rows plus one row per group
+    of more than ``max_buffer`` rows lying inside a partition; a task holds at
+    most ``max_buffer`` rows of one group in memory.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -173,7 +222,7 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     # rows are then read from their own (tiny) directory, not by scanning
     # the numbered rows again
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
-    (ranged.mapInPandas(_local_numbering(keys, dense_on), schema)
+    (ranged.mapInPandas(_local_numbering(keys, dense_on, max_buffer), schema)
      .write.mode("overwrite").partitionBy(_KIND).parquet(path))
     stored = spark.read.schema(schema).parquet(path)
     numbered = stored.where(F.col(_KIND) == "row").drop(_KIND)
@@ -200,7 +249,15 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
         F.col(_PID).isNotNull().alias("_has_first"),
     )
     # A last-only segment whose key equals the partition's first key cannot
-    # happen (same key ⇒ same group ⇒ the join matched).
+    # happen (same key ⇒ same group ⇒ the join matched).  Large groups inside
+    # one partition whose rows were flushed before their size was known add
+    # one segment each, with their size.
+    sized = stored.where(F.col(_KIND) == "size").select(
+        F.col(_PID), *kf, F.col(_N).alias("_size"), F.lit(None).cast("bigint").alias("_dcount"),
+        *[F.lit(None).cast(df.schema[c].dataType).alias(f"_f_{i}") for i, c in enumerate(dense_on)],
+        *[F.lit(None).cast(df.schema[c].dataType).alias(f"_l_{i}") for i, c in enumerate(dense_on)],
+        F.lit(False).alias("_has_first"))
+    seg = seg.unionByName(sized)
     w = Window.partitionBy(*[f"_k_{i}" for i in range(len(keys))]).orderBy(_PID)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -217,7 +274,8 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
                     - F.sum("_dup").over(upto)).alias("_dense_off")))
     jcond = [F.col(_PID) == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_k_{i}"))
                                               for i, k in enumerate(keys)]
-    # seg has at most 2 * p rows: a proven bound, so broadcasting it is safe
+    # seg has at most 2 * p rows plus one per flushed inner group (each of
+    # more than max_buffer rows): a proven bound, so broadcasting it is safe
     out = numbered.join(F.broadcast(seg), jcond, "left")
     cols = [F.col(c) for c in df.columns]
     cols.append((F.col(_RN) + F.coalesce(F.col("_row_off"), F.lit(0))).alias(rn))

@@ -20,13 +20,13 @@ def _data(spark, n=2000, seed=7):
     return spark.createDataFrame(rows, "id long, g string, h int, v double")
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
-def test_matches_windows(spark, parts):
+@pytest.mark.parametrize("parts,buffer", [(1, 1_000_000), (3, 1_000_000), (16, 1_000_000), (1, 5), (3, 7)])
+def test_matches_windows(spark, parts, buffer):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
     try:
         df = _data(spark)
         got = number_within(df, ["g", "h"], [F.col("v").desc_nulls_last(), "id"], dense_on=["v"],
-                            partitions=parts, dr="dr").select("id", "rn", "n", "dr")
+                            partitions=parts, dr="dr", max_buffer=buffer).select("id", "rn", "n", "dr")
         ws = W.partitionBy("g", "h")
         exp = df.select(
             "id",
@@ -59,11 +59,11 @@ from hypothesis import strategies as st  # noqa: E402
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 4))),
                      min_size=1, max_size=60),
-       parts=st.integers(1, 5))
-def test_property_matches_windows(spark, rows, parts):
+       parts=st.integers(1, 5), buffer=st.sampled_from([1, 3, 1_000_000]))
+def test_property_matches_windows(spark, rows, parts, buffer):
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id long, g string, v int")
     got = number_within(df, ["g"], [F.col("v").asc_nulls_last(), "id"], dense_on=["v"],
-                        partitions=parts, dr="dr").select("id", "rn", "n", "dr")
+                        partitions=parts, dr="dr", max_buffer=buffer).select("id", "rn", "n", "dr")
     ws = W.partitionBy("g")
     exp = df.select(
         "id", F.row_number().over(ws.orderBy(F.col("v").asc_nulls_last(), "id")).cast("long").alias("rn"),
