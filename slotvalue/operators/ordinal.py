@@ -11,8 +11,8 @@ values with bounded tasks:
    sort each partition; a large group is split across neighbouring
    partitions by the range bounds;
 2. number rows inside each partition (``mapInPandas``: per-partition
-   imperative logic over sorted Arrow batches; only the open group of the
-   current partition is buffered);
+   imperative logic over sorted Arrow batches); rows wait only while their
+   group is open, at most ``max_buffer`` of them;
 3. write the numbered rows to a table in the session's checkpoint
    directory, so partition ids stay stable if an executor is lost, with the
    first and last row of every partition in a separate directory;
