@@ -25,7 +25,6 @@ WEIGHTS = {"title": 20, "section": 20, "text": 10}
 LIMIT = 50
 MIN_QUERY = 2
 COLLAPSE_AFTER = 3
-BREAKS = " ,:"
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 H1 = r"(?is)<h1[^>]*>(.*?)</h1>"

@@ -231,3 +231,12 @@ def test_approx_median_opt_in(spark):
     exact = slots.slot_value(_entrants(spark, data)).first()
     approx = slots.slot_value(_entrants(spark, data), median="approx").first()
     assert exact["med"] == 50.0 and abs(approx["med"] - 50.0) <= 1.0
+
+
+def test_report_order_and_exact_median(spark):
+    df = spark.createDataFrame([(1, 3, 1.0, 2000, "a"), (1, 1, 5.0, 2000, "b"), (1, 1, 7.0, 2001, "c"),
+                                (1, 2, 2.0, 2000, "d")],
+                               "slot long, category_ord long, rate double, class_year long, name string")
+    assert [r["name"] for r in report.report_order(df).collect()] == ["c", "b", "d", "a"]
+    med = slots.exact_median(df, ["slot"], "rate", ["name"]).first()
+    assert med["med"] == 3.5
