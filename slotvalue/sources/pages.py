@@ -49,9 +49,99 @@ def page_scan(pages: DataFrame) -> DataFrame:
                         F.length("html").cast("bigint").alias("n_chars"))
 
 
-def page_cells(pages: DataFrame) -> DataFrame:
+CELL_SCHEMA = ("page_id long, table_idx long, row_idx long, col_idx long, cell string, href string")
+
+
+def _parse_cells(batches):
+    """Per-partition HTML walk (stdlib ``html.parser``) that keeps nesting:
+    a table inside a cell is its own table, and its text also counts in the
+    enclosing cell, as a DOM text-content reading gives."""
+    import re
+    from html.parser import HTMLParser
+
+    import pandas as pd
+
+    space = re.compile(r"\s+")
+
+    class Walker(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out = []
+            self.stack = []        # open containers: [table_idx, kind, row_idx, open row]
+            self.cells = []        # open cells: [container, row, col, parts, href]
+            self.n_tables = 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("table", "ul", "ol"):
+                self.stack.append([self.n_tables, tag, -1, None])
+                self.n_tables += 1
+            elif tag in ("tr", "li") and self.stack:
+                top = self.stack[-1]
+                top[2] += 1
+                top[3] = {"col": -1}
+                if tag == "li":
+                    self._open_cell(top)
+            elif tag in ("td", "th") and self.stack and self.stack[-1][3] is not None:
+                self._open_cell(self.stack[-1])
+            elif tag == "a":
+                href = dict(attrs).get("href")
+                for c in self.cells:
+                    if c[4] is None and href is not None:
+                        c[4] = href
+
+        def _open_cell(self, top):
+            top[3]["col"] += 1
+            self.cells.append([top[0], top[2], top[3]["col"], [], None, id(top)])
+
+        def _close_cells(self, top):
+            keep = []
+            for c in self.cells:
+                if c[5] == id(top):
+                    self.out.append((c[0], c[1], c[2], space.sub(" ", "".join(c[3])).strip(), c[4]))
+                else:
+                    keep.append(c)
+            self.cells = keep
+
+        def handle_endtag(self, tag):
+            if not self.stack:
+                return
+            top = self.stack[-1]
+            if tag in ("td", "th", "li") or tag in ("tr",):
+                self._close_cells(top)
+            if tag in ("table", "ul", "ol") and top[1] == tag:
+                self._close_cells(top)
+                self.stack.pop()
+
+        def handle_data(self, data):
+            for c in self.cells:
+                c[3].append(data)
+
+    for pdf in batches:
+        rows = []
+        for page_id, html in zip(pdf["page_id"], pdf["html"]):
+            if html is None:
+                continue
+            w = Walker()
+            w.feed(html)
+            w.close()
+            for top in list(reversed(w.stack)):
+                w._close_cells(top)
+            rows.extend((page_id, *r) for r in w.out)
+        yield pd.DataFrame(rows, columns=["page_id", "table_idx", "row_idx", "col_idx", "cell", "href"])
+
+
+def page_cells(pages: DataFrame, method: str = "regex") -> DataFrame:
     """Long cells: page_id, table_idx, row_idx, col_idx (all from 0), cell
-    text and the first link target in the cell (NULL if none)."""
+    text and the first link target in the cell (NULL if none).
+
+    ``method="regex"`` (default) stays on the JVM and reads flat tables and
+    lists.  ``method="parser"`` walks each page with ``html.parser`` in
+    ``mapInPandas`` and also separates nested tables (slower: Python per
+    page)."""
+    if method == "parser":
+        return pages.select("page_id", "html").mapInPandas(_parse_cells, CELL_SCHEMA)
+    if method != "regex":
+        raise ValueError(f"unknown method {method!r}")
     containers = pages.select("page_id", F.posexplode(
         F.regexp_extract_all("html", F.lit(CONTAINER), 1)).alias("table_idx", "container"))
     rows = containers.select("page_id", "table_idx", F.posexplode(

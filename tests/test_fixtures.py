@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from slotvalue.functions.rfuncs import percent_label
 from slotvalue.functions.text import file_stem
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
-from slotvalue.sources import pages
+from slotvalue.sources import pages, tables
 
 AS_OF = "2001-12-31"
 
@@ -240,3 +240,22 @@ def test_report_order_and_exact_median(spark):
     assert [r["name"] for r in report.report_order(df).collect()] == ["c", "b", "d", "a"]
     med = slots.exact_median(df, ["slot"], "rate", ["name"]).first()
     assert med["med"] == 3.5
+
+
+def test_parser_cells_nested_and_equal_on_flat(spark):
+    nested = ("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>"
+              "<ul><li><a href='/x'>one &amp; two</a></li><li>three</li></ul>")
+    pg = spark.createDataFrame([(1, "u/1", nested), (2, "u/2", HTML)], "page_id long, url string, html string")
+    got = rows(pages.page_cells(pg, method="parser").where("page_id = 1"),
+               "table_idx", "row_idx", "col_idx", "cell", "href")
+    assert got == [(0, 0, 0, "ain", None), (0, 0, 1, "b", None), (1, 0, 0, "in", None),
+                   (2, 0, 0, "one & two", "/x"), (2, 1, 0, "three", None)]
+    flat = pg.where("page_id = 2")
+    assert rows(pages.page_cells(flat, method="parser")) == rows(pages.page_cells(flat))
+
+
+def test_parser_cells_match_regex_on_driver_pages(spark):
+    pg = tables.read_table(spark, "/root/testdata/sf0.01", "pages")
+    a = pages.page_cells(pg, method="parser")
+    b = pages.page_cells(pg)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
