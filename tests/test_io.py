@@ -19,7 +19,7 @@ def test_json_index_search(spark):
         {"objectID": "a.html#s", "href": "a.html#s", "title": "Second pick", "section": "Median",
          "text": "median value"},
     ]
-    with open(os.path.join(d, "search.json"), "w") as fh:
+    with open(os.path.join(d, "index.json"), "w") as fh:
         json.dump(entries, fh)
     idx = docindex.read_doc_index(spark, d)
     q = spark.createDataFrame([(1, "second pick"), (2, "median")], "query_id long, query string")
