@@ -138,11 +138,14 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
     ew = words.select("entry_id", F.explode("_words").alias("w"))
     cand = _rarest(qw, ew, "w")
     short = q.where(F.size("_inner") == 0)
-    if not short.isEmpty():
+    qtok = F.filter(F.split(F.col("lq"), r"\s+"), lambda t: F.length(t) >= 2)
+    # one small job over the query table decides which routes to plan
+    need = short.agg(F.count(F.lit(1)).alias("short"),
+                     F.count(F.when(F.size(qtok) == 0, 1)).alias("tiny")).first()
+    if need["short"] > 0:
         # no interior word: the query lies inside one entry word, or spans
         # the end of one word and the start of the next, so every gram of
         # each query word occurs inside some word of the entry
-        qtok = F.filter(F.split(F.col("lq"), r"\s+"), lambda t: F.length(t) >= 2)
         qgrams = F.array_distinct(F.flatten(F.transform(
             qtok, lambda t: F.when(F.length(t) == 2, F.array(t)).otherwise(_grams(t, 3)))))
         qg = short.select("query_id", F.explode(qgrams).alias("g"))
@@ -152,7 +155,7 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
         # queries whose words are all single characters ("a b"): grams that
         # cross white space, over whole fields
         tiny = short.where(F.size(qtok) == 0)
-        if not tiny.isEmpty():
+        if need["tiny"] > 0:
             tg = tiny.select("query_id", F.explode(
                 F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
             fg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
