@@ -40,3 +40,11 @@ def test_numbering_joins_a_broadcast_segment_table(spark):
     # the numbered rows meet the (at most 2 * partitions rows) segment table
     # in a broadcast left join; only segment-table pieces are ever shuffled
     assert "BroadcastHashJoin" in p and "LeftOuter, BuildRight" in p
+
+
+def test_no_registered_query_uses_a_cross_join(spark):
+    import __spark_entry__ as E
+    for key, fn in E.queries().items():
+        p = plan(fn(spark, SF))
+        assert "CartesianProduct" not in p, key
+        assert "BroadcastNestedLoopJoin" not in p, key
