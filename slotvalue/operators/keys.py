@@ -33,8 +33,10 @@ def entity_key(df: DataFrame, *, name: str = "name",
     counts come from the skew-safe numbering operator, not from a window
     partitioned by the key.
     """
-    keyed = name_clean(df, name)
+    # only the base key travels through the numbering; the other name parts
+    # are cheap expressions and are derived again afterwards
+    keyed = name_clean(df, name).drop("name_clean", "first_name", "last_name")
     numbered = number_within(keyed, ["base_id"], list(order), rn="_occ", n="_n_key")
     player = F.when(F.col("_n_key") == 1, F.col("base_id")).otherwise(
         F.concat(F.col("base_id"), F.col("_occ").cast("string")))
-    return numbered.withColumn("player_id", player).drop("_occ", "_n_key")
+    return name_clean(numbered.withColumn("player_id", player).drop("_occ", "_n_key"), name)
