@@ -17,10 +17,11 @@ values with bounded tasks:
    directory, so partition ids stay stable if an executor is lost, with the
    first and last row of every partition in a separate directory;
 4. only the first and the last group of a partition can continue in another
-   partition.  Their pieces ("segments", at most ``2 * P`` rows) get their
-   offsets and totals from a window over the segment table, which is then
-   broadcast (its size is bounded by ``P``) and joined back on
-   (partition id, key).  Rows of other groups keep their local numbers.
+   partition.  Their pieces ("segments", at most ``2 * P`` rows, plus one per
+   group flushed in step 2 inside a partition) get their offsets and totals
+   from a window over the segment table, which is then broadcast (its size
+   is bounded by ``P`` and ``max_buffer``) and joined back on (partition id,
+   key).  Rows of other groups keep their local numbers.
 
 The result is one range shuffle of the input plus small side tables; no
 group-keyed shuffle and no join on a skewed key.
