@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY)
+                                    PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
+                                    COMPARE_FIRST)
 from slotvalue.sources import files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +126,7 @@ def _slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cmp_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.lowest_mean(_slot_summary(spark, sf_dir)).select("slot", r6("avg"))
+    return compare.lowest_mean(_slot_summary(spark, sf_dir), first=COMPARE_FIRST).select("slot", r6("avg"))
 
 
 def q_cmp_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +140,10 @@ def q_cmp_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cmp_worst_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = slots.slot_rank(slots.class_rank(tables.entrants(spark, sf_dir)), max_slot=FIRST_ROUND)
-    df = compare.worst_rank(ranks)
+    # only the first five slots are compared: summarise just those (ranks are
+    # still computed over every slot of each class)
+    ranks = slots.slot_rank(slots.class_rank(tables.entrants(spark, sf_dir)), max_slot=COMPARE_FIRST)
+    df = compare.worst_rank(ranks, first=COMPARE_FIRST)
     return df.select("slot", r6("avg_rank"), r6("med_rank"), "avg_pos", "med_pos")
 
 

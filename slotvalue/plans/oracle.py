@@ -7,7 +7,7 @@ from __future__ import annotations
 from slotvalue.functions.text import latin_ascii_sql
 from slotvalue.sources.pages import CELL, CLASS_IN_URL, CONTAINER, ENTITIES, HAS_CELL, HREF, ROW, TAG
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY)
+                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY, COMPARE_FIRST)
 from slotvalue.operators.corpus import ARTICLE, H1, PARA, TITLE
 
 D = FLOAT_DIGITS
@@ -329,7 +329,7 @@ focus AS (SELECT max(avg) AS fa, max(med) AS fm FROM summary WHERE slot = {FOCUS
 
 SQL["cmp_lowest"] = f"""
 WITH {ENTRANTS}, {SLOT_SUMMARY}
-SELECT slot, round(avg, {D}) AS avg FROM summary WHERE slot <= 5
+SELECT slot, round(avg, {D}) AS avg FROM summary WHERE slot <= {COMPARE_FIRST}
 ORDER BY summary.avg ASC NULLS LAST, slot LIMIT 1
 """
 
@@ -352,7 +352,7 @@ s AS (
   SELECT slot,
          CASE WHEN count(*) = count(class_rank) THEN avg(class_rank) END AS avg_rank,
          CASE WHEN count(*) = count(class_rank) THEN CAST(median(class_rank) AS DOUBLE) END AS med_rank
-  FROM class_ranked WHERE slot <= 5 GROUP BY slot
+  FROM class_ranked WHERE slot <= {COMPARE_FIRST} GROUP BY slot
 )
 SELECT slot, round(avg_rank, {D}) AS avg_rank, round(med_rank, {D}) AS med_rank,
        CAST(rank() OVER (ORDER BY avg_rank DESC NULLS LAST) AS BIGINT) AS avg_pos,

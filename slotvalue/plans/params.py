@@ -17,3 +17,4 @@ PLACEHOLDER = "images/placeholder.jpg"
 LISTING_PAGE = 2
 LISTING_SIZE = 25
 CATEGORY = "fr"
+COMPARE_FIRST = 5      # "the first five" slots of the comparisons
