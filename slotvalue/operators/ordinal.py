@@ -190,7 +190,7 @@ def _sort_exprs(keys: Sequence[str], order: Sequence[str | Column]) -> list[Colu
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *,
                   dense_on: Sequence[str] = (), partitions: int | None = None,
                   rn: str = "rn", n: str = "n", dr: str | None = None,
-                  max_buffer: int = 1_000_000) -> DataFrame:
+                  max_buffer: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Add ``rn`` (row_number within ``keys`` ordered by ``order``), ``n``
     (group size) and, when ``dr`` is given, the dense rank of ``dense_on``
     within the group.
@@ -202,7 +202,9 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     ``partitions`` (default: ``spark.sql.shuffle.partitions``) bounds the
     broadcast segment table at ``2 * partitions`` rows plus one row per group
     of more than ``max_buffer`` rows lying inside a partition; a task holds at
-    most ``max_buffer`` rows of one group in memory.
+    most ``max_buffer`` rows of one group in memory.  The broadcast of the
+    segment table is forced only when it has at most ``broadcast_rows`` rows
+    (checked); beyond that Spark picks the join by size.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -276,8 +278,14 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     jcond = [F.col(_PID) == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_k_{i}"))
                                               for i, k in enumerate(keys)]
     # seg has at most 2 * p rows plus one per flushed inner group (each of
-    # more than max_buffer rows): a proven bound, so broadcasting it is safe
-    out = numbered.join(F.broadcast(seg), jcond, "left")
+    # more than max_buffer rows).  Its size is checked (a count over the
+    # small segment directories only) before the broadcast is forced; beyond
+    # ``broadcast_rows`` the join is left to Spark's own size-based choice,
+    # and a shuffle on (partition id, key) still spreads a large group over
+    # its partition ids
+    n_seg = stored.where(F.col(_KIND) != "row").count()
+    side = F.broadcast(seg) if n_seg <= broadcast_rows else seg
+    out = numbered.join(side, jcond, "left")
     cols = [F.col(c) for c in df.columns]
     cols.append((F.col(_RN) + F.coalesce(F.col("_row_off"), F.lit(0))).alias(rn))
     cols.append(F.coalesce(F.col("_n_total"), F.col(_N)).cast("bigint").alias(n))

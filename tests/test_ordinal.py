@@ -70,3 +70,10 @@ def test_property_matches_windows(spark, rows, parts, buffer):
         F.count("*").over(ws).alias("n"),
         F.dense_rank().over(ws.orderBy(F.col("v").asc_nulls_last())).cast("long").alias("dr"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_segment_table_without_forced_broadcast(spark):
+    df = spark.range(0, 300).withColumn("g", (F.col("id") % 3).cast("string"))
+    got = number_within(df, ["g"], ["id"], partitions=5, broadcast_rows=0)
+    exp = df.select("id", F.row_number().over(W.partitionBy("g").orderBy("id")).cast("long").alias("rn"))
+    assert got.select("id", "rn").exceptAll(exp).count() == 0
