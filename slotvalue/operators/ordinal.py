@@ -29,17 +29,24 @@ group-keyed shuffle and no join on a skewed key.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slotvalue.session import ensure_checkpoint_dir
 
+# The per-partition Python functions of this module run on executors; they
+# are pickled with their code, so executors need not have this package on
+# their path (on a cluster it can still be shipped with --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PID, _RN, _N, _DR, _KIND = ("_pid", "_rn_local", "_n_local", "_dr_local", "_kind")
 
 
@@ -199,7 +206,8 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     deterministic ``rn``; ``n`` and the dense rank do not depend on ties.
     Keep ``df`` narrow: every column passes through the Python worker.
 
-    ``partitions`` (default: ``spark.sql.shuffle.partitions``) bounds the
+    ``partitions`` (default: ``spark.sql.shuffle.partitions``, which AQE may
+    coalesce for small inputs) bounds the
     broadcast segment table at ``2 * partitions`` rows plus one row per group
     of more than ``max_buffer`` rows lying inside a partition; a task holds at
     most ``max_buffer`` rows of one group in memory.  The broadcast of the
@@ -208,11 +216,14 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
     dense_on = list(dense_on)
     sort = _sort_exprs(keys, order)
-    ranged = df.repartitionByRange(p, *sort).sortWithinPartitions(*sort)
+    # without an explicit count the range exchange uses
+    # spark.sql.shuffle.partitions and AQE may merge neighbouring small
+    # ranges (still contiguous and in order, which is all the numbering needs)
+    ranged = (df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)) \
+        .sortWithinPartitions(*sort)
     schema = T.StructType(list(df.schema.fields) + [
         T.StructField(_PID, T.IntegerType(), False),
         T.StructField(_RN, T.LongType(), False),

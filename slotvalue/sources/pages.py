@@ -11,11 +11,19 @@ removed, entities decoded and white space collapsed.  Cells stay long
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The per-partition Python functions of this module run on executors; they
+# are pickled with their code, so executors need not have this package on
+# their path (on a cluster it can still be shipped with --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CONTAINER = r"(?is)<(?:table|ul|ol)\b[^>]*>(.*?)</(?:table|ul|ol)>"
 ROW = r"(?is)<(?:tr|li)\b[^>]*>(.*?)</(?:tr|li)>"
 CELL = r"(?is)<(?:td|th)\b[^>]*>(.*?)</(?:td|th)>"
