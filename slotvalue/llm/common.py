@@ -6,12 +6,14 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The functions that run in tasks are pickled with their code, so executors
 # do not need this package on their path.
@@ -77,6 +79,24 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def map_columns(df: DataFrame, inputs: list[Column], fn: Callable[..., list], added: list[tuple[str, str]]) -> DataFrame:
+    """All columns of ``df`` and the ``added`` (name, type) ones, which
+    ``fn(*arrays)`` computes from the Arrow arrays of ``inputs``, batch by
+    batch.  A name that is taken gets underscores in front."""
+    kept, names = len(df.columns), list(df.columns)
+    fields = list(df.schema.fields)
+    for name, kind in added:
+        names.append(free_name(names, name))
+        fields.append(T.StructField(names[-1], T._parse_datatype_string(kind)))
+    src = df.select("*", *[c.alias(free_name(names, f"in{i}")) for i, c in enumerate(inputs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], *fn(*b.columns[kept:])], names=names)
+
+    return src.mapInArrow(run, T.StructType(fields))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of undirected ``edges`` (a, b: long, no nulls) as
     (node, root), root being the smallest node; one row per node of an edge.

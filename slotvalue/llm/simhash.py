@@ -27,7 +27,6 @@ ignored by ``fingerprints`` and ``simhash_groups`` and kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import LOWER, column_bytes, components, free_name, stored
+from slotvalue.llm.common import LOWER, column_bytes, components, free_name, map_columns, stored
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -66,22 +65,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
-def _marked(df: DataFrame, kept: list[str], text_col: str, shingle: int) -> DataFrame:
-    """The long columns ``kept`` and fp, the fingerprint's 64 bits as a long."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in column_bytes(b.column(len(kept)))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
+def _marked(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``df`` with fp, the fingerprint's 64 bits as a long, for its text."""
+    def fps(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, shingle) for t in column_bytes(texts)], np.uint64).view(np.int64))]
 
-    src = df.select(*kept, F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
+    return map_columns(df, [F.col(text_col).cast("string")], fps, [("fp", "long")])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE) -> DataFrame:
     """(id, fp), one row per row."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _marked(src, ["id"], "text", shingle)
+    return _marked(src, "text", shingle).select("id", "fp")
 
 
 def _segments() -> F.Column:
@@ -164,7 +160,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.withColumns({row_id: F.col(id_col).cast("long"),
                               row_hash: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     narrow = keyed.select(F.col(row_id).alias("id"), F.col(row_hash).alias("hash"), F.col(text_col).alias("text"))
-    marked = stored(_marked(narrow, ["id", "hash"], "text", shingle), "simhash-fp")
+    marked = stored(_marked(narrow, "text", shingle).select("id", "hash", "fp"), "simhash-fp")
     distinct = stored(marked.select("fp").distinct(), "simhash-distinct")
     joined = components(links(distinct, dense), "simhash-components")
     roots = marked.join(joined, marked.fp == joined.node, "left").select(
