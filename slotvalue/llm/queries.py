@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import langid, simhash
+from slotvalue.llm import decontam, langid, simhash
 from slotvalue.llm.common import remainder, table
 
 
@@ -17,6 +17,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.mark(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -27,6 +32,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
 }
 SQL: dict[str, str] = {}
