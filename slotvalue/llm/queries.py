@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import decontam, langid, simhash
+from slotvalue.llm import decontam, langid, mixing, sharding, simhash
 from slotvalue.llm.common import remainder, table
+from slotvalue.llm.oracle import SQL  # noqa: F401
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return sharding.shard(docs).select("doc_id", size.alias("n_bytes"), "shard")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +37,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix_documents(docs).drop("text", "lang", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
     "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
+    "op8_mixing": op8_mixing,
 }
-SQL: dict[str, str] = {}
