@@ -62,4 +62,16 @@ FROM c JOIN (SELECT unnest(range(0, {EPOCHS}))::INTEGER AS epoch) e
   ON e.epoch < full_epochs OR (e.epoch = full_epochs AND upto <= rest)
 """
 
-SQL = {"op1_sharding": SHARDING, "op8_mixing": MIXING}
+#: URLs of the tables hold no white space, so they are written as they are.
+WARC = """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
+       coalesce(url, 'urn:page:' || page_id) AS target_uri
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import decontam, langid, mixing, sharding, simhash
-from slotvalue.llm.common import remainder, table
+from slotvalue.llm import decontam, langid, mixing, sharding, simhash, warc
+from slotvalue.llm.common import remainder, scratch, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 
 
@@ -24,6 +24,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.mark(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -45,6 +50,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
     "op8_mixing": op8_mixing,
