@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import decontam, langid, mixing, sharding, simhash, warc
+from slotvalue.llm import decontam, langid, mixing, sharding, simhash, tokenio, warc
 from slotvalue.llm.common import remainder, scratch, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 
@@ -47,6 +48,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).drop("text", "lang", "source")
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenio.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenio.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_simhash": op3_simhash,
@@ -54,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
     "op8_mixing": op8_mixing,
+    "op10_tokens": op10_tokens,
 }
