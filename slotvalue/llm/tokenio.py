@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,37 +50,57 @@ RECORDS = 256
 END_ID = 2
 MAGIC = int.from_bytes(b"S8BTOKEN", "little")
 SEPARATOR = "S8B-END\n"
-CACHE = 200_000
+CACHE = 500_000
 _HEAD = 8
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_ODD_BLANK = re.compile(r" (?:\s|$)")
+_ODD_BLANK = re.compile(r"[ \n](?:\s|$)|[^\S\n ]\n|^\n")
+
+
+def _fitting(ids: np.ndarray) -> np.ndarray:
+    """The selector of the word that would start at each id: the one with most
+    ids whose widest is narrow enough, looking no further than the block."""
+    n = len(ids)
+    width = np.zeros((-(-n // BLOCK), BLOCK + COUNTS[1]), np.uint8)  # nothing follows the block's end
+    flat = np.zeros(width.shape[0] * BLOCK, np.uint8)
+    flat[:n] = np.frexp(ids.astype(np.float64))[1]
+    width[:, :BLOCK] = flat.reshape(-1, BLOCK)
+    widest, span = width, 1
+    choice = np.full(flat.shape, ESCAPE, np.int8).reshape(-1, BLOCK)
+    for s in range(len(COUNTS) - 1, 0, -1):
+        while span < COUNTS[s]:  # widest of the next ``span`` ids, from two shorter spans
+            grow = min(span, COUNTS[s] - span)
+            widest = np.maximum(widest[:, :widest.shape[1] - grow], widest[:, grow:])
+            span += grow
+        choice[widest[:, :BLOCK] <= WIDTHS[s]] = s
+    choice = choice.reshape(-1)[:n]
+    choice[ids >= np.uint64(1 << 60)] = ESCAPE
+    return choice
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of every block, escaped ids) of unsigned ids."""
     ids = ids.astype(np.uint64)
     n = len(ids)
-    place = np.arange(n)
-    ends = np.minimum((place // BLOCK + 1) * BLOCK, n)
-    wide = ids >= np.uint64(1 << 60)
-    choice = np.zeros(n, np.int8)
-    for s in range(len(COUNTS) - 1, 0, -1):  # the selector with most ids wins
-        misfits = np.concatenate(([0], np.cumsum(ids >= np.uint64(1 << WIDTHS[s]))))
-        choice[misfits[np.minimum(place + COUNTS[s], ends)] == misfits[:-1]] = s
-    steps = np.minimum(np.where(wide, 1, np.array(COUNTS)[choice]), ends - place).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
+    choice = _fitting(ids)
+    size = np.array([1, *COUNTS[1:]])[choice]
+    starts = []
+    for first in range(0, n, BLOCK):
+        steps, at = size[first:first + BLOCK].tolist(), 0
+        while at < len(steps):
+            starts.append(first + at)
+            at += steps[at]
     starts = np.array(starts, np.int64)
     selectors = choice[starts]
+    ends = np.minimum((starts // BLOCK + 1) * BLOCK, n)
     words = selectors.astype(np.uint64) << np.uint64(60)
     for s in range(1, len(COUNTS)):
         mine = np.flatnonzero(selectors == s)
         for j in range(COUNTS[s] if len(mine) else 0):
             at = starts[mine] + j
-            inside = at < ends[starts[mine]]
-            words[mine[inside]] |= ids[at[inside]] << np.uint64(j * WIDTHS[s])
+            if j and COUNTS[s] > 1:  # the last word of a block may hold fewer
+                inside = at < ends[mine]
+                mine, at = mine[inside], at[inside]
+            words[mine] |= ids[at] << np.uint64(j * WIDTHS[s])
     escaped = np.flatnonzero(selectors == ESCAPE)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, np.searchsorted(starts, np.arange(0, n, BLOCK)), ids[starts[escaped]]
@@ -106,37 +128,74 @@ def unpack(words: np.ndarray, firsts: np.ndarray, n: int, escaped: np.ndarray) -
     return out
 
 
+class Words(dict):
+    """Ids of ``blank`` and a word, encoded once and kept (the first ``CACHE``
+    short ones that a worker meets)."""
+
+    def __init__(self, tokenizer, blank: str):
+        self.tokenizer, self.blank, self.bpe = tokenizer, blank, tokenizer.model
+        self.le = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        found = _LATIN.fullmatch(word)
+        if not found:
+            ids = self.whole(self.blank + word)
+        elif found[2]:  # letters and the marks that follow are pieces of their own
+            ids = self[found[1]] + self.whole(found[2])
+        else:  # one piece: straight to the model, in the byte alphabet
+            units = (self.blank + word).encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
+            ids = b"".join([self.le[t.id] for t in self.bpe.tokenize(units)])
+        if len(word) <= 64 and len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts.  Byte-level BPE splits a text into pieces that never
-    reach over a blank that comes right before a word, so pieces between such
-    blanks are encoded once and kept, at most ``CACHE`` of them."""
+    reach over a blank right before a word, nor over a line end between two
+    words, so a text is encoded word by word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def _fresh(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        tokenizer = Tokenizer.from_file(path)
+        self.first, self.later = Words(tokenizer, ""), Words(tokenizer, " ")
+        self.line_end = self.first.whole("\n")
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if _ODD_BLANK.search(text):
             first, *rest = _BEFORE_WORD.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        got = list(map(self.kept.get, rest))
-        if None in got:
-            new = list({w for w, ids in zip(rest, got) if ids is None})
-            known = dict(zip(new, self._fresh([" " + w for w in new])))
-            got = [known[w] if ids is None else ids for w, ids in zip(rest, got)]
-            if len(self.kept) + len(known) > CACHE:
-                self.kept.clear()
-            self.kept.update((w, ids) for w, ids in list(known.items())[:CACHE] if len(w) <= 64)
-        return b"".join([*self._fresh([first]), *got])
+            return b"".join([self.first.whole(first), *[self.later[x[1:]] for x in rest]])
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(b"".join([self.first[first], *map(self.later.__getitem__, rest)]))
+        return self.line_end.join(lines)
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte-level BPE writes bytes as characters: printable Latin-1 ones as
+    themselves, the others, in order, as the characters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_BYTE_ALPHABET = _byte_alphabet()
+#: Latin letters are one piece, and so are the marks behind them.
+_LATIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+
+
+def _encoder(path: str) -> Encoder:
+    """This worker process' encoder for ``path``; it outlives the task."""
+    held = sys.modules.setdefault("_llm_encoders", types.ModuleType("_llm_encoders"))
+    if path not in held.__dict__:
+        held.__dict__[path] = Encoder(path)
+    return held.__dict__[path]
 
 
 def record(part: int, before: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -171,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, before = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, chunks, held = [], [], 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
