@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import decontam, langid, mixing, quality, sharding, simhash, tokenio, warc
+from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, tokenio, warc
 from slotvalue.llm.common import remainder, scratch, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 
@@ -56,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs).drop("text", "lang", "source")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokenio.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
     "op8_mixing": op8_mixing,
+    "op9_ann": op9_ann,
     "op10_tokens": op10_tokens,
 }
