@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, tokenio, warc
+from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, warc
 from slotvalue.llm.common import remainder, scratch, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 
@@ -51,6 +51,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
+                       F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix_documents(docs).drop("text", "lang", "source")
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_decontam": op5_decontam,
     "op6_langid": op6_langid,
+    "op7_substring": op7_substring,
     "op8_mixing": op8_mixing,
     "op9_ann": op9_ann,
     "op10_tokens": op10_tokens,
