@@ -5,301 +5,158 @@ putting any group into one task.
 group holds a large share of the rows (one slot, one class, one name key
 for a third of the table) that task holds the whole group.  This operator
 computes the same ``row_number`` / ``dense_rank`` / ``count(*) over (g)``
-values with bounded tasks:
-
-1. range-partition the rows on (group keys, order) into ``P`` partitions and
-   sort each partition; a large group is split across neighbouring
-   partitions by the range bounds;
-2. number rows inside each partition (``mapInPandas``: per-partition
-   imperative logic over sorted Arrow batches); rows wait only while their
-   group is open, at most ``max_buffer`` of them;
-3. write the numbered rows to a table in the session's checkpoint
-   directory, so partition ids stay stable if an executor is lost, with the
-   first and last row of every partition in a separate directory;
-4. only the first and the last group of a partition can continue in another
-   partition.  Their pieces ("segments", at most ``2 * P`` rows, plus one per
-   group flushed in step 2 inside a partition) get their offsets and totals
-   from a window over the segment table, which is then broadcast (its size
-   is bounded by ``P`` and ``max_buffer``) and joined back on (partition id,
-   key).  Rows of other groups keep their local numbers.
-
-The result is one range shuffle of the input plus small side tables; no
-group-keyed shuffle and no join on a skewed key.
+values in three steps, all with built-in functions:
+
+1. one aggregate takes quantile bounds of every order column over the whole
+   table (``percentile_approx``, a sketch of bounded size), attached as a
+   scalar subquery.  A row's bucket is its place among the bounds of the
+   leading order column.  Rows that equal a bound (a value that many rows
+   share) have a bucket of their own, which the next order column's bounds
+   split in the same way, and so on;
+2. numbers are counted within (group, bucket), which holds about one part in
+   ``buckets`` of all rows at most;
+3. rows per (group, bucket) come from a partial aggregate; running sums over
+   the few buckets of each group give the offsets, joined on (group, bucket).
+
+Nothing runs while the plan is built.  A bucket cannot be split where all
+order columns tie, where a bound falls among integers beyond 2**53 (bounds
+are taken as doubles) or where the tied column is text (its first seven bytes
+are compared with the bounds); the numbers are exact in every case.
 """
 
 from __future__ import annotations
 
-import sys
-import uuid
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slotvalue.session import ensure_checkpoint_dir
-
-# The per-partition Python functions of this module run on executors; they
-# are pickled with their code, so executors need not have this package on
-# their path (on a cluster it can still be shipped with --py-files).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_PID, _RN, _N, _DR, _KIND = ("_pid", "_rn_local", "_n_local", "_dr_local", "_kind")
-
-
-def _differs(cur: pd.Series, prev_first, has_prev: bool) -> np.ndarray:
-    """Per row: does the value differ from the previous row (null == null)?"""
-    prev = cur.shift(1)
-    eq = (cur == prev) | (cur.isna() & prev.isna())
-    out = ~eq.to_numpy(dtype=bool)
-    if len(cur):
-        if has_prev:
-            a = cur.iloc[0]
-            a_na, b_na = pd.isna(a), pd.isna(prev_first)
-            out[0] = not ((a_na and b_na) or (not a_na and not b_na and a == prev_first))
-        else:
-            out[0] = True
-    return out
-
-
-def _local_numbering(keys: Sequence[str], dense_on: Sequence[str], max_buffer: int):
-    """Build the per-partition function.  Rows arrive sorted by (keys, order).
-
-    Rows are held back only while their group is open, to give them the
-    group's size.  An open group holding more than ``max_buffer`` rows is
-    flushed with size -1 (unknown); its size then comes from a ``size`` row
-    (or from the partition's first/last row when it is the first or last
-    group), so a task never holds more than ``max_buffer`` rows of a group.
-    """
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        has_prev = False
-        last_key: tuple = ()
-        last_val: tuple = ()
-        rn_open = 0           # rows of the open group seen so far
-        dr_open = 0           # distinct dense values of the open group so far
-        open_parts: list[pd.DataFrame] = []   # held-back rows of the open group
-        held = 0              # number of held-back rows
-        flushed = False       # were rows of the open group emitted without a size?
-        open_is_first = True  # is the open group the partition's first group?
-        open_key_row: pd.DataFrame | None = None   # one row carrying the open group's keys
-        first_row: pd.DataFrame | None = None      # copy of the partition's first row
-        last_row: pd.DataFrame | None = None
-
-        def emit(frame: pd.DataFrame) -> pd.DataFrame:
-            nonlocal first_row
-            frame[_KIND] = "row"
-            if first_row is None:
-                first_row = frame.iloc[[0]].copy()
-                first_row[_KIND] = "first"
-            return frame
-
-        def close_open(size: int) -> Iterator[pd.DataFrame]:
-            """The open group is complete: give held rows their size and
-            record the size of a flushed group."""
-            for fr in open_parts:
-                fr[_N] = size
-                yield emit(fr)
-            if flushed:
-                if open_is_first:
-                    first_row[_N] = size
-                else:
-                    row = open_key_row.copy()
-                    row[_N] = size
-                    row[_KIND] = "size"
-                    yield row
-
-        for pdf in batches:
-            m = len(pdf)
-            if m == 0:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            new_group = np.zeros(m, dtype=bool)
-            for i, k in enumerate(keys):
-                new_group |= _differs(pdf[k], last_key[i] if has_prev else None, has_prev)
-            if not has_prev:
-                new_group[0] = True
-            new_val = new_group.copy()
-            for i, c in enumerate(dense_on):
-                new_val |= _differs(pdf[c], last_val[i] if has_prev else None, has_prev)
-            gidx = np.cumsum(new_group)               # 0 = continues the open group
-            cont = gidx == 0
-            rn = pd.Series(np.ones(m, dtype=np.int64)).groupby(gidx).cumsum().to_numpy()
-            dr = pd.Series(new_val.astype(np.int64)).groupby(gidx).cumsum().to_numpy()
-            rn = rn + np.where(cont, rn_open, 0)
-            dr = dr + np.where(cont, dr_open, 0)
-            sizes = pd.Series(gidx).map(pd.Series(gidx).value_counts()).to_numpy()
-            pdf[_PID] = np.int32(pid)
-            pdf[_RN] = rn.astype(np.int64)
-            pdf[_DR] = dr.astype(np.int64)
-            pdf[_N] = sizes.astype(np.int64)
-            last_g = int(gidx[-1])
-            if last_g > 0:
-                # the open group of earlier batches (if any) is complete
-                if has_prev:
-                    size = rn_open + int(cont.sum())
-                    pdf.loc[cont, _N] = size
-                    yield from close_open(size)
-                    if cont.any():
-                        yield emit(pdf.loc[cont].copy())
-                    open_is_first = False
-                else:
-                    open_is_first = last_g == 1
-                closed = (gidx < last_g) & ~cont
-                if closed.any():
-                    yield emit(pdf.loc[closed].copy())
-                    open_is_first = False if last_g > 1 else open_is_first
-                tail = pdf.loc[gidx == last_g].copy()
-                open_parts, held, flushed = [tail], len(tail), False
-                open_key_row = tail.iloc[[0]].copy()
-            else:
-                open_parts.append(pdf)
-                held += m
-            if held > max_buffer:
-                for fr in open_parts:
-                    fr[_N] = -1
-                    yield emit(fr)
-                open_parts, held, flushed = [], 0, True
-            rn_open = int(rn[-1])
-            dr_open = int(dr[-1])
-            last_key = tuple(pdf[k].iloc[-1] for k in keys)
-            last_val = tuple(pdf[c].iloc[-1] for c in dense_on)
-            last_row = pdf.iloc[[-1]].copy()
-            has_prev = True
-
-        if not has_prev:
-            return
-        for fr in open_parts:
-            fr[_N] = rn_open
-            yield emit(fr)
-        if flushed and open_is_first:
-            first_row[_N] = rn_open
-        # the partition's first and last rows again, as segment rows
-        last_row[_N] = rn_open
-        last_row[_KIND] = "last"
-        yield first_row
-        yield last_row
-
-    return run
-
-
-def _sort_exprs(keys: Sequence[str], order: Sequence[str | Column]) -> list[Column]:
-    return ([F.col(k).asc_nulls_first() for k in keys]
-            + [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order])
-
-
-def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *,
-                  dense_on: Sequence[str] = (), partitions: int | None = None,
-                  rn: str = "rn", n: str = "n", dr: str | None = None,
-                  max_buffer: int = 1_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+#: An order column: its name (ascending) or (name, "asc" / "desc"); NULLs last.
+Order = str | tuple[str, str]
+
+
+def _parsed(order: Sequence[Order]) -> list[tuple[str, bool]]:
+    return [(o, False) if isinstance(o, str) else (o[0], o[1] == "desc") for o in order]
+
+
+def _sorted_by(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+
+
+def _measure(kind: T.DataType, name: str, desc: bool) -> tuple[Column, bool]:
+    """(a number that never falls along the order, whether equal numbers mean
+    equal values)."""
+    c = F.col(name)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return (-c if desc else c).cast("double"), True
+    if isinstance(kind, T.DecimalType):
+        return (-c if desc else c).cast("double"), False
+    exact = True
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        v = c.cast("long")
+    elif isinstance(kind, T.DateType):
+        v = F.unix_date(c).cast("long")
+    elif isinstance(kind, T.TimestampType):
+        v = F.unix_micros(c)
+    elif isinstance(kind, T.StringType):
+        v, exact = F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), False
+    else:
+        v, exact = F.when(c.isNotNull(), F.lit(0).cast("long")), False
+    return (F.bitwise_not(v) if desc else v), exact
+
+
+def _with_buckets(df: DataFrame, order: list[tuple[str, bool]], parts: int) -> tuple[DataFrame, list[str]]:
+    """``df`` with one bucket column per order column."""
+    depth = max(1, math.ceil(math.log2(parts)))
+    m = (1 << depth) - 1
+    measures = [_measure(df.schema[c].dataType, c, desc) for c, desc in order]
+
+    def number(c: str, p: Column) -> Column:
+        floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+        return F.when(~F.isnan(c), p) if floating else p
+
+    shares = [i / (m + 1) for i in range(1, m + 1)]
+    bounds = df.select(F.struct(*[
+        F.percentile_approx(number(c, p), shares, 10 * (m + 1)).alias(f"c{i}")
+        for i, ((c, _), (p, _)) in enumerate(zip(order, measures))])).scalar()
+    out = df.withColumn("_bounds", bounds)
+    split, names = F.lit(True), []
+    for i, ((c, desc), (p, exact)) in enumerate(zip(order, measures)):
+        at = F.col(f"_bounds.c{i}")
+        # binary search: how many bounds lie below the measure
+        below = F.aggregate(
+            F.array(*[F.lit(1 << s) for s in reversed(range(depth))]), F.lit(0),
+            lambda found, step: found + F.when(F.try_element_at(at, found + step) < p, step).otherwise(F.lit(0)))
+        out = out.withColumn(f"_below{i}", below)
+        tie = F.coalesce(F.try_element_at(at, F.col(f"_below{i}") + 1) == p, F.lit(False)) if exact else F.lit(False)
+        code = 2 * F.col(f"_below{i}") + tie.cast("int")
+        is_nan = F.isnan(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)
+        code = F.when(F.col(c).isNull(), 2 * m + 3).when(is_nan, -1 if desc else 2 * m + 2).otherwise(code)
+        out = out.withColumn(f"_b{i}", F.when(split, code).otherwise(F.lit(-2)))
+        names.append(f"_b{i}")
+        split = split & (F.col(c).isNull() | F.coalesce(is_nan, F.lit(False)) | tie)
+    return out, names
+
+
+def _plain_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """NULL-free copies of the keys, so that windows, aggregates and the join
+    share one hash partitioning."""
+    names = []
+    for i, k in enumerate(keys):
+        kind, c = df.schema[k].dataType, F.col(k)
+        plain = F.coalesce(c, F.lit(0).cast(kind)) if isinstance(kind, T.IntegralType) else F.coalesce(c.cast("string"), F.lit(""))
+        df = df.withColumn(f"_k{i}", plain).withColumn(f"_null{i}", c.isNull())
+        names += [f"_k{i}", f"_null{i}"]
+    return df, names
+
+
+def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Order], *,
+                  dense_on: int = 0, buckets: int | None = None,
+                  rn: str = "rn", n: str = "n", dr: str | None = None, bucket: str | None = None) -> DataFrame:
     """Add ``rn`` (row_number within ``keys`` ordered by ``order``), ``n``
-    (group size) and, when ``dr`` is given, the dense rank of ``dense_on``
-    within the group.
+    (group size) and, when ``dr`` is given, the dense rank of the first
+    ``dense_on`` order columns within the group.
 
     ``order`` should make the order total (end it with a unique column) for a
     deterministic ``rn``; ``n`` and the dense rank do not depend on ties.
-    Keep ``df`` narrow: every column passes through the Python worker.
-
-    ``partitions`` (default: ``spark.sql.shuffle.partitions``, which AQE may
-    coalesce for small inputs) bounds the
-    broadcast segment table at ``2 * partitions`` rows plus one row per group
-    of more than ``max_buffer`` rows lying inside a partition; a task holds at
-    most ``max_buffer`` rows of one group in memory.  The broadcast of the
-    segment table is forced only when it has at most ``broadcast_rows`` rows
-    (checked); beyond that Spark picks the join by size.
+    ``buckets`` (default: twice ``spark.sql.shuffle.partitions``) is how
+    finely a large group is split.  ``bucket`` names a column that keeps the
+    (group, bucket) of each row: rows with equal values are together already.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = list(keys)
-    dense_on = list(dense_on)
-    sort = _sort_exprs(keys, order)
-    # without an explicit count the range exchange uses
-    # spark.sql.shuffle.partitions and AQE may merge neighbouring small
-    # ranges (still contiguous and in order, which is all the numbering needs)
-    ranged = (df.repartitionByRange(partitions, *sort) if partitions else df.repartitionByRange(*sort)) \
-        .sortWithinPartitions(*sort)
-    schema = T.StructType(list(df.schema.fields) + [
-        T.StructField(_PID, T.IntegerType(), False),
-        T.StructField(_RN, T.LongType(), False),
-        T.StructField(_DR, T.LongType(), False),
-        T.StructField(_N, T.LongType(), False),
-        T.StructField(_KIND, T.StringType(), False),
-    ])
-    # numbered rows and the per-partition segment rows are written once, as
-    # a table in the checkpoint directory partitioned by kind: the segment
-    # rows are then read from their own (tiny) directory, not by scanning
-    # the numbered rows again
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/numbered-{uuid.uuid4().hex}"
-    (ranged.mapInPandas(_local_numbering(keys, dense_on, max_buffer), schema)
-     .write.mode("overwrite").partitionBy(_KIND).parquet(path))
-    stored = spark.read.schema(schema).parquet(path)
-    numbered = stored.where(F.col(_KIND) == "row").drop(_KIND)
-
-    # segments: pieces of the first and last group of every partition
-    kf = [F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)]
-    first = stored.where(F.col(_KIND) == "first").select(
-        F.col(_PID), *kf, F.col(_N).alias("_size"),
-        *[F.col(c).alias(f"_f_{i}") for i, c in enumerate(dense_on)])
-    last = stored.where(F.col(_KIND) == "last").select(
-        F.col(_PID).alias("_lpid"), *[F.col(k).alias(f"_lk_{i}") for i, k in enumerate(keys)],
-        F.col(_N).alias("_lsize"), F.col(_DR).alias("_dcount"),
-        *[F.col(c).alias(f"_l_{i}") for i, c in enumerate(dense_on)])
-    cond = [F.col(_PID) == F.col("_lpid")] + [F.col(f"_k_{i}").eqNullSafe(F.col(f"_lk_{i}"))
-                                             for i in range(len(keys))]
-    seg = first.join(last, cond, "full_outer").select(
-        F.coalesce(F.col(_PID), F.col("_lpid")).alias(_PID),
-        *[F.coalesce(F.col(f"_k_{i}"), F.col(f"_lk_{i}")).alias(f"_k_{i}")
-          for i in range(len(keys))],
-        F.coalesce(F.col("_size"), F.col("_lsize")).alias("_size"),
-        F.col("_dcount"),
-        *[F.col(f"_f_{i}") for i in range(len(dense_on))],
-        *[F.col(f"_l_{i}") for i in range(len(dense_on))],
-        F.col(_PID).isNotNull().alias("_has_first"),
-    )
-    # A last-only segment whose key equals the partition's first key cannot
-    # happen (same key ⇒ same group ⇒ the join matched).  Large groups inside
-    # one partition whose rows were flushed before their size was known add
-    # one segment each, with their size.
-    sized = stored.where(F.col(_KIND) == "size").select(
-        F.col(_PID), *kf, F.col(_N).alias("_size"), F.lit(None).cast("bigint").alias("_dcount"),
-        *[F.lit(None).cast(df.schema[c].dataType).alias(f"_f_{i}") for i, c in enumerate(dense_on)],
-        *[F.lit(None).cast(df.schema[c].dataType).alias(f"_l_{i}") for i, c in enumerate(dense_on)],
-        F.lit(False).alias("_has_first"))
-    seg = seg.unionByName(sized)
-    w = Window.partitionBy(*[f"_k_{i}" for i in range(len(keys))]).orderBy(_PID)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same_val = F.lit(True)
-    for i in range(len(dense_on)):
-        same_val = same_val & F.lag(f"_l_{i}").over(w).eqNullSafe(F.col(f"_f_{i}"))
-    dup = F.when(F.lag(_PID).over(w).isNotNull() & F.col("_has_first") & same_val, 1).otherwise(0)
-    seg = (seg.withColumn("_dup", dup)
-           .select(F.col(_PID).alias("_spid"), *[F.col(f"_k_{i}") for i in range(len(keys))],
-                   F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_row_off"),
-                   F.sum("_size").over(whole).alias("_n_total"),
-                   (F.coalesce(F.sum("_dcount").over(before), F.lit(0))
-                    - F.sum("_dup").over(upto)).alias("_dense_off")))
-    jcond = [F.col(_PID) == F.col("_spid")] + [F.col(k).eqNullSafe(F.col(f"_k_{i}"))
-                                              for i, k in enumerate(keys)]
-    # seg has at most 2 * p rows plus one per flushed inner group (each of
-    # more than max_buffer rows).  Its size is checked (a count over the
-    # small segment directories only) before the broadcast is forced; beyond
-    # ``broadcast_rows`` the join is left to Spark's own size-based choice,
-    # and a shuffle on (partition id, key) still spreads a large group over
-    # its partition ids
-    n_seg = stored.where(F.col(_KIND) != "row").count()
-    side = F.broadcast(seg) if n_seg <= broadcast_rows else seg
-    out = numbered.join(side, jcond, "left")
-    cols = [F.col(c) for c in df.columns]
-    cols.append((F.col(_RN) + F.coalesce(F.col("_row_off"), F.lit(0))).alias(rn))
-    cols.append(F.coalesce(F.col("_n_total"), F.col(_N)).cast("bigint").alias(n))
+    spec, cols = _parsed(order), list(df.columns)
+    parts = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, bs = _with_buckets(df, spec, parts)
+    rows, ks = _plain_keys(rows, list(keys))
+    rows = rows.select(*cols, *ks, *bs)
+    lead = [c for c, _ in spec[:dense_on]]
+    if dr:
+        values = rows.groupBy(*ks, *bs, *lead).agg(F.count(F.lit(1)).alias("c"))
+        sizes = values.groupBy(*ks, *bs).agg(F.sum("c").alias("_c"), F.count(F.lit(1)).alias("_d"))
+    else:
+        sizes = rows.groupBy(*ks, *bs).agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy(*ks) if ks else Window.partitionBy(F.lit(0))
+    up = group.orderBy(*bs)
+    before = up.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_row_off"), F.sum("_c").over(group).alias("_total")]
+    if dr:
+        # a tied value that is split over several buckets is one value
+        again = F.lit(True)
+        for b in bs[:dense_on]:
+            again = again & (F.lag(b).over(up) == F.col(b))
+        sizes = sizes.withColumn("_again", F.coalesce(again, F.lit(False)).cast("int"))
+        offsets.append((F.coalesce(F.sum("_d").over(before), F.lit(0)) - F.sum("_again").over(
+            up.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("_dense_off"))
+    side = sizes.select(*ks, *bs, *offsets)
+    own = Window.partitionBy(*ks, *bs)
+    numbered = rows.withColumn("_rn", F.row_number().over(own.orderBy(*_sorted_by(spec))))
+    if dr:
+        numbered = numbered.withColumn("_dr", F.dense_rank().over(own.orderBy(*_sorted_by(spec[:dense_on]))))
+    out = numbered.join(side, [*ks, *bs])
+    added = [(F.col("_rn") + F.col("_row_off")).cast("bigint").alias(rn), F.col("_total").cast("bigint").alias(n)]
     if dr:
-        cols.append((F.col(_DR) + F.coalesce(F.col("_dense_off"), F.lit(0))).cast("bigint").alias(dr))
-    return out.select(*cols)
+        added.append((F.col("_dr") + F.col("_dense_off")).cast("bigint").alias(dr))
+    if bucket:
+        added.append(F.struct(*ks, *bs).alias(bucket))
+    return out.select(*cols, *added)

@@ -5,60 +5,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotvalue.functions.rfuncs import flag, guarded
 from slotvalue.operators.ordinal import number_within
 
 
-def _middle(rn: str = "_rn", n: str = "_n") -> Column:
-    """True on the one (odd n) or two (even n) middle rows of a group."""
-    lo = F.floor((F.col(n) + 1) / 2)
-    hi = F.ceil((F.col(n) + 1) / 2)
-    return (F.col(rn) == lo) | (F.col(rn) == hi)
+#: Half the width, as a share of the rows, of the band around the middle whose
+#: values are counted one by one; 20 times the error of the sketch.
+_BAND, _ACCURACY = 0.002, 10_000
 
 
-def summarise_by(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str],
-                 median: str = "exact") -> DataFrame:
+def summarise_by(df: DataFrame, keys: Sequence[str], value: str, median: str = "exact") -> DataFrame:
     """Per group: ``_n`` rows, ``_nv`` non-NULL values, ``_total``, ``_avg``
     and ``_med`` of ``value``.
 
-    ``median="exact"``: rows are numbered within the group in value order
-    by the skew-safe numbering operator, and the mean of the one or two
-    middle rows is taken in the same aggregate as the sum and mean.  No task
-    holds a whole group (``percentile``/``median`` merge every distinct value
-    of a group in one task).  NULL values sort last; ``guarded`` turns the
-    results of groups holding a NULL into NULL.
+    ``median="exact"``: the first pass takes, with the sums, two approximate
+    percentiles that enclose the middle (``percentile_approx`` is off by one
+    part in ``_ACCURACY`` of the rows at most).  The second counts the values
+    between them, and the rows below, with a partial aggregate; a running sum
+    over these few distinct values finds the one or two middle rows.  No sort
+    and no task holds a whole group (``percentile``/``median`` merge every
+    distinct value of a group in one task).
 
-    ``median="approx"``: ``percentile_approx`` (a mergeable sketch of bounded
-    size per group) and no sort.
+    ``median="approx"``: ``percentile_approx`` alone.
     """
-    if median == "exact":
-        rows = df.select(*keys, value, *tie)
-        numbered = number_within(rows, keys, [F.col(value).asc_nulls_last(), *tie],
-                                 rn="_rn", n="_n")
-        med = F.avg(F.when(_middle(), F.col(value)))
-        src = numbered
-    elif median == "approx":
-        med = F.percentile_approx(value, 0.5, 10000).cast("double")
-        src = df
-    else:
+    if median not in ("exact", "approx"):
         raise ValueError(f"unknown median method {median!r}")
-    return src.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nv"),
-        F.sum(value).alias("_total"), F.avg(value).alias("_avg"), med.alias("_med"))
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str],
-                 out: str = "med") -> DataFrame:
+    base = [F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nv"),
+            F.sum(value).alias("_total"), F.avg(value).alias("_avg")]
+    if median == "approx":
+        return df.groupBy(*keys).agg(*base, F.percentile_approx(value, 0.5, _ACCURACY).cast("double").alias("_med"))
+    ends = F.percentile_approx(value, [0.5 - _BAND, 0.5 + _BAND], _ACCURACY)
+    stats = df.groupBy(*keys).agg(*base, ends.alias("_ends"))
+    low, high = F.col("_ends")[0], F.col("_ends")[1]
+    renamed = stats.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_nv", "_ends")
+    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+    # rows below the band count together, as NULL, which sorts first
+    near = df.select(*keys, value).join(renamed, same).where(F.col(value) <= high).groupBy(
+        *keys, F.when(F.col(value) >= low, F.col(value)).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_nv").alias("_nv"))
+    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
+    ranked = near.withColumn("_upto", F.sum("_c").over(upto))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") >= place, F.col("_v")))
+
+    mid = ranked.groupBy(*keys).agg(((at(F.floor((F.col("_nv") + 1) / 2)) + at(F.ceil((F.col("_nv") + 1) / 2))) / 2)
+                                    .cast("double").alias("_med"))
+    mid = mid.withColumnsRenamed({k: f"_m_{k}" for k in keys})
+    return stats.join(mid, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left").select(
+        *keys, "_n", "_nv", "_total", "_avg", "_med")
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med") -> DataFrame:
     """Exact median of ``value`` per group (NULL if the group holds a NULL)."""
-    return summarise_by(df, keys, value, tie).select(*keys, guarded("_med").alias(out))
+    return summarise_by(df, keys, value).select(*keys, guarded("_med").alias(out))
 
 
 def slot_value(entrants: DataFrame, *, value: str = "value", slot: str = "slot",
-               max_slot: int | None = 30, focus_slot: int = 2,
-               tie: Sequence[str] = ("class_year", "id"), median: str = "exact") -> DataFrame:
+               max_slot: int | None = 30, focus_slot: int = 2, median: str = "exact") -> DataFrame:
     """Total, mean and median value by slot, with rounded labels and a flag
     for the focus slot; slots above ``max_slot`` are dropped.
 
@@ -68,7 +75,7 @@ def slot_value(entrants: DataFrame, *, value: str = "value", slot: str = "slot",
     aggregate (the same plan Catalyst derives from filter-after-summarise).
     """
     df = entrants if max_slot is None else entrants.where(F.col(slot) <= max_slot)
-    out = summarise_by(df, [slot], value, list(tie), median)
+    out = summarise_by(df, [slot], value, median)
     total, avg, medc = guarded("_total"), guarded("_avg"), guarded("_med")
     return out.select(
         F.col(slot).alias("slot"), total.alias("total"), avg.alias("avg"), medc.alias("med"),
@@ -86,20 +93,18 @@ def class_rank(entrants: DataFrame, *, value: str = "value", klass: str = "class
     value), so a class holding most entrants is still split across tasks.
     """
     played = entrants.where(F.col(exposure) > 0)
-    ranked = number_within(played, [klass], [F.col(value).desc_nulls_last(), *tie],
-                           dense_on=[value], rn="_rn", n="_n", dr="_dr")
+    ranked = number_within(played, [klass], [(value, "desc"), *tie], dense_on=1, rn="_rn", n="_n", dr="_dr")
     return ranked.select(*played.columns,
                          F.when(F.col(value).isNull(), F.lit(None))
                           .otherwise(F.col("_dr")).cast("bigint").alias(out))
 
 
 def slot_rank(ranked: DataFrame, *, rank: str = "class_rank", slot: str = "slot",
-              max_slot: int | None = 30, focus_slot: int = 2,
-              tie: Sequence[str] = ("class_year", "id"), median: str = "exact") -> DataFrame:
+              max_slot: int | None = 30, focus_slot: int = 2, median: str = "exact") -> DataFrame:
     """Mean and median class rank by slot.  The slot filter comes after the
     class ranking (ranks are computed over all slots)."""
     df = ranked if max_slot is None else ranked.where(F.col(slot) <= max_slot)
-    out = summarise_by(df, [slot], rank, list(tie), median)
+    out = summarise_by(df, [slot], rank, median)
     avg, medc = guarded("_avg"), guarded("_med")
     return out.select(
         F.col(slot).alias("slot"), avg.alias("avg_rank"), medc.alias("med_rank"),

@@ -238,7 +238,7 @@ def test_report_order_and_exact_median(spark):
                                 (1, 2, 2.0, 2000, "d")],
                                "slot long, category_ord long, rate double, class_year long, name string")
     assert [r["name"] for r in report.report_order(df).collect()] == ["c", "b", "d", "a"]
-    med = slots.exact_median(df, ["slot"], "rate", ["name"]).first()
+    med = slots.exact_median(df, ["slot"], "rate").first()
     assert med["med"] == 3.5
 
 

@@ -1,9 +1,7 @@
 """Physical-plan properties the design relies on."""
 
-from pyspark.sql import functions as F
-
 from slotvalue.operators import bands, exemplars
-from slotvalue.operators.ordinal import number_within
+from slotvalue.plans.catalog import QUERIES
 from slotvalue.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -34,17 +32,8 @@ def test_top_exemplars_use_group_limit(spark):
     assert "WindowGroupLimit" in p
 
 
-def test_numbering_joins_a_broadcast_segment_table(spark):
-    df = spark.range(0, 100).withColumn("g", F.lit(1))
-    p = plan(number_within(df, ["g"], ["id"], partitions=4))
-    # the numbered rows meet the (at most 2 * partitions rows) segment table
-    # in a broadcast left join; only segment-table pieces are ever shuffled
-    assert "BroadcastHashJoin" in p and "LeftOuter, BuildRight" in p
-
-
 def test_no_registered_query_uses_a_cross_join(spark):
-    import __spark_entry__ as E
-    for key, fn in E.queries().items():
+    for key, fn in QUERIES.items():
         p = plan(fn(spark, SF))
         assert "CartesianProduct" not in p, key
         assert "BroadcastNestedLoopJoin" not in p, key
