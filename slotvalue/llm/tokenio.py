@@ -45,15 +45,19 @@ COUNTS = [0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 WIDTHS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = 0
 BLOCK = 1024
-RECORD_IDS = 1 << 16
-RECORDS = 256
+RECORD_IDS = 1 << 18
+RECORDS = 64
 END_ID = 2
 MAGIC = int.from_bytes(b"S8BTOKEN", "little")
 SEPARATOR = "S8B-END\n"
 CACHE = 500_000
 _HEAD = 8
 _BEFORE_WORD = re.compile(r"(?= \S)")
-_ODD_BLANK = re.compile(r"[ \n](?:\s|$)|[^\S\n ]\n|^\n")
+#: Blanks other than " " and line ends, and pairs of blanks.
+_RARE = [*map(chr, [*range(9, 10), *range(11, 14), *range(28, 32)])]
+_RARE_WIDE = [*map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
+_ENDS = ("", " ", "\n")
+_PAIRS = ["  ", " \n", "\n ", "\n\n"]
 
 
 def _fitting(ids: np.ndarray) -> np.ndarray:
@@ -83,48 +87,50 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(ids)
     choice = _fitting(ids)
     size = np.array([1, *COUNTS[1:]])[choice]
-    starts = []
-    for first in range(0, n, BLOCK):
-        steps, at = size[first:first + BLOCK].tolist(), 0
-        while at < len(steps):
-            starts.append(first + at)
-            at += steps[at]
-    starts = np.array(starts, np.int64)
+    begins = np.zeros(n, bool)
+    at = np.arange(0, n, BLOCK)
+    ends = np.minimum(at + BLOCK, n)
+    while len(at):  # all blocks step from word to word together
+        begins[at] = True
+        at = at + size[at]
+        inside = at < ends
+        at, ends = at[inside], ends[inside]
+    starts = np.flatnonzero(begins)
+    if not n:
+        return np.empty(0, np.uint64), starts, ids
     selectors = choice[starts]
-    ends = np.minimum((starts // BLOCK + 1) * BLOCK, n)
     words = selectors.astype(np.uint64) << np.uint64(60)
-    for s in range(1, len(COUNTS)):
-        mine = np.flatnonzero(selectors == s)
-        for j in range(COUNTS[s] if len(mine) else 0):
-            at = starts[mine] + j
-            if j and COUNTS[s] > 1:  # the last word of a block may hold fewer
-                inside = at < ends[mine]
-                mine, at = mine[inside], at[inside]
-            words[mine] |= ids[at] << np.uint64(j * WIDTHS[s])
     escaped = np.flatnonzero(selectors == ESCAPE)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
+    values = ids.copy()
+    values[starts[escaped]] = 0
+    held = np.diff(np.append(starts, n))
+    words |= np.bitwise_or.reduceat(values << _shifts(held, selectors), starts)
     return words, np.searchsorted(starts, np.arange(0, n, BLOCK)), ids[starts[escaped]]
 
 
+def _shifts(held: np.ndarray, selectors: np.ndarray) -> np.ndarray:
+    """For each id in turn, its place in its word in bits."""
+    first = np.cumsum(held) - held
+    place = np.arange(int(held.sum())) - np.repeat(first, held)
+    return (place * np.repeat(np.array(WIDTHS)[selectors], held)).astype(np.uint64)
+
+
 def unpack(words: np.ndarray, firsts: np.ndarray, n: int, escaped: np.ndarray) -> np.ndarray:
     """The ``n`` ids of ``pack``."""
-    out = np.zeros(n, np.uint64)
     if not n:
-        return out
+        return np.empty(0, np.uint64)
     selectors = (words >> np.uint64(60)).astype(np.int64)
-    sizes = np.where(selectors == ESCAPE, 1, np.array(COUNTS)[selectors])
-    before = np.cumsum(sizes) - sizes
-    block = np.searchsorted(firsts, np.arange(len(words)), "right") - 1
-    place = block * BLOCK + before - before[firsts][block]
-    ends = np.minimum((block + 1) * BLOCK, n)
-    for s in range(1, len(COUNTS)):
-        mine = np.flatnonzero(selectors == s)
-        for j in range(COUNTS[s] if len(mine) else 0):
-            at = place[mine] + j
-            inside = at < ends[mine]
-            out[at[inside]] = (words[mine[inside]] >> np.uint64(j * WIDTHS[s])) & np.uint64((1 << WIDTHS[s]) - 1)
+    held = np.array([1, *COUNTS[1:]])[selectors]
+    # the last word of a block may hold fewer
+    last = np.append(firsts[1:], len(words)) - 1
+    upto = np.cumsum(held)
+    begin = upto[firsts] - held[firsts]
+    held[last] -= upto[last] - begin - np.minimum(BLOCK, n - BLOCK * np.arange(len(firsts)))
+    masks = (np.uint64(1) << np.array(WIDTHS, np.uint64)) - np.uint64(1)
+    out = (np.repeat(words, held) >> _shifts(held, selectors)) & np.repeat(masks[selectors], held)
     special = np.flatnonzero(selectors == ESCAPE)
-    out[place[special]] = escaped[(words[special] & np.uint64((1 << 60) - 1)).astype(np.int64)]
+    out[(np.cumsum(held) - held)[special]] = escaped[(words[special] & masks[-1]).astype(np.int64)]
     return out
 
 
@@ -133,8 +139,10 @@ class Words(dict):
     short ones that a worker meets)."""
 
     def __init__(self, tokenizer, blank: str):
-        self.tokenizer, self.blank, self.bpe = tokenizer, blank, tokenizer.model
+        self.tokenizer, self.bpe = tokenizer, tokenizer.model
+        self.blank, self.blank_unit = blank, blank.translate(_BYTE_ALPHABET)
         self.le = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -144,15 +152,27 @@ class Words(dict):
         if not found:
             ids = self.whole(self.blank + word)
         elif found[2]:  # letters and the marks that follow are pieces of their own
-            ids = self[found[1]] + self.whole(found[2])
+            marks = found[2]
+            if marks not in self.marks:
+                if len(self.marks) >= 10_000:
+                    self.marks.clear()
+                self.marks[marks] = self.whole(marks)
+            ids = self[found[1]] + self.marks[marks]
         else:  # one piece: straight to the model, in the byte alphabet
-            units = (self.blank + word).encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
-            ids = b"".join([self.le[t.id] for t in self.bpe.tokenize(units)])
-        if len(word) <= 64 and len(self) < CACHE:
+            units = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
+            le = self.le
+            ids = b"".join([le[t.id] for t in self.bpe.tokenize(self.blank_unit + units)])
+        if len(self) < CACHE and len(word) <= 64:
             self[word] = ids
         return ids
 
 
+def _odd(text: str) -> bool:
+    """Whether a text has blanks other than single ones between words."""
+    return (text[:1] in _ENDS or text[-1:] in _ENDS or any(x in text for x in _PAIRS) or any(x in text for x in _RARE)
+            or not text.isascii() and any(x in text for x in _RARE_WIDE))
+
+
 class Encoder:
     """Ids of whole texts.  Byte-level BPE splits a text into pieces that never
     reach over a blank right before a word, nor over a line end between two
@@ -167,7 +187,7 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if _ODD_BLANK.search(text):
+        if _odd(text):
             first, *rest = _BEFORE_WORD.split(text)
             return b"".join([self.first.whole(first), *[self.later[x[1:]] for x in rest]])
         lines = []
@@ -187,7 +207,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 _BYTE_ALPHABET = _byte_alphabet()
 #: Latin letters are one piece, and so are the marks behind them.
-_LATIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+_LATIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def _encoder(path: str) -> Encoder:
