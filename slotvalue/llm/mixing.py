@@ -12,10 +12,11 @@ A leaf's rows are ordered anew in every epoch by a seeded hash of the id.  The
 leaf's selection is the longest prefix of epoch 0, epoch 1, ... whose tokens do
 not exceed its budget.  Rows with equal ids are taken or left together.
 
-The prefix needs no sort of a leaf: tokens per (leaf, top hash bits) and a
-running sum over those bins find the bin where the budget ends, and only that
-bin's rows are summed one by one.  So a leaf with a third of all rows is
-counted by partial aggregates like any other.
+The prefix needs no sort of a leaf: tokens per (leaf, top 8 hash bits) and a
+running sum over those bins find the bin where the budget ends; its rows are
+cut by the next 8 bits, and so on, before the last few are summed one by one.
+So a leaf with a third of all rows is counted by partial aggregates like any
+other.
 
 Defined cases: null text has no tokens; a null tree value is the node
 "(none)"; a null id hashes as ''; weights that are not given are 1, and nodes of
@@ -38,7 +39,8 @@ from slotvalue.llm.sharding import HASH_BITS, hash60
 PERCENT = 60
 EPOCHS = 3
 SEED = 17
-BIN_BITS = 14
+BIN_BITS = 8
+LEVELS = 3
 NONE = "(none)"
 SEP = "\u001f"
 #: Domain of each source; others are in the domain "other".
@@ -127,19 +129,22 @@ def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column, percent: int
         F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("rest"))
     plan = stored(plan, "mix-plan")
     place = hash60(F.concat_ws(":", F.lit(seed).cast("string"), F.col("full").cast("string"), F.col("id")))
-    # a leaf's last epoch: the bin of the hash, then the hash, up to which its tokens fit
-    keyed = slim.join(plan, slim_path).withColumn("key", place).withColumn(
-        "bin", F.shiftright("key", HASH_BITS - BIN_BITS))
+    # where the tokens of a leaf's last epoch end, BIN_BITS of the hash at a time: each step looks
+    # only at the rows of the bin that its predecessor found, and orders at most 2**BIN_BITS sums
+    keyed = slim.join(plan.select(*slim_path, "full"), slim_path).select(*slim_path, "tokens", place.alias("key"))
     up = Window.partitionBy(*slim_path)
-    bins = keyed.groupBy(*slim_path, "bin").agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest")).withColumn(
-        "upto", F.sum("t").over(up.orderBy("bin")))
-    edge = stored(bins.where("upto > rest").groupBy(*slim_path).agg(
-        F.min(F.struct("bin", (F.col("upto") - F.col("t")).alias("before"))).alias("e"))
-        .select(*slim_path, F.col("e.bin").alias("bin"), F.col("e.before").alias("before")), "mix-edges")
-    inside = keyed.join(edge, [*slim_path, "bin"]).groupBy(*slim_path, "key").agg(
-        F.sum("tokens").alias("t"), F.first("rest").alias("rest"), F.first("before").alias("before")).withColumn(
-        "upto", F.col("before") + F.sum("t").over(up.orderBy("key")))
-    first_out = inside.where("upto > rest").groupBy(*slim_path).agg(F.min("key").alias("stop"))
+    edge = plan.select(*slim_path, F.lit(0).cast("long").alias("prefix"), "rest")
+    for level in range(LEVELS + 1):
+        inside = keyed.join(edge, slim_path).where(
+            F.shiftright("key", HASH_BITS - BIN_BITS * level) == F.col("prefix"))
+        last = level == LEVELS
+        at_bin = F.col("key") if last else F.shiftright("key", HASH_BITS - BIN_BITS * (level + 1))
+        sums = inside.groupBy(*slim_path, at_bin.alias("bin")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+        over = sums.withColumn("upto", F.sum("t").over(up.orderBy("bin"))).where("upto > rest")
+        first = F.min(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("t")).alias("rest")))
+        edge = stored(over.groupBy(*slim_path).agg(first.alias("e")).select(
+            *slim_path, F.col("e.bin").alias("prefix"), F.col("e.rest").alias("rest")), "mix-edges")
+    first_out = edge.select(*slim_path, F.col("prefix").alias("stop"))
     cut = stored(plan.join(first_out, slim_path, "left"), "mix-cuts")
 
     stop, full = name("stop"), name("full")
