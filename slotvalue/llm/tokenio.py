@@ -10,7 +10,8 @@ every block's first word is listed, so blocks decode independently and each
 selector's words decode as one array operation.  An id of 2**60 or more is an
 escape: its word holds a place in the list of whole 64-bit ids.
 
-A file is a sequence of records, each with whole documents and about
+A part ends with a trailer in ASCII: "S8B-PART", its number and its ids, 16
+digits each.  A file is a sequence of records, each with whole documents and about
 ``RECORD_IDS`` ids (a longer document makes a longer record).  A record is, in
 little-endian 64-bit words: magic, part, ids before it in its part, documents,
 ids, blocks, words, escapes; then the document ids, a word per document that is
@@ -34,30 +35,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import stored
+from slotvalue.llm.common import small_batches, stored
 
 # Ids per word and bits per id of selectors 1 to 14.
 COUNTS = [0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 WIDTHS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = 0
 BLOCK = 1024
-RECORD_IDS = 1 << 18
-RECORDS = 64
+RECORD_IDS = 1 << 17
+RECORDS = 128
 END_ID = 2
 MAGIC = int.from_bytes(b"S8BTOKEN", "little")
+TRAILER = int.from_bytes(b"S8B-PART", "little")
 SEPARATOR = "S8B-END\n"
-CACHE = 500_000
+CACHE = 300_000
+BATCH_BYTES = 4 << 20  # of text encoded together
 _HEAD = 8
 _BEFORE_WORD = re.compile(r"(?= \S)")
-#: Blanks other than " " and line ends, and pairs of blanks.
-_RARE = [*map(chr, [*range(9, 10), *range(11, 14), *range(28, 32)])]
-_RARE_WIDE = [*map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])]
-_ENDS = ("", " ", "\n")
-_PAIRS = ["  ", " \n", "\n ", "\n\n"]
+#: Texts with blanks other than single " " and line ends between words.
+_ODD = (r"^[ \n]|[ \n][ \n]|[ \n]$|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+        r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+#: Marks behind Latin letters at a word's end, a piece of their own.
+_MARKS = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-&(-/:-@\[-`{-~]+)( |$)"
 
 
 def _fitting(ids: np.ndarray) -> np.ndarray:
@@ -159,24 +163,17 @@ class Words(dict):
                 self.marks[marks] = self.whole(marks)
             ids = self[found[1]] + self.marks[marks]
         else:  # one piece: straight to the model, in the byte alphabet
-            units = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
             le = self.le
-            ids = b"".join([le[t.id] for t in self.bpe.tokenize(self.blank_unit + units)])
+            ids = b"".join([le[t.id] for t in self.bpe.tokenize(self.blank_unit + _units(word))])
         if len(self) < CACHE and len(word) <= 64:
             self[word] = ids
         return ids
 
 
-def _odd(text: str) -> bool:
-    """Whether a text has blanks other than single ones between words."""
-    return (text[:1] in _ENDS or text[-1:] in _ENDS or any(x in text for x in _PAIRS) or any(x in text for x in _RARE)
-            or not text.isascii() and any(x in text for x in _RARE_WIDE))
-
-
 class Encoder:
-    """Ids of whole texts.  Byte-level BPE splits a text into pieces that never
+    """Ids of whole texts.  Byte-level BPE (without special strings) splits a text into pieces that never
     reach over a blank right before a word, nor over a line end between two
-    words, so a text is encoded word by word."""
+    words, so words are encoded one by one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -184,17 +181,80 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.first, self.later = Words(tokenizer, ""), Words(tokenizer, " ")
         self.line_end = self.first.whole("\n")
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if _odd(text):
-            first, *rest = _BEFORE_WORD.split(text)
-            return b"".join([self.first.whole(first), *[self.later[x[1:]] for x in rest]])
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            lines.append(b"".join([self.first[first], *map(self.later.__getitem__, rest)]))
-        return self.line_end.join(lines)
+        self.raw = Tokenizer(tokenizer.model)  # pieces as they are
+        vocab = sorted(tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1])
+        blank = self.later.blank_unit
+        self.starts = np.array([token.startswith(blank) for token, _ in vocab])
+        # else word by word
+        self.rows = [i for _, i in vocab] == list(range(len(vocab))) and not any(
+            re.match(f"{blank}?{_LATIN_UNIT}+{blank}", token) for token, _ in vocab)
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = "|".join([_ODD, *added])
+
+    def odd(self, text: str) -> bytes:
+        """Ids of a text with any blanks."""
+        first, *rest = _BEFORE_WORD.split(text)
+        return b"".join([self.first.whole(first), *[self.later[x[1:]] for x in rest]])
+
+    def word(self, marked: str) -> bytes:
+        if marked[:1] == "\r":  # the first of a text
+            return self.first[marked[1:]]
+        if marked[:1] == "\n":
+            return self.line_end + self.first[marked[1:]]
+        if marked[:1] == "\t":  # marks behind letters
+            return self.first[marked[1:]]
+        return self.later[marked]
+
+    def words(self, marked: list[str]) -> list[bytes]:
+        """Ids of distinct words.  New ones of Latin letters go to the model in
+        rows: no merge reaches over a blank, so a token that starts with one
+        starts the next word."""
+        found = list(map(self.later.get, marked))
+        new = []
+        for i, ids in enumerate(found):
+            if ids is None:
+                if self.rows and _LETTERS.fullmatch(marked[i]):
+                    new.append(i)
+                else:
+                    found[i] = self.word(marked[i])
+        if new:
+            units = [self.later.blank_unit + _units(marked[i]) for i in new]
+            rows = ["".join(units[i:i + _ROW]) for i in range(0, len(units), _ROW)]
+            ids = np.array([i for e in self.raw.encode_batch_fast(rows, add_special_tokens=False) for i in e.ids], "<u4")
+            cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
+            data = ids.tobytes()
+            for i, a, z in zip(new, cuts.tolist(), cuts[1:].tolist(), strict=False):
+                found[i] = data[a:z]
+                if len(self.later) < CACHE and len(marked[i]) <= 64:
+                    self.later[marked[i]] = found[i]
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+        Arrow splits the texts and numbers their distinct words; only those
+        are encoded, and numpy puts their ids in place."""
+        odd = pc.match_substring_regex(texts, self.unusual).to_numpy(zero_copy_only=False)
+        mark, end = pa.scalar("\r", pa.large_string()), pa.scalar("", pa.large_string())
+        plain = pc.binary_join_element_wise(mark, texts.filter(pa.array(~odd)), end)
+        plain = pc.replace_substring(plain, "\n", " \n")
+        plain = pc.replace_substring_regex(plain, _MARKS, "\\1 \t\\2\\3")
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self.words(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        held = sizes[codes]
+        upto = np.concatenate(([0], np.cumsum(held)))
+        begin = (np.cumsum(sizes) - sizes)[codes]
+        ids = flat[np.repeat(begin - upto[:-1], held) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[np.asarray(lists.offsets) - lists.offsets[0].as_py()]).tolist()
+        spans = iter(zip(cuts, cuts[1:]))
+        out = []
+        for i, is_odd in enumerate(odd.tolist()):
+            a, z = (0, 0) if is_odd else next(spans)
+            out.append(self.odd(texts[i].as_py()) if is_odd else ids[a:z])
+        return out
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -206,6 +266,15 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _BYTE_ALPHABET = _byte_alphabet()
+def _units(word: str) -> str:
+    """A word in the byte alphabet."""
+    return word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(_BYTE_ALPHABET)
+
+
+_ROW = 64
+_LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+#: The byte alphabet of _LETTERS: ASCII, the lead bytes C3 to C9, and those that follow.
+_LATIN_UNIT = "[A-Za-z\u00C3-\u00C9\u0122-\u0143\u00A1-\u00AC\u00AE-\u00BF]"
 #: Latin letters are one piece, and so are the marks behind them.
 _LATIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -218,12 +287,14 @@ def _encoder(path: str) -> Encoder:
     return held.__dict__[path]
 
 
-def record(part: int, before: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+def record(part: int, before: int, doc_ids: list[int | None], chunks: list[bytes]) -> bytes:
+    """One record of documents with these ids (little-endian, 32 bits each)."""
+    ids = np.frombuffer(b"".join(chunks), "<u4")
     words, firsts, escaped = pack(ids)
     head = [MAGIC, part, before, len(doc_ids), len(ids), len(firsts), len(words), len(escaped)]
     return b"".join(np.asarray(x, t).tobytes() for x, t in (
-        (head, "<u8"), ([d or 0 for d in doc_ids], "<i8"), ([d is None for d in doc_ids], "<u8"), (counts, "<u8"),
-        (firsts, "<u8"), (words, "<u8"), (escaped, "<u8")))
+        (head, "<u8"), ([d or 0 for d in doc_ids], "<i8"), ([d is None for d in doc_ids], "<u8"),
+        ([len(c) // 4 for c in chunks], "<u8"), (firsts, "<u8"), (words, "<u8"), (escaped, "<u8")))
 
 
 def records(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -232,6 +303,9 @@ def records(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     end = int.from_bytes(SEPARATOR.encode(), "little")
     while at < len(all_words):
         head = all_words[at:at + _HEAD]
+        if int(head[0]) == TRAILER:
+            at += 6
+            continue
         if int(head[0]) != MAGIC:
             raise ValueError("not a token file")
         _, _, _, docs, _, blocks, words, escapes = map(int, head)
@@ -252,41 +326,39 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, chunks, held = [], [], 0
+        empty = True
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                chunks.append(encode(text.as_py() or "") + end)
+            texts = b.column(1).cast(pa.large_string()).fill_null("")
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(texts)):
+                chunks.append(ids + end)
                 doc_ids.append(doc_id)
                 held += len(chunks[-1]) // 4
+                empty = False
                 if held >= RECORD_IDS:
-                    yield _frame(part, before, doc_ids, chunks)
+                    yield _frame(record(part, before, doc_ids, chunks))
                     before, doc_ids, chunks, held = before + held, [], [], 0
         if doc_ids:
-            yield _frame(part, before, doc_ids, chunks)
+            yield _frame(record(part, before, doc_ids, chunks))
+        if not empty:
+            yield _frame(b"S8B-PART%016d%016d" % (part, before + held))
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     frames = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text") \
         .mapInArrow(run, "frame binary")
     # a cast to string keeps the bytes as they are, and the writer writes them unchanged
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR) \
-        .option("maxRecordsPerFile", RECORDS).text(path)
+    out = frames.select(F.col("frame").cast("string").alias("value"))
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        out.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def _frame(part: int, before: int, doc_ids: list, chunks: list[bytes]) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(chunks), "<u4")
-    frame = record(part, before, doc_ids, [len(c) // 4 for c in chunks], ids)
-    return pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], names=["frame"])
+def _frame(data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start: ids of all documents before it, n_tokens, ids: as
     little-endian unsigned 32-bit integers) of every document under ``path``."""
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            heads = [head for content in b.column(0) for head, _ in records(content.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(h[1]) for h in heads], pa.int64()),
-                                              pa.array([int(h[4]) for h in heads], pa.int64())], names=["part", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
@@ -294,7 +366,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     yield _rows(head, body)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    totals = files.mapInArrow(sizes, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    end = F.substring("content", -48, 40).cast("string")
+    totals = files.select(end.alias("end")).where(F.col("end").startswith("S8B-PART")).select(
+        F.substring("end", 9, 16).cast("long").alias("part"), F.substring("end", 25, 16).cast("long").alias("n"))
     # one row per part; the number of parts is that of the writing tasks
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(totals.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base")), "token-bases")
