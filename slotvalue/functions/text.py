@@ -24,12 +24,14 @@ SPECIAL_LATIN = {
 def _transliteration() -> tuple[dict[str, str], dict[str, str]]:
     """(one-to-one map, one-to-many map) from Latin letters to ASCII.
 
-    Rule: every letter in U+00C0..U+024F whose compatibility decomposition
-    starts with an ASCII letter maps to that letter (é -> e, Ŕ -> R); the
-    fixed table above covers letters without such a decomposition."""
+    Rule: every letter in U+00C0..U+024F and U+1E00..U+1EFF whose
+    compatibility decomposition holds ASCII letters maps to those (é -> e,
+    Ŕ -> R, ễ -> e); the fixed table above covers letters without such a
+    decomposition.  Marks written as letters of their own (U+0300..U+036F, the
+    decomposed form of an accent) are dropped by ``letters_only``."""
     single: dict[str, str] = {}
     multi: dict[str, str] = {}
-    for cp in range(0x00C0, 0x0250):
+    for cp in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
         ch = chr(cp)
         if ch in SPECIAL_LATIN or not ch.isalpha():
             continue

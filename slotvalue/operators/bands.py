@@ -92,14 +92,14 @@ def band_stack(shares: DataFrame) -> DataFrame:
             .withColumn("ymid", F.col("ymax") - F.col("prop") / 2))
 
 
-def band_zero_fill(shares: DataFrame) -> DataFrame:
+def band_zero_fill(assigned: DataFrame, *, slot: str = "slot") -> DataFrame:
     """Every slot with every band; bands never seen in a slot get count 0 and
-    share 0.  The grid is built by exploding the fixed band list per slot,
-    not by a cross join."""
-    grid = (shares.select("slot").distinct()
-            .select("slot", F.explode(F.array(*[F.lit(b) for b in BANDS])).alias("band")))
-    filled = grid.join(shares.select("slot", "band", "count", "prop"), ["slot", "band"], "left")
-    return filled.select("slot", "band", band_ord(F.col("band")).alias("band_ord"),
-                         F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
-                         F.coalesce(F.col("prop"), F.lit(0.0)).alias("prop"),
-                         band_label(F.col("band")).alias("band_label"))
+    share 0.  One aggregate counts each band per slot, and every slot's row
+    is exploded into its five bands."""
+    counts = assigned.groupBy(F.col(slot).alias("slot")).agg(
+        F.count("band").alias("_n"), *[F.count_if(F.col("band") == b).alias(b) for b in BANDS])
+    filled = counts.select("slot", "_n", F.explode(F.array(*[
+        F.struct(F.lit(b).alias("band"), F.col(b).alias("count")) for b in BANDS])).alias("b"))
+    return filled.select("slot", "b.band", band_ord(F.col("b.band")).alias("band_ord"),
+                         F.col("b.count").cast("bigint").alias("count"), (F.col("b.count") / F.col("_n")).alias("prop"),
+                         band_label(F.col("b.band")).alias("band_label"))

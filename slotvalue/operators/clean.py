@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.functions.text import empty_zero_number, parse_number
+from slotvalue.operators.keys import entity_key
+from slotvalue.sources.pages import raw_table
+
+
+# Column names of the page tables.
+PAGE_COLUMNS = ["Pk", "Player", "Yrs", "WS", "VORP"]
 
 
 def clean_entrants(raw: DataFrame, *, slot_col: str = "Pk", name_col: str = "Player",
@@ -16,13 +22,11 @@ def clean_entrants(raw: DataFrame, *, slot_col: str = "Pk", name_col: str = "Pla
     separators parse to a NULL slot).
 
     Exposure and values: ``""`` is 0, non-numeric text is NULL.  The slot is
-    a whole number; text that parses to a fraction is NULL.
+    a number, fractions included.
     """
-    slot_num = parse_number(F.col(slot_col))
-    slot = F.when(slot_num == F.floor(slot_num), slot_num.cast("bigint"))
     typed = raw.select(
         F.col(klass).cast("bigint").alias("class_year"),
-        slot.alias("slot"),
+        parse_number(F.col(slot_col)).alias("slot"),
         F.col(name_col).alias("name"),
         empty_zero_number(F.col(exposure_col)).alias("exposure"),
         empty_zero_number(F.col(value_col)).alias("value"),
@@ -30,3 +34,10 @@ def clean_entrants(raw: DataFrame, *, slot_col: str = "Pk", name_col: str = "Pla
         F.col(row_pos).cast("bigint").alias("row_pos"),
     )
     return typed.where(F.col("slot").isNotNull() & (F.col("name") != ""))
+
+
+def load_pages(pages: DataFrame, header_row: int | None = None) -> DataFrame:
+    """Typed entrants with their entity keys, straight from stored pages: the
+    first table of each page, its class from the page's url."""
+    typed = clean_entrants(raw_table(pages, PAGE_COLUMNS, header_row))
+    return entity_key(typed, order=("class_year", "row_pos"))

@@ -12,26 +12,28 @@ pairs are then checked exactly with ``instr``.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import html
+import re
+import sys
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotvalue.session import ensure_checkpoint_dir
-from slotvalue.sources.pages import cell_text
 
+# Functions that run on executors are pickled with their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Tasks that one candidate key is dealt out over.
+SALTS = 16
 # Field weights of the search index and the result limits.
 WEIGHTS = {"title": 20, "section": 20, "text": 10}
 LIMIT = 50
 MIN_QUERY = 2
 COLLAPSE_AFTER = 3
 
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-H1 = r"(?is)<h1[^>]*>(.*?)</h1>"
-ARTICLE = r"(?is)<article[^>]*>(.*?)</article>"
-PARA = r"(?is)<p\b[^>]*>(.*?)</p>"
-
-
 # ---------------------------------------------------------------- indexes
 
 def doc_index(documents: DataFrame) -> DataFrame:
@@ -42,30 +44,63 @@ def doc_index(documents: DataFrame) -> DataFrame:
         F.lit("").alias("title"), F.lit("").alias("section"), F.col("text"))
 
 
+_TITLE = re.compile(r"<title[^>]*>(.*?)</title>", re.I | re.S)
+_H1 = re.compile(r"<h1[^>]*>(.*?)</h1>", re.I | re.S)
+_ARTICLE = re.compile(r"<article[^>]*>(.*?)</article>", re.I | re.S)
+_BODY = re.compile(r"<body[^>]*>(.*?)(?:</body>|$)", re.I | re.S)
+_PARA = re.compile(r"<p\b[^>]*>(.*?)</p>", re.I | re.S)
+_UNSEEN = re.compile(r"<(script|style)\b.*?</\1\s*>", re.I | re.S)
+_TAG = re.compile(r"<[^>]*>")
+_SPACE = re.compile(r"[ \t-\r\xa0]+")
+
+
+def _plain(markup: str) -> str:
+    """Text of a piece of markup: tags removed, all character references
+    decoded, white space collapsed."""
+    return _SPACE.sub(" ", html.unescape(_TAG.sub("", markup))).strip(" ")
+
+
+def _first(pattern: re.Pattern, page: str) -> str:
+    found = pattern.search(page)
+    return _plain(found[1]) if found else ""
+
+
+def page_entries(page: str) -> tuple[str, str, list[str]]:
+    """(title, first heading, texts): the first text is the whole page's, all
+    its articles or, without any, its body less scripts and styles; then one
+    per paragraph."""
+    articles = [m[1] for m in _ARTICLE.finditer(page)]
+    if not articles:
+        body = _BODY.search(page)
+        articles = [_UNSEEN.sub(" ", body[1] if body else "")]
+    whole = _SPACE.sub(" ", " ".join(map(_plain, articles))).strip(" ")
+    return _first(_TITLE, page), _first(_H1, page), [whole, *(_plain(m[1]) for m in _PARA.finditer(page))]
+
+
 def page_index(pages: DataFrame) -> DataFrame:
     """Search entries from stored pages: one entry for the page (href
-    without fragment; title, first heading, article text) and one per
-    paragraph (href ``#p<n>``, same title and heading, paragraph text)."""
-    base = pages.select(
-        "page_id", F.substring_index("url", "#", 1).alias("base"),
-        cell_text(F.regexp_extract("html", TITLE, 1)).alias("title"),
-        cell_text(F.regexp_extract("html", H1, 1)).alias("section"),
-        F.col("html"))
-    page_entries = base.select(
-        (F.col("page_id") * 1000).alias("entry_id"), F.col("base").alias("href"), "title", "section",
-        cell_text(F.regexp_extract("html", ARTICLE, 1)).alias("text"))
-    paras = base.select("page_id", "base", "title", "section",
-                        F.posexplode(F.regexp_extract_all("html", F.lit(PARA), 1)).alias("pos", "raw"))
-    para_entries = paras.select(
-        (F.col("page_id") * 1000 + F.col("pos") + 1).alias("entry_id"),
-        F.concat("base", F.lit("#p"), F.col("pos").cast("string")).alias("href"),
-        "title", "section", cell_text(F.col("raw")).alias("text"))
-    return page_entries.unionByName(para_entries)
-
-
-def title_queries(pages: DataFrame) -> DataFrame:
-    """Distinct page titles as queries (query id = lowest page id)."""
-    titles = pages.select("page_id", cell_text(F.regexp_extract("html", TITLE, 1)).alias("query"))
+    without fragment; title, first heading, text) and one per paragraph (href
+    ``#p<n>``, same title and heading, paragraph text).  ``entry_id`` is the
+    pair (page_id, pos), pos 0 being the page.  Every page is read once."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, base, page in zip(pdf["page_id"], pdf["base"], pdf["html"]):
+                title, section, texts = page_entries(page or "")
+                rows += [(page_id, pos, base if not pos or base is None else f"{base}#p{pos - 1}", title, section, text)
+                         for pos, text in enumerate(texts)]
+            yield pd.DataFrame(rows, columns=["page_id", "pos", "href", "title", "section", "text"])
+
+    src = pages.where("page_id is not null").select(
+        F.col("page_id").cast("long").alias("page_id"), F.substring_index("url", "#", 1).alias("base"), "html")
+    rows = src.mapInPandas(run, "page_id long, pos long, href string, title string, section string, text string")
+    return rows.select(F.struct("page_id", "pos").alias("entry_id"), "href", "title", "section", "text")
+
+
+def title_queries(index: DataFrame) -> DataFrame:
+    """Distinct page titles of a page index as queries (query id = lowest page
+    id)."""
+    titles = index.where("entry_id.pos = 0").select("entry_id.page_id", F.col("title").alias("query"))
     return titles.groupBy("query").agg(F.min("page_id").cast("bigint").alias("query_id"))
 
 
@@ -92,7 +127,10 @@ def _rarest(query_keys: DataFrame, entry_keys: DataFrame, key: str) -> DataFrame
               .groupBy("query_id")
               .agg(F.min_by(key, F.struct("_df", key)).alias(key), F.min("_df").alias("_df"))
               .where(F.col("_df") > 0).select("query_id", key))
-    return anchor.join(held, key).select("query_id", "entry_id")
+    # a key that many queries and entries share is dealt out over SALTS tasks
+    salted = anchor.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = held.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [key, "_salt"]).select("query_id", "entry_id")
 
 
 def _interior_words(lq: Column) -> Column:
@@ -104,7 +142,7 @@ def _interior_words(lq: Column) -> Column:
 
 
 def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS,
-           limit: int | None = LIMIT, min_len: int = MIN_QUERY, materialize: bool = False) -> DataFrame:
+           limit: int | None = LIMIT, min_len: int = MIN_QUERY) -> DataFrame:
     """Case-insensitive exact-substring search of every query over the
     weighted fields of the index.
 
@@ -124,14 +162,8 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
     q = (queries.where(F.length("query") >= min_len)
          .select("query_id", "query", F.lower("query").alias("lq"))
          .withColumn("_inner", _interior_words(F.col("lq"))))
-    # the lowered index is read twice (words, then the exact check of the
-    # candidates); ``materialize=True`` writes it once to the checkpoint
-    # directory, worth it when building the index is costly (page parsing)
     e = index.select("entry_id", "href", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"l_{f}")
                                            for f in fields])
-    if materialize:
-        ensure_checkpoint_dir(e.sparkSession)
-        e = e.checkpoint(eager=True)
     words = e.select("entry_id", F.array_distinct(F.flatten(F.array(
         *[F.split(F.col(f"l_{f}"), r"\s+") for f in fields]))).alias("_words"))
     qw = q.select("query_id", F.explode("_inner").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotvalue.functions.rfuncs import number_label
@@ -38,6 +38,13 @@ def slot_report(exemplars: DataFrame, images: DataFrame, *, slots: Iterable[int]
         number_label(F.col("rate")).alias("rate_label"))
 
 
+def slot_report_placed(df: DataFrame, tie: Sequence[str] = ("class_year", "name", "path")) -> DataFrame:
+    """The report with each row's place in its slot in report order; a slot
+    has at most a few rows per category."""
+    w = Window.partitionBy("slot").orderBy("category_ord", F.col("rate").desc_nulls_last(), *tie)
+    return df.withColumn("place", F.row_number().over(w).cast("bigint"))
+
+
 def report_order(df: DataFrame, tie: Sequence[str] = ("class_year", "name")) -> DataFrame:
     """Category order (Top, Middle, Bottom), then rate from high to low."""
     return df.orderBy("slot", "category_ord", F.col("rate").desc_nulls_last(), *tie)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
                                     PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
-                                    COMPARE_FIRST)
+                                    COMPARE_FIRST, DISPLAY_SLOTS)
 from slotvalue.sources import files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,7 @@ def q_band_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_band_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bands.band_zero_fill(bands.band_share(_assigned(spark, sf_dir)))
+    df = bands.band_zero_fill(_assigned(spark, sf_dir))
     return df.select("slot", "band", "band_ord", "count", r6("prop"), "band_label")
 
 
@@ -74,7 +74,7 @@ def q_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_name_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return keys.name_clean(docs, "text").select("doc_id", "name_clean", "first_name", "last_name", "base_id")
 
 
@@ -88,7 +88,7 @@ def q_clean_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read_text_table(spark, sf_dir, "pages")
+    return tables.read_table(spark, sf_dir, "pages")
 
 
 def q_page_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +104,26 @@ def q_page_first_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_header_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.header_promote(pages.page_cells(_pages(spark, sf_dir)))
+    return pages.header_promote(_pages(spark, sf_dir))
 
 
 def q_class_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.class_union(_pages(spark, sf_dir))
 
 
-def q_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.file_listing(spark, sf_dir, "*.parquet").select("file_name", "player_id")
+def q_page_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed entrants with keys from the pages' first lists.  The lists have
+    one column and no header, so its cells are names, and their row and length
+    stand in for the other columns."""
+    cells = pages.page_first_table(pages.page_tables(_pages(spark, sf_dir)))
+    wide = pages.to_wide(cells.withColumn("class_year", pages.class_from_url(F.col("url"))), ["0"],
+                         ["page_id", "class_year", "row_idx"], "col_idx")
+    raw = wide.select("class_year", (F.col("page_id") * 10_000 + F.col("row_idx")).alias("row_pos"),
+                      F.col("row_idx").cast("string").alias("Pk"), F.col("0").alias("Player"),
+                      F.length("0").cast("string").alias("Yrs"), F.lit("").alias("WS"), F.lit("x").alias("VORP"))
+    typed = clean.clean_entrants(raw)
+    return keys.entity_key(typed, order=("class_year", "row_pos")).select(
+        "class_year", "slot", "name", "exposure", "value", "value2", "row_pos", "base_id", "player_id")
 
 
 def q_slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +132,14 @@ def q_slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.slot_report(ex, images, slots=REPORT_SLOTS, placeholder=PLACEHOLDER)
 
 
+def q_slot_report_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the chosen slots, in report order (its place is a column)
+    and under display names."""
+    rep = report.slot_report_placed(q_slot_report(spark, sf_dir).where(F.col("slot").isin(DISPLAY_SLOTS)))
+    return report.display_labels(rep.select("slot", "place", "category", "path", "name", "class_year", "exposure",
+                                            "value", "rate"))
+
+
 def _slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.slot_value(tables.entrants(spark, sf_dir), max_slot=FIRST_ROUND, focus_slot=FOCUS_SLOT)
 
@@ -153,8 +172,8 @@ def q_cmp_bust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_text_table(spark, sf_dir, "documents")
-    queries = tables.read_text_table(spark, sf_dir, "benchmark").select(
+    docs = tables.read_table(spark, sf_dir, "documents")
+    queries = tables.read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
     return corpus.search(corpus.doc_index(docs), queries)
 
@@ -165,27 +184,32 @@ def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _doc_hits(spark, sf_dir)
-    docs = tables.read_text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
+    docs = tables.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
     return hits.join(docs, "entry_id").select(
         "query_id", "entry_id", corpus.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
 def q_doc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pg = _pages(spark, sf_dir)
-    return corpus.collapse(corpus.search(corpus.page_index(pg), corpus.title_queries(pg)))
+    index = corpus.page_index(_pages(spark, sf_dir))
+    hits = corpus.collapse(corpus.search(index, corpus.title_queries(index)))
+    return hits.select("query_id", "base_href", "group_rank", "item_pos", "href", "entry_id.page_id", "entry_id.pos",
+                       "score", "group_size", "more")
 
 
 def q_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.word_stats(tables.read_text_table(spark, sf_dir, "documents"))
+    return corpus.word_stats(tables.read_table(spark, sf_dir, "documents"))
 
 
 def q_doc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return corpus.listing_page(docs, page=LISTING_PAGE, size=LISTING_SIZE, order=[F.col("doc_id").desc()])
+    """A page of the orders, newest first."""
+    rows = tables.read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("order_date"))
+    return corpus.listing_page(rows, page=LISTING_PAGE, size=LISTING_SIZE,
+                               order=[F.col("order_date").desc(), F.col("o_orderkey")])
 
 
 def q_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_text_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    docs = tables.read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     return corpus.in_category(docs, CATEGORY, F.concat_ws(",", "lang", "source"))
 
 
@@ -206,8 +230,9 @@ QUERIES: dict[str, Query] = {
     "page_first_table": q_page_first_table,
     "header_promote": q_header_promote,
     "class_union": q_class_union,
-    "file_listing": q_file_listing,
+    "page_entrants": q_page_entrants,
     "slot_report": q_slot_report,
+    "slot_report_display": q_slot_report_display,
     "cmp_lowest": q_cmp_lowest,
     "cmp_nearest": q_cmp_nearest,
     "cmp_ratio": q_cmp_ratio,

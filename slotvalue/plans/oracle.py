@@ -4,14 +4,24 @@ Spark results."""
 
 from __future__ import annotations
 
-from slotvalue.functions.text import latin_ascii_sql
-from slotvalue.sources.pages import CELL, CLASS_IN_URL, CONTAINER, ENTITIES, HAS_CELL, HREF, ROW, TAG
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY, COMPARE_FIRST)
-from slotvalue.operators.corpus import ARTICLE, H1, PARA, TITLE
+                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY, COMPARE_FIRST,
+                                    DISPLAY_SLOTS)
 
 D = FLOAT_DIGITS
 
+# The oracle's own reading of the driver's text and pages.  Names: DuckDB's
+# strip_accents, and the letters it leaves.  Pages: lists of linked items, a
+# title, one heading, one article and paragraphs, with four character
+# references.
+CLASS_IN_URL = "/([0-9]+)([?#].*)?$"
+TITLE, H1 = "<title>(.*?)</title>", "<h1>(.*?)</h1>"
+ARTICLE, PARA = "(?s)<article>(.*?)</article>", "(?s)<p>(.*?)</p>"
+
+
+def _ascii(expr: str) -> str:
+    return f"replace(strip_accents({expr}), 'ß', 'ss')"
+
 ENTRANTS = """
 entrants AS (
   SELECT CAST(year(o.o_orderdate) AS BIGINT) AS class_year,
@@ -191,7 +201,7 @@ def _name_parts(src: str, col: str) -> str:
          coalesce(substring(lower(parts[-1]), 1, 5), 'NA')
            || coalesce(substring(lower(parts[1]), 1, 2), 'NA') AS base_id
   FROM (SELECT *, string_split(name_clean, ' ') AS parts
-        FROM (SELECT *, regexp_replace({latin_ascii_sql(col)}, '[^A-Za-z ]', '', 'g') AS name_clean
+        FROM (SELECT *, regexp_replace({_ascii(col)}, '[^A-Za-z ]', '', 'g') AS name_clean
               FROM {src}))"""
 
 
@@ -215,7 +225,7 @@ FROM keyed
 
 SQL["clean_entrants"] = """
 SELECT CAST(year(o.o_orderdate) AS BIGINT) AS class_year,
-       CAST(c.c_nationkey + 1 AS BIGINT) AS slot,
+       CAST(c.c_nationkey + 1 AS DOUBLE) AS slot,
        c.c_name AS name,
        CAST(coalesce(l.n, 0) AS DOUBLE) AS exposure,
        CAST(CASE WHEN l.n IS NULL THEN 0 ELSE o.o_totalprice / 1000 END AS DOUBLE) AS value,
@@ -236,36 +246,28 @@ FROM pages
 
 
 def _cell_text(expr: str) -> str:
-    t = f"regexp_replace({expr}, '{TAG}', '', 'g')"
-    for ent, ch in ENTITIES:
-        ch_sql = ch.replace("'", "''")
-        t = f"replace({t}, '{ent}', '{ch_sql}')"
+    t = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
+    for ref, ch in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = f"replace({t}, '{ref}', '{ch}')"
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
 CELLS = f"""
-pc_containers AS (
-  SELECT page_id, cs, unnest(range(len(cs))) AS table_idx
-  FROM (SELECT page_id, regexp_extract_all(html, '{CONTAINER}', 1) AS cs FROM pages)
-),
-pc_rows AS (
-  SELECT page_id, table_idx, rs, unnest(range(len(rs))) AS row_idx
-  FROM (SELECT page_id, table_idx, regexp_extract_all(cs[table_idx + 1], '{ROW}', 1) AS rs
-        FROM pc_containers)
+lists AS (
+  SELECT page_id, unnest(string_split(html, '<ul>')[2:]) AS rest,
+         unnest(range(len(string_split(html, '<ul>')) - 1)) AS table_idx
+  FROM pages
 ),
-pc_cells AS (
-  SELECT page_id, table_idx, row_idx, cl, unnest(range(len(cl))) AS col_idx
-  FROM (SELECT page_id, table_idx, row_idx,
-               CASE WHEN regexp_matches(rs[row_idx + 1], '{HAS_CELL}')
-                    THEN regexp_extract_all(rs[row_idx + 1], '{CELL}', 1)
-                    ELSE [rs[row_idx + 1]] END AS cl
-        FROM pc_rows)
+items AS (
+  SELECT page_id, table_idx, unnest(string_split(split_part(rest, '</ul>', 1), '<li>')[2:]) AS item,
+         unnest(range(len(string_split(split_part(rest, '</ul>', 1), '<li>')) - 1)) AS row_idx
+  FROM lists
 ),
 cells AS (
   SELECT page_id, CAST(table_idx AS BIGINT) AS table_idx, CAST(row_idx AS BIGINT) AS row_idx,
-         CAST(col_idx AS BIGINT) AS col_idx, {_cell_text('cl[col_idx + 1]')} AS cell,
-         nullif(regexp_extract(cl[col_idx + 1], '{HREF}', 1), '') AS href
-  FROM pc_cells
+         CAST(0 AS BIGINT) AS col_idx, {_cell_text('item')} AS cell,
+         replace(nullif(regexp_extract(item, 'href="([^"]*)"', 1), ''), '&amp;', '&') AS href
+  FROM items
 )"""
 
 SQL["page_cells"] = f"WITH {CELLS} SELECT * FROM cells"
@@ -298,14 +300,23 @@ FROM cells c JOIN pages p ON p.page_id = c.page_id
 WHERE c.table_idx = 0
 """
 
-# The driver checks correctness at sf0.01; a file listing has no table view,
-# so its oracle lists that directory.
-ORACLE_DIR = "/root/testdata/sf0.01"
-
-SQL["file_listing"] = f"""
-SELECT regexp_extract(file, '([^/]*)$', 1) AS file_name,
-       regexp_extract(file, '([^/]*)\\.[A-Za-z0-9]+$', 1) AS player_id
-FROM glob('{ORACLE_DIR}/*.parquet')
+SQL["page_entrants"] = f"""
+WITH {CELLS},
+raw AS (
+  SELECT TRY_CAST(regexp_extract(p.url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
+         CAST(c.row_idx AS DOUBLE) AS slot, c.cell AS name, CAST(length(c.cell) AS DOUBLE) AS exposure,
+         CAST(0 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS value2, c.page_id * 10000 + c.row_idx AS row_pos
+  FROM cells c JOIN pages p ON p.page_id = c.page_id WHERE c.table_idx = 0 AND c.cell <> ''
+),
+named AS ({_name_parts('raw', 'name')}),
+keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY class_year NULLS LAST, row_pos) AS occ,
+         count(*) OVER (PARTITION BY base_id) AS nk
+  FROM named
+)
+SELECT class_year, slot, name, exposure, value, value2, row_pos, base_id,
+       CASE WHEN nk = 1 THEN base_id ELSE base_id || CAST(occ AS VARCHAR) END AS player_id
+FROM keyed
 """
 
 SQL["slot_report"] = f"""
@@ -318,6 +329,14 @@ SELECT e.slot, e.category, e.category_ord, coalesce(i.path, '{PLACEHOLDER}') AS
 FROM exemplars e LEFT JOIN img i ON i.player_id = CAST(e.id AS VARCHAR)
 """
 
+SQL["slot_report_display"] = f"""
+WITH r AS ({SQL["slot_report"].replace("WITH ", "WITH ", 1)})
+SELECT slot, CAST(row_number() OVER (PARTITION BY slot ORDER BY category_ord, rate DESC NULLS LAST, class_year, name, path)
+                  AS BIGINT) AS place, category, path AS _path, name AS _name, class_year AS "Class",
+       exposure AS "Exposure", value AS "Total Value", rate AS "Value per Year"
+FROM r WHERE slot IN ({', '.join(map(str, DISPLAY_SLOTS))})
+"""
+
 SLOT_SUMMARY = f"""
 summary AS (
   SELECT slot,
@@ -427,11 +446,11 @@ pi_base AS (
   FROM pages
 ),
 pi AS (
-  SELECT page_id * 1000 AS entry_id, base AS href, title, section,
+  SELECT {{'page_id': page_id, 'pos': CAST(0 AS BIGINT)}} AS entry_id, base AS href, title, section,
          {_cell_text(f"regexp_extract(html, '{ARTICLE}', 1)")} AS text
   FROM pi_base
   UNION ALL
-  SELECT page_id * 1000 + pos + 1 AS entry_id, base || '#p' || CAST(pos AS VARCHAR) AS href, title, section,
+  SELECT {{'page_id': page_id, 'pos': CAST(pos + 1 AS BIGINT)}} AS entry_id, base || '#p' || CAST(pos AS VARCHAR) AS href, title, section,
          {_cell_text('ps[pos + 1]')} AS text
   FROM (SELECT *, unnest(range(len(ps))) AS pos
         FROM (SELECT *, regexp_extract_all(html, '{PARA}', 1) AS ps FROM pi_base))
@@ -452,8 +471,8 @@ pos AS (
          min(rank) OVER (PARTITION BY query_id, base_href) AS group_rank
   FROM hb
 )
-SELECT query_id, base_href, group_rank, CAST(item_pos AS BIGINT) AS item_pos, href, entry_id, score,
-       CAST(group_size AS BIGINT) AS group_size, CAST(greatest(group_size - 3, 0) AS BIGINT) AS more
+SELECT query_id, base_href, group_rank, CAST(item_pos AS BIGINT) AS item_pos, href,
+       entry_id.page_id AS page_id, entry_id.pos AS pos, score, CAST(group_size AS BIGINT) AS group_size, CAST(greatest(group_size - 3, 0) AS BIGINT) AS more
 FROM pos WHERE item_pos <= 3
 """
 
@@ -465,9 +484,9 @@ FROM documents
 """
 
 SQL["doc_listing"] = f"""
-SELECT doc_id, lang, source, n_chars,
-       CAST(row_number() OVER (ORDER BY doc_id DESC) AS BIGINT) AS position
-FROM documents ORDER BY doc_id DESC LIMIT {LISTING_SIZE} OFFSET {(LISTING_PAGE - 1) * LISTING_SIZE}
+SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS order_date,
+       CAST(row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS BIGINT) AS position
+FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT {LISTING_SIZE} OFFSET {(LISTING_PAGE - 1) * LISTING_SIZE}
 """
 
 SQL["doc_category"] = f"""

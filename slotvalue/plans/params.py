@@ -13,6 +13,7 @@ AS_OF = "2001-12-31"
 MATURITY_YEARS = 4
 FLOAT_DIGITS = 6       # float results are rounded so engines agree on the last bits
 REPORT_SLOTS = None    # all slots of the exemplars table
+DISPLAY_SLOTS = [1, 2, 3]  # slots of the displayed report
 PLACEHOLDER = "images/placeholder.jpg"
 LISTING_PAGE = 2
 LISTING_SIZE = 25

@@ -1,5 +1,4 @@
-"""Session helpers: a configured local session for tests and benches, and the
-checkpoint directory lookup used by operators that cut lineage."""
+"""A configured local session for tests and benches."""
 
 from __future__ import annotations
 
@@ -25,8 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "slotvalue", scratch: str | None = None) -> SparkSession:
     """A local session for tests and benchmarks.
 
-    ``scratch`` is a per-run folder for the warehouse, and for checkpoints
-    when the environment names no ``spark.checkpoint.dir``.
+    ``scratch`` is a per-run folder for the warehouse.
     """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
     for k, v in BASE_CONF.items():
@@ -39,30 +37,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     builder = builder.config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    # a checkpoint directory named by the environment wins; the scratch
-    # folder is used only where none is set
-    ensure_checkpoint_dir(spark, fallback=os.path.join(scratch, "checkpoints"))
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the checkpoint directory, configuring the context from
-    ``spark.checkpoint.dir`` when the cluster named one.
-
-    On a cluster the directory must be shared storage named by the cluster's
-    own configuration; only a local-mode session (tests, the contract smoke
-    check) falls back to a fresh folder of its own.
-    """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set; point it at shared storage "
-                "(for example a folder on the cluster's distributed file system)")
-        configured = fallback or tempfile.mkdtemp(prefix="slotvalue-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured

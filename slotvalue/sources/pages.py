@@ -1,22 +1,24 @@
 """Page tables: scan stored pages, extract their tables and lists into long
-cells, promote header rows to column names and stack pages by class.
-
-Extraction runs on the JVM with ``regexp_extract_all`` + ``posexplode`` over
-whole pages (no Python per row): containers (``<table>``, ``<ul>``,
-``<ol>``) in page order, their rows (``<tr>``, ``<li>``), and the cells of a
-row (``<td>``/``<th>``; a list item is one cell).  Cell text has tags
-removed, entities decoded and white space collapsed.  Cells stay long
-(page, table, row, column) because each page brings its own header.
+cells, promote a header row to column names and stack pages by class.
+
+Each page is walked once with the standard library's ``html.parser`` in
+``mapInPandas``: nesting is followed by depth, all character references are
+decoded, and spanned cells are repeated in every row and column they cover.
+The walk gives each cell its column name and carries the page's url, so header
+promotion and class need no join.  Cells stay long (page, table, row, column)
+because each page brings its own header.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+from collections.abc import Iterator, Sequence
+from html.parser import HTMLParser
 
-from collections.abc import Sequence
-
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The per-partition Python functions of this module run on executors; they
@@ -24,25 +26,12 @@ from pyspark.sql import functions as F
 # their path (on a cluster it can still be shipped with --py-files).
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CONTAINER = r"(?is)<(?:table|ul|ol)\b[^>]*>(.*?)</(?:table|ul|ol)>"
-ROW = r"(?is)<(?:tr|li)\b[^>]*>(.*?)</(?:tr|li)>"
-CELL = r"(?is)<(?:td|th)\b[^>]*>(.*?)</(?:td|th)>"
-HAS_CELL = r"(?i)<t[dh]\b"
-HREF = r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
-TAG = r"<[^>]*>"
 CLASS_IN_URL = r"/(\d+)(?:[?#].*)?$"
-
-# Character entities decoded in cell text (``&amp;`` last, so
-# an escaped entity is decoded once).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&amp;", "&")]
-
-
-def cell_text(raw: Column) -> Column:
-    t = F.regexp_replace(raw, TAG, "")
-    for ent, ch in ENTITIES:
-        t = F.replace(t, F.lit(ent), F.lit(ch))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+TABLE_SCHEMA = ("page_id long, url string, table_idx long, row_idx long, col_idx long, cell string, href string, "
+                "is_body boolean, col_name string")
+#: Largest colspan and rowspan, as browsers have it.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+_SPACE = re.compile(r"[\s\xa0]+")
 
 
 def class_from_url(url: Column) -> Column:
@@ -57,112 +46,151 @@ def page_scan(pages: DataFrame) -> DataFrame:
                         F.length("html").cast("bigint").alias("n_chars"))
 
 
-CELL_SCHEMA = ("page_id long, table_idx long, row_idx long, col_idx long, cell string, href string")
-
-
-def _parse_cells(batches):
-    """Per-partition HTML walk (stdlib ``html.parser``) that keeps nesting:
-    a table inside a cell is its own table, and its text also counts in the
-    enclosing cell, as a DOM text-content reading gives."""
-    import re
-    from html.parser import HTMLParser
-
-    import pandas as pd
-
-    space = re.compile(r"\s+")
-
-    class Walker(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.out = []
-            self.stack = []        # open containers: [table_idx, kind, row_idx, open row]
-            self.cells = []        # open cells: [container, row, col, parts, href]
-            self.n_tables = 0
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("table", "ul", "ol"):
-                self.stack.append([self.n_tables, tag, -1, None])
-                self.n_tables += 1
-            elif tag in ("tr", "li") and self.stack:
-                top = self.stack[-1]
-                top[2] += 1
-                top[3] = {"col": -1}
-                if tag == "li":
-                    self._open_cell(top)
-            elif tag in ("td", "th") and self.stack and self.stack[-1][3] is not None:
-                self._open_cell(self.stack[-1])
-            elif tag == "a":
-                href = dict(attrs).get("href")
-                for c in self.cells:
-                    if c[4] is None and href is not None:
-                        c[4] = href
-
-        def _open_cell(self, top):
-            top[3]["col"] += 1
-            self.cells.append([top[0], top[2], top[3]["col"], [], None, id(top)])
-
-        def _close_cells(self, top):
-            keep = []
-            for c in self.cells:
-                if c[5] == id(top):
-                    self.out.append((c[0], c[1], c[2], space.sub(" ", "".join(c[3])).strip(), c[4]))
-                else:
-                    keep.append(c)
-            self.cells = keep
-
-        def handle_endtag(self, tag):
-            if not self.stack:
-                return
-            top = self.stack[-1]
-            if tag in ("td", "th", "li") or tag in ("tr",):
-                self._close_cells(top)
-            if tag in ("table", "ul", "ol") and top[1] == tag:
-                self._close_cells(top)
-                self.stack.pop()
-
-        def handle_data(self, data):
-            for c in self.cells:
-                c[3].append(data)
-
-    for pdf in batches:
-        rows = []
-        for page_id, html in zip(pdf["page_id"], pdf["html"]):
-            if html is None:
-                continue
-            w = Walker()
-            w.feed(html)
-            w.close()
-            for top in list(reversed(w.stack)):
-                w._close_cells(top)
-            rows.extend((page_id, *r) for r in w.out)
-        yield pd.DataFrame(rows, columns=["page_id", "table_idx", "row_idx", "col_idx", "cell", "href"])
-
-
-def page_cells(pages: DataFrame, method: str = "regex") -> DataFrame:
-    """Long cells: page_id, table_idx, row_idx, col_idx (all from 0), cell
-    text and the first link target in the cell (NULL if none).
-
-    ``method="regex"`` (default) stays on the JVM and reads flat tables and
-    lists.  ``method="parser"`` walks each page with ``html.parser`` in
-    ``mapInPandas`` and also separates nested tables (slower: Python per
-    page)."""
-    if method == "parser":
-        return pages.select("page_id", "html").mapInPandas(_parse_cells, CELL_SCHEMA)
-    if method != "regex":
-        raise ValueError(f"unknown method {method!r}")
-    containers = pages.select("page_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(CONTAINER), 1)).alias("table_idx", "container"))
-    rows = containers.select("page_id", "table_idx", F.posexplode(
-        F.regexp_extract_all("container", F.lit(ROW), 1)).alias("row_idx", "row"))
-    cells = F.when(F.col("row").rlike(HAS_CELL), F.regexp_extract_all("row", F.lit(CELL), 1)) \
-        .otherwise(F.array(F.col("row")))
-    exploded = rows.select("page_id", "table_idx", "row_idx", F.posexplode(cells).alias("col_idx", "raw"))
-    href = F.regexp_extract("raw", HREF, 1)
-    return exploded.select(
-        "page_id", F.col("table_idx").cast("bigint").alias("table_idx"),
-        F.col("row_idx").cast("bigint").alias("row_idx"), F.col("col_idx").cast("bigint").alias("col_idx"),
-        cell_text(F.col("raw")).alias("cell"),
-        F.when(href == "", F.lit(None)).otherwise(href).alias("href"))
+class _Cell:
+    def __init__(self, colspan: int = 1, rowspan: int = 1, head: bool = False):
+        self.parts: list[str] = []
+        self.href: str | None = None
+        self.colspan, self.rowspan, self.head = colspan, rowspan, head
+
+    @property
+    def text(self) -> str:
+        return _SPACE.sub(" ", "".join(self.parts)).strip()
+
+
+class _Container:
+    """A table or list; ``rows`` are lists of cells as written."""
+
+    def __init__(self, kind: str):
+        self.kind, self.rows, self.cell = kind, [], None
+
+    def grid(self) -> list[list[_Cell]]:
+        """Rows with spanned cells repeated in all places they cover."""
+        out: list[list[_Cell]] = []
+        pending: dict[int, tuple[_Cell, int]] = {}   # column -> cell, rows it still covers
+        for row in self.rows:
+            line: dict[int, _Cell] = {c: cell for c, (cell, _) in pending.items()}
+            below = {c: (cell, n - 1) for c, (cell, n) in pending.items() if n > 1}
+            at = 0
+            for cell in row:
+                while at in line:
+                    at += 1
+                for c in range(at, at + cell.colspan):
+                    line.setdefault(c, cell)
+                    if cell.rowspan > 1:
+                        below.setdefault(c, (cell, cell.rowspan - 1))
+            pending = below
+            out.append([line[c] for c in sorted(line)])
+        return out
+
+
+class _Walker(HTMLParser):
+    """Collects containers in page order; text of a nested table also counts
+    in the cell around it, as a reading of its text content gives."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[_Container] = []
+        self.open: list[_Container] = []
+
+    @staticmethod
+    def _span(attrs: dict, name: str, most: int) -> int:
+        value = (attrs.get(name) or "").strip()
+        return min(max(int(value), 1), most) if value.isdigit() else 1
+
+    def handle_starttag(self, tag, attrs):
+        attrs, top = dict(attrs), self.open[-1] if self.open else None
+        if tag in ("table", "ul", "ol"):
+            self.open.append(_Container(tag))
+            self.found.append(self.open[-1])
+        elif top and (tag == "tr" and top.kind == "table" or tag == "li" and top.kind != "table"):
+            top.rows.append([])
+            top.cell = None
+            if tag == "li":
+                self._begin(top, _Cell())
+        elif top and tag in ("td", "th") and top.kind == "table":
+            if not top.rows:
+                top.rows.append([])
+            self._begin(top, _Cell(self._span(attrs, "colspan", MAX_COLSPAN),
+                                   self._span(attrs, "rowspan", MAX_ROWSPAN), tag == "th"))
+        elif tag == "a" and attrs.get("href"):
+            for c in self.open:
+                if c.cell and c.cell.href is None:
+                    c.cell.href = attrs["href"]
+
+    @staticmethod
+    def _begin(top: _Container, cell: _Cell) -> None:
+        top.rows[-1].append(cell)
+        top.cell = cell
+
+    def handle_endtag(self, tag):
+        if tag in ("table", "ul", "ol"):
+            for depth in range(len(self.open) - 1, -1, -1):
+                if self.open[depth].kind == tag:  # an unclosed inner container ends with it
+                    del self.open[depth:]
+                    break
+        elif self.open and tag in ("td", "th", "li", "tr"):
+            self.open[-1].cell = None
+
+    def handle_data(self, data):
+        for c in self.open:
+            if c.cell:
+                c.cell.parts.append(data)
+
+
+def unique_names(names: Sequence[str]) -> list[str]:
+    """Names made unique in order: the second ``MP`` becomes ``MP.1``, or the
+    first ``MP.<n>`` that no other column has."""
+    taken, seen, out = set(names), set(), []
+    for name in names:
+        new, n = name, 0
+        while new in seen or n and new in taken:
+            n += 1
+            new = f"{name}.{n}"
+        seen.add(new)
+        out.append(new)
+    return out
+
+
+def _header_row(grid: list[list[_Cell]], header_row: int | None) -> int:
+    """Where the names are: the given row, else the first, or the second if
+    the first is a row of headings over a row of headings."""
+    if header_row is not None:
+        return header_row
+    heads = [bool(row) and all(c.head for c in row) for row in grid[:2]]
+    return 1 if heads == [True, True] else 0
+
+
+def page_tables(pages: DataFrame, header_row: int | None = None) -> DataFrame:
+    """All cells of all tables and lists: page_id, url, table_idx, row_idx,
+    col_idx (from 0), cell text, first link target, whether the row lies below
+    the header row, and the column's unique name (NULL beyond the header)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                walker = _Walker()
+                walker.feed(html or "")
+                walker.close()
+                for t, container in enumerate(walker.found):
+                    grid = container.grid()
+                    head = _header_row(grid, header_row)
+                    names = unique_names([c.text for c in grid[head]]) if head < len(grid) else []
+                    rows += [(page_id, url, t, r, c, cell.text, cell.href, r > head, names[c] if c < len(names) else None)
+                             for r, line in enumerate(grid) for c, cell in enumerate(line)]
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in TABLE_SCHEMA.split(", ")])
+
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+                       F.col("html").cast("string").alias("html"))
+    return src.where("page_id is not null").mapInPandas(run, TABLE_SCHEMA)
+
+
+_CELLS = ["page_id", "table_idx", "row_idx", "col_idx", "cell", "href"]
+
+
+def page_cells(pages: DataFrame) -> DataFrame:
+    """Long cells: page_id, table_idx, row_idx, col_idx, cell text and the
+    first link target in the cell (NULL if none)."""
+    return page_tables(pages).select(*_CELLS)
 
 
 def page_first_table(cells: DataFrame) -> DataFrame:
@@ -170,40 +198,31 @@ def page_first_table(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("table_idx") == 0)
 
 
-def unique_names(header: DataFrame, keys: Sequence[str], name: str = "name",
-                 pos: str = "col_idx") -> DataFrame:
-    """Make names unique within ``keys``: the second ``MP`` becomes ``MP.1``,
-    the third ``MP.2`` (in column order).  Windows run over header cells
-    only: one small group per table and name."""
-    k = F.row_number().over(Window.partitionBy(*keys, name).orderBy(pos)) - 1
-    return header.withColumn(name, F.when(k == 0, F.col(name))
-                             .otherwise(F.concat(F.col(name), F.lit("."), k.cast("string"))))
-
-
-def header_promote(cells: DataFrame) -> DataFrame:
-    """Row 0 of each table becomes the column names (made unique); the other
-    rows are returned long with their column name.  Cells beyond the header
-    width get a NULL name."""
-    keys = ["page_id", "table_idx"]
-    header = cells.where(F.col("row_idx") == 0).select(
-        *keys, "col_idx", F.coalesce(F.col("cell"), F.lit("")).alias("name"))
-    header = unique_names(header, keys).withColumnRenamed("name", "col_name")
-    body = cells.where(F.col("row_idx") > 0)
-    return body.join(header, keys + ["col_idx"], "left").select(
-        *keys, "row_idx", "col_idx", "col_name", "cell", "href")
+def header_promote(pages: DataFrame, header_row: int | None = None) -> DataFrame:
+    """The rows below each table's header row, long, with their column name."""
+    return page_tables(pages, header_row).where("is_body").select(
+        "page_id", "table_idx", "row_idx", "col_idx", "col_name", "cell", "href")
 
 
-def to_wide(named: DataFrame, names: Sequence[str]) -> DataFrame:
+def to_wide(named: DataFrame, names: Sequence[str], keys: Sequence[str] = ("page_id", "table_idx", "row_idx"),
+            column: str = "col_name") -> DataFrame:
     """Long named cells to one row per table row with the listed columns (an
     explicit value list, so the pivot needs no extra pass for the names)."""
-    return (named.groupBy("page_id", "table_idx", "row_idx")
-            .pivot("col_name", list(names)).agg(F.first("cell")))
+    return named.groupBy(*keys).pivot(column, list(names)).agg(F.first("cell"))
 
 
 def class_union(pages: DataFrame) -> DataFrame:
     """Cells of the first table of every page, stacked, with the page's class
     attached: one scan over all pages instead of one load per class."""
-    cls = page_scan(pages).select("page_id", "class_year")
-    cells = page_first_table(page_cells(pages))
-    return cells.join(cls, "page_id").select(
-        "page_id", "class_year", "table_idx", "row_idx", "col_idx", "cell", "href")
+    first = page_first_table(page_tables(pages))
+    return first.select("page_id", class_from_url(F.col("url")).alias("class_year"), *_CELLS[1:])
+
+
+def raw_table(pages: DataFrame, columns: Sequence[str], header_row: int | None = None) -> DataFrame:
+    """The first table of every page as rows of text: page_id, class_year,
+    row_pos (row in page order) and the named ``columns`` (NULL where a page
+    has no such column)."""
+    keys = ["page_id", "class_year", "row_pos"]
+    body = page_first_table(page_tables(pages, header_row)).where("is_body").select(
+        "page_id", class_from_url(F.col("url")).alias("class_year"), F.col("row_idx").alias("row_pos"), "col_name", "cell")
+    return to_wide(body, columns, keys)

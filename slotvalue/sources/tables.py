@@ -81,24 +81,3 @@ def raw_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_entrant_text(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
                             read_table(spark, sf_dir, "lineitem"))
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before heavy per-row text work.
-
-    A small table stored as one file / row group is scanned by one task, and
-    every narrow step after the scan (regex extraction, transliteration,
-    word splitting) stays in that task.  When the scan has fewer partitions
-    than the cluster's default parallelism the input is small, and a
-    round-robin repartition is cheap; a large input already has more splits
-    than cores and is returned unchanged (no shuffle is added).
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-def read_text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy driver table (documents, pages, benchmark), spread over
-    the cores when it is small."""
-    return spread_small(read_table(spark, sf_dir, name))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from slotvalue.functions.rfuncs import percent_label
 from slotvalue.functions.text import file_stem
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
-from slotvalue.sources import pages, tables
+from slotvalue.sources import pages
 
 AS_OF = "2001-12-31"
 
@@ -68,7 +68,7 @@ def test_page_cells_and_header(spark):
     assert cells.where("page_id = 2").count() == 0
     first = pages.page_first_table(cells)
     assert first.where("cell = 'second'").count() == 0
-    named = pages.header_promote(cells)
+    named = pages.header_promote(pg)
     got = rows(named.where("table_idx = 0"), "col_idx", "col_name", "cell", "href")
     assert got == [(0, "MP", "1", None), (1, "PTS", "2 <b>", "/p"), (2, "MP.1", "3", None), (3, "MP.2", "4", None)]
     wide = pages.to_wide(named.where("table_idx = 0"), ["MP", "PTS", "MP.1", "MP.2"])
@@ -139,7 +139,7 @@ def test_share_stack_zero_fill(spark):
     stack = bands.band_stack(shares)
     tops = stack.groupBy("slot").agg(F.max("ymax").alias("m")).collect()
     assert all(abs(r["m"] - 1.0) < 1e-12 for r in tops)
-    filled = bands.band_zero_fill(shares)
+    filled = bands.band_zero_fill(bands.band_assign(_entrants(spark, data), as_of=AS_OF))
     assert filled.count() == 10
     assert rows(filled.where("slot = 2 and count > 0"), "band", "count") == [("mega_bust", 1)]
 
@@ -242,20 +242,96 @@ def test_report_order_and_exact_median(spark):
     assert med["med"] == 3.5
 
 
-def test_parser_cells_nested_and_equal_on_flat(spark):
-    nested = ("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>"
-              "<ul><li><a href='/x'>one &amp; two</a></li><li>three</li></ul>")
-    pg = spark.createDataFrame([(1, "u/1", nested), (2, "u/2", HTML)], "page_id long, url string, html string")
-    got = rows(pages.page_cells(pg, method="parser").where("page_id = 1"),
-               "table_idx", "row_idx", "col_idx", "cell", "href")
-    assert got == [(0, 0, 0, "ain", None), (0, 0, 1, "b", None), (1, 0, 0, "in", None),
-                   (2, 0, 0, "one & two", "/x"), (2, 1, 0, "three", None)]
-    flat = pg.where("page_id = 2")
-    assert rows(pages.page_cells(flat, method="parser")) == rows(pages.page_cells(flat))
-
-
-def test_parser_cells_match_regex_on_driver_pages(spark):
-    pg = tables.read_table(spark, "/root/testdata/sf0.01", "pages")
-    a = pages.page_cells(pg, method="parser")
-    b = pages.page_cells(pg)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def cells_of(spark, html, url="u/1"):
+    pg = spark.createDataFrame([(1, url, html)], "page_id long, url string, html string")
+    return rows(pages.page_cells(pg), "table_idx", "row_idx", "col_idx", "cell", "href")
+
+
+def test_cells_of_nested_tables_and_lists(spark):
+    assert cells_of(spark, "<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>"
+                           "<ul><li><a href='/x'>one &amp; two</a></li><li>three</li></ul>") == [
+        (0, 0, 0, "ain", None), (0, 0, 1, "b", None), (1, 0, 0, "in", None),
+        (2, 0, 0, "one & two", "/x"), (2, 1, 0, "three", None)]
+    # a list inside a cell ends neither the cell nor the table
+    assert cells_of(spark, "<table><tr><th>h</th></tr><tr><td><ul><li>x</li></ul>y</td></tr><tr><td>z</td></tr></table>") == [
+        (0, 0, 0, "h", None), (0, 1, 0, "xy", None), (0, 2, 0, "z", None), (1, 0, 0, "x", None)]
+    assert cells_of(spark, "<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>") == [
+        (0, 0, 0, "ab", None), (0, 1, 0, "c", None), (1, 0, 0, "b", None)]
+    # nothing closed
+    assert cells_of(spark, "<table><tr><td>a<td>b<tr><td>c") == [(0, 0, 0, "a", None), (0, 0, 1, "b", None), (0, 1, 0, "c", None)]
+
+
+def test_cells_decode_every_reference(spark):
+    html = "<table><tr><td>Jos&eacute; &#321;uka</td><td>a&nbsp;&nbsp;b &#x41; &middot; &amp;lt;</td></tr></table>"
+    assert [c[3] for c in cells_of(spark, html)] == ["José Łuka", "a b A · &lt;"]
+
+
+def test_spans_are_filled_and_over_headers_skipped(spark):
+    over = ("<table><tr><th></th><th colspan=2>Totals</th></tr><tr><th>Player</th><th>MP</th><th>WS</th></tr>"
+            "<tr><td>Ann</td><td colspan='2'>7</td></tr><tr><td rowspan=2>Bo</td><td>1</td><td>2</td></tr>"
+            "<tr><td>3</td><td>4</td></tr></table>")
+    pg = spark.createDataFrame([(1, "u/1", over)], "page_id long, url string, html string")
+    got = rows(pages.header_promote(pg), "row_idx", "col_name", "cell", order=["row_idx", "col_idx"])
+    assert got == [(2, "Player", "Ann"), (2, "MP", "7"), (2, "WS", "7"), (3, "Player", "Bo"), (3, "MP", "1"), (3, "WS", "2"),
+                   (4, "Player", "Bo"), (4, "MP", "3"), (4, "WS", "4")]
+    first = rows(pages.header_promote(pg, header_row=0), "col_name", order=["row_idx", "col_idx"])
+    assert [r[0] for r in first[:3]] == ["", "Totals", "Totals.1"]
+
+
+def test_unique_names_skip_a_taken_suffix():
+    assert pages.unique_names(["MP", "PTS", "MP", "MP"]) == ["MP", "PTS", "MP.1", "MP.2"]
+    assert pages.unique_names(["MP", "MP", "MP.1"]) == ["MP", "MP.2", "MP.1"]
+    assert pages.unique_names(["", ""]) == ["", ".1"]
+
+
+def test_pages_to_entrants(spark):
+    """Two classes, a repeated header, an over-header, accents, a page without tables."""
+    def page(*lines):
+        head = "<tr><th></th><th colspan=3>x</th><th></th></tr><tr>" + "".join(
+            f"<th>{c}</th>" for c in ("Pk", "Player", "Yrs", "WS", "VORP")) + "</tr>"
+        body = "".join("<tr>" + "".join(f"<td>{c}</td>" for c in line) + "</tr>" for line in lines)
+        return f"<html><ul><li>menu</li></ul></html><table>{head}{body}</table>".replace("<ul><li>menu</li></ul>", "")
+
+    pg = spark.createDataFrame([
+        (1, "http://h/draft/2004", page(("1", "Ann Smith", "3", "10.5", ""), ("Pk", "Player", "Yrs", "WS", "VORP"),
+                                        ("2", "Nguy&#7877;n Văn Thiệu", "", "", "1"))),
+        (2, "http://h/draft/2005", page(("1", "Anna Smithers", "1", "2", "3"), ("1.5", "Bo Half", "1", "abc", "3"))),
+        (3, "http://h/none", "<p>nothing</p>"), (4, None, None)], "page_id long, url string, html string")
+    got = rows(clean.load_pages(pg), "class_year", "slot", "name", "exposure", "value", "value2", "player_id",
+               order=["class_year", "row_pos"])
+    assert got == [(2004, 1.0, "Ann Smith", 3.0, 10.5, 0.0, "smithan1"), (2004, 2.0, "Nguyễn Văn Thiệu", 0.0, 0.0, 1.0, "thieung"),
+                   (2005, 1.0, "Anna Smithers", 1.0, 2.0, 3.0, "smithan2"), (2005, 1.5, "Bo Half", 1.0, None, 3.0, "halfbo")]
+
+
+def test_transliteration_of_vietnamese_and_forms(spark):
+    df = spark.createDataFrame([("Nguyễn Văn Thiệu",), ("Ṡtraẞe",), ("Ḿb Ấn",)], "name string")
+    assert [r.name_clean for r in keys.name_clean(df).collect()] == ["Nguyen Van Thieu", "StraSSe", "Mb An"]
+
+
+def test_labels_follow_k(spark):
+    data = [(1990, 1, i, f"p{i}", 1.0, float(i)) for i in range(9)]
+    ex = exemplars.exemplars(_entrants(spark, data), as_of=AS_OF, k=2)
+    assert {r["category"] for r in ex.collect()} == {"Top 2", "Middle 2", "Bottom 2"}
+    assert {r["category_ord"] for r in ex.collect()} == {1, 2, 3}
+
+
+def test_page_index_of_odd_pages(spark):
+    many = "<title>T &eacute;</title><h1>H</h1><article>a</article><article>b</article>" + "".join(f"<p>w{i}</p>" for i in range(1100))
+    pg = spark.createDataFrame([
+        (1, "http://h/1#x", many), (2, "http://h/2", "<html><body><script>no</script>seen <p>par</p></body></html>"),
+        (3, None, None), (None, "u", "<p>x</p>")], "page_id long, url string, html string")
+    idx = corpus.page_index(pg)
+    assert idx.count() == idx.select("entry_id").distinct().count() == 1101 + 2 + 1
+    by = {(r.page_id, r.pos): r for r in idx.select("entry_id.*", "href", "title", "section", "text").collect()}
+    assert by[1, 0][2:] == ("http://h/1", "T é", "H", "a b") and by[1, 1100][2:] == ("http://h/1#p1099", "T é", "H", "w1099")
+    assert by[2, 0].text == "seen par" and by[2, 1].text == "par" and by[3, 0].text == ""
+    q = spark.createDataFrame([(1, "w1050"), (2, "w0")], "query_id long, query string")
+    assert rows(corpus.search(idx, q), "query_id", "href") == [(1, "http://h/1#p1050"), (2, "http://h/1#p0")]
+
+
+def test_one_common_word_over_many_entries(spark):
+    idx = spark.range(3000).select(F.col("id").alias("entry_id"), F.concat(F.lit("h"), "id").alias("href"), F.lit("").alias("title"),
+                                   F.lit("").alias("section"), F.lit("some common word here").alias("text"))
+    q = spark.createDataFrame([(i, "common") for i in range(5)] + [(9, "some common word")], "query_id long, query string")
+    got = corpus.search(idx, q, limit=None).groupBy("query_id").count()
+    assert {r.query_id: r["count"] for r in got.collect()} == {i: 3000 for i in (0, 1, 2, 3, 4, 9)}

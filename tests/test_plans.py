@@ -1,6 +1,6 @@
 """Physical-plan properties the design relies on."""
 
-from slotvalue.operators import bands, exemplars
+from slotvalue.operators import bands, exemplars, slots
 from slotvalue.plans.catalog import QUERIES
 from slotvalue.sources import tables
 
@@ -27,9 +27,32 @@ def test_band_stats_are_a_scalar_subquery_not_a_window(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_top_exemplars_use_group_limit(spark):
-    p = plan(exemplars.exemplars(tables.entrants(spark, SF), as_of="2001-12-31"))
-    assert "WindowGroupLimit" in p
+def test_numbered_queries_run_no_python(spark):
+    for key in ("slot_value", "slot_rank", "class_rank", "entity_key", "exemplars", "slot_report"):
+        p = plan(QUERIES[key](spark, SF))
+        assert "Python" not in p and "Pandas" not in p and "Arrow" not in p, key
+
+
+def test_building_a_plan_starts_no_job(spark):
+    """Planning the entrants' queries reads nothing but file footers."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "plans only")
+    ents = tables.entrants(spark, SF)
+    spark.sparkContext.setJobGroup("build", "build only")
+    for out in (slots.slot_value(ents), slots.slot_rank(slots.class_rank(ents)), exemplars.exemplars(ents, as_of="2001-12-31")):
+        plan(out)
+    assert list(tracker.getJobIdsForGroup("build")) == []
+
+
+def test_zero_fill_is_one_aggregate(spark):
+    p = plan(bands.band_zero_fill(bands.band_assign(tables.entrants(spark, SF), as_of="2001-12-31")))
+    assert p.count("Generate explode") == 1 and "Join" in p and p.count("keys=[slot") == 2  # partial and final
+
+
+def test_pages_are_read_once(spark):
+    for key in ("header_promote", "class_union", "page_cells"):
+        p = plan(QUERIES[key](spark, SF))
+        assert p.count("Scan parquet") == 1 and "Join" not in p and "Exchange" not in p, key
 
 
 def test_no_registered_query_uses_a_cross_join(spark):
