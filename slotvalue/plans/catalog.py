@@ -12,7 +12,8 @@ from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys,
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
                                     PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
                                     COMPARE_FIRST, DISPLAY_SLOTS)
-from slotvalue.sources import files, pages, tables
+from slotvalue.session import scratch_path
+from slotvalue.sources import docindex, files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +141,22 @@ def q_slot_report_display(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             "value", "rate"))
 
 
+def q_slot_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report written as one table per slot by one job, and read back."""
+    path = scratch_path(spark, "slot-reports")
+    report.write_slot_reports(q_slot_report(spark, sf_dir), path)
+    return spark.read.parquet(path).select("category", "category_ord", "path", "name", "class_year", "exposure", "value",
+                                           "rate", F.col("slot").cast("bigint").alias("slot"))
+
+
+def q_index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as a JSON search index, and loaded from it."""
+    path = scratch_path(spark, "doc-index")
+    docindex.write_doc_index(corpus.doc_index(tables.read_table(spark, sf_dir, "documents")), path)
+    loaded = docindex.read_doc_index(spark, path, lines=True)
+    return loaded.select("entry_id", "href", "title", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.slot_value(tables.entrants(spark, sf_dir), max_slot=FIRST_ROUND, focus_slot=FOCUS_SLOT)
 
@@ -233,6 +250,8 @@ QUERIES: dict[str, Query] = {
     "page_entrants": q_page_entrants,
     "slot_report": q_slot_report,
     "slot_report_display": q_slot_report_display,
+    "slot_report_files": q_slot_report_files,
+    "index_files": q_index_files,
     "cmp_lowest": q_cmp_lowest,
     "cmp_nearest": q_cmp_nearest,
     "cmp_ratio": q_cmp_ratio,

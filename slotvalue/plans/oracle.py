@@ -337,6 +337,16 @@ SELECT slot, CAST(row_number() OVER (PARTITION BY slot ORDER BY category_ord, ra
 FROM r WHERE slot IN ({', '.join(map(str, DISPLAY_SLOTS))})
 """
 
+SQL["slot_report_files"] = f"""
+SELECT category, category_ord, path, name, class_year, exposure, value, rate, slot FROM ({SQL["slot_report"]})
+"""
+
+SQL["index_files"] = """
+SELECT CAST(doc_id AS VARCHAR) AS entry_id, 'doc/' || CAST(doc_id AS VARCHAR) AS href, '' AS title, '' AS section,
+       md5(coalesce(text, '')) AS text_md5
+FROM documents
+"""
+
 SLOT_SUMMARY = f"""
 summary AS (
   SELECT slot,

@@ -1,9 +1,11 @@
-"""A configured local session for tests and benches."""
+"""A configured local session for tests and benches, and paths on the shared
+folder for jobs that write tables of their own."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +40,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder that the cluster names in
+    ``spark.checkpoint.dir``.  Only a session of a single machine that names
+    none gets a temporary folder of its own."""
+    base = (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="slotvalue-scratch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 INDEX_SCHEMA = "objectID string, href string, title string, section string, text string"
 
 
-def read_doc_index(spark: SparkSession, path: str) -> DataFrame:
+def read_doc_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Search entries from JSON index files: ``entry_id`` is the objectID.
 
-    A multi-line JSON file is read whole by one task, so an index should be
-    split into many files for parallel reads; the schema is fixed (no
+    A file that is one array is read whole by one task; ``lines`` reads files
+    with one object per line, which Spark splits.  The schema is fixed (no
     inference pass)."""
-    raw = spark.read.option("multiLine", True).schema(INDEX_SCHEMA).json(path)
+    raw = spark.read.option("multiLine", not lines).schema(INDEX_SCHEMA).json(path)
     return raw.select(F.col("objectID").alias("entry_id"), "href",
                       *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "section", "text")])
+
+
+def write_doc_index(entries: DataFrame, path: str) -> None:
+    """Write search entries as JSON index files, one object per line."""
+    entries.select(F.col("entry_id").cast("string").alias("objectID"), "href", "title", "section", "text") \
+        .write.json(path)
