@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import scratch, stored
+from slotvalue.llm.common import stored
+from slotvalue.session import scratch_path
 
 EXPAND = 4
 EPSILON = 3.0
@@ -206,7 +207,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
                           is_query.alias("asks")).where(F.col("id").isNotNull() & _usable("vec"))
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    path = scratch(spark, "ann-result")
+    path = scratch_path(spark, "ann-result")
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return spark.createDataFrame([], schema)

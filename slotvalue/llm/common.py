@@ -4,8 +4,6 @@ shared folder, code shipping, text buffers and connected components."""
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slotvalue.session import scratch_path
+
 # The functions that run in tasks are pickled with their code, so executors
 # do not need this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -28,25 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder that the cluster names in
-    ``spark.checkpoint.dir``.  Only a session of a single machine that names
-    none gets a temporary folder of its own."""
-    base = (spark.conf.get("spark.checkpoint.dir", None)
-            or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="llm-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     a lost executor costs no recomputation, and Spark knows the size."""
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

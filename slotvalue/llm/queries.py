@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, warc
-from slotvalue.llm.common import remainder, scratch, table
+from slotvalue.llm.common import remainder, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
+from slotvalue.session import scratch_path
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    read = warc.archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
@@ -67,7 +68,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "tokens")
+    path = scratch_path(spark, "tokens")
     tokenio.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return tokenio.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 

@@ -46,7 +46,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import column_bytes, scratch, stored
+from slotvalue.llm.common import column_bytes, stored
+from slotvalue.session import scratch_path
 
 WINDOW = 35
 PACK_BYTES = 2 << 20
@@ -215,7 +216,7 @@ def _write_packs(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int, b
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     name = f"llm_packs_{uuid.uuid4().hex}"
     src.mapInArrow(run, "pack long, ids array<long>, texts array<binary>").write.bucketBy(buckets, "pack") \
-        .option("path", scratch(spark, "substring-packs")).option("compression", "zstd").saveAsTable(name)
+        .option("path", scratch_path(spark, "substring-packs")).option("compression", "zstd").saveAsTable(name)
     packs = spark.table(name)
     spark.sql(f"drop table {name}")  # the files stay for as long as the shared folder keeps them
     return packs
