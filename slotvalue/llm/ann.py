@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import stored
+from slotvalue.llm.common import Shared, stored
 from slotvalue.session import scratch_path
 
 EXPAND = 4
@@ -110,7 +110,7 @@ def build_index(rows: DataFrame, k: int, expand: int = EXPAND) -> tuple[DataFram
     sample = np.array([r["vec"] for r in rows.select("vec").sample(share, SEED).limit(2 * SAMPLE).collect()])
     d = len(rows.first()["vec"])
     turn = rotation(sample.mean(0) if len(sample) else np.zeros(d), expand)
-    shared = rows.sparkSession.sparkContext.broadcast(turn)  # d x bits numbers
+    shared = Shared(rows.sparkSession, turn)  # d x bits numbers
 
     # a limit of k + 1 per vector holds before the shuffle, so no vector gathers all its rows
     least = Window.partitionBy("vec").orderBy("id")
@@ -218,9 +218,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     for part in _blocks(queries, block_size):
         given = np.array([r["vec"] for r in part])
         turned, length = turn.turn(given)
-        block = spark.sparkContext.broadcast(
+        block = Shared(spark, 
             Queries(np.array([r["id"] for r in part], np.int64), given, turned, length))
-        limits = spark.sparkContext.broadcast(_limits(index, block, k, epsilon))
+        limits = Shared(spark, _limits(index, block, k, epsilon))
         order = Window.partitionBy("query_no").orderBy("score", "vec_id")
         top = _rerank(index, block, limits, k, epsilon).withColumn("rank", F.row_number().over(order)) \
             .where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -24,6 +24,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+class Shared:
+    """A broadcast of any object of these modules: it is sent with the code of
+    its class, so executors need no package to read it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), value
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = cloudpickle.loads(self.sent.value)
+        return self.held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import column_bytes, free_name, map_columns, stored
+from slotvalue.llm.common import Shared, column_bytes, free_name, map_columns, stored
 
 WINDOW = 13
 SHARE = 20
@@ -158,7 +158,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    tables = [spark.sparkContext.broadcast(build(part, window))
+    tables = [Shared(spark, build(part, window))
               for part in _parts(benchmark, item_id, item_text, window, part_words)]
     if len(tables) <= 1:
         def run(texts: pa.Array) -> list[pa.Array]:

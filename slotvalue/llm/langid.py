@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import LOWER, map_columns, text_buffer
+from slotvalue.llm.common import LOWER, Shared, map_columns, text_buffer
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -184,7 +184,7 @@ def _has_letter(text: bytes) -> bool:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights per code bit
+    shared = Shared(docs.sparkSession, model)  # 2**BITS weights per code bit
 
     def run(texts: pa.Array) -> list[pa.Array]:
         m = shared.value
