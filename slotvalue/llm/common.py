@@ -88,6 +88,60 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - base
 
 
+#: Bytes of text whose n-grams are looked up together.
+CHUNK = 1 << 18
+
+
+def gram_buckets(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Bucket, of 2**bits, of the n-gram at every position that has ``order``
+    bytes."""
+    n = len(raw) - order + 1
+    h = np.full(max(n, 0), order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for i in range(order):
+        h *= np.uint32(0x01000193)
+        h ^= raw[i:i + n]
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    return h >> np.uint32(32 - bits)
+
+
+def gram_chunks(raw: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first position, order, buckets from there on) for all n-grams of
+    ``raw``, chunk by chunk, so a very long text needs no more memory."""
+    for at in range(0, len(raw), CHUNK):
+        for order in orders:
+            yield at, order, gram_buckets(raw[at:at + CHUNK + order - 1], order, bits)
+
+
+def gram_means(raw: np.ndarray, offs: np.ndarray, weights: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Per text, the mean of the weights (numbers or rows) of its n-grams."""
+    sums = np.zeros((len(offs) - 1, *weights.shape[1:]))
+    size = np.diff(offs)
+    counts = sum(np.maximum(size - order + 1, 0) for order in orders)
+    filled = np.flatnonzero(size)
+    starts, ends = offs[:-1][filled], offs[1:][filled]
+    for at, order, idx in gram_chunks(raw, orders, bits):
+        if not len(idx):
+            continue
+        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + len(idx))
+        part = weights[idx]
+        for back in range(1, order):  # n-grams must not run into the next text
+            over = ends[first:last] - back - at
+            part[over[(over >= 0) & (over < len(idx))]] = 0
+        cuts = np.maximum(starts[first:last] - at, 0)
+        sums[filled[first:last]] += np.add.reduceat(part, cuts, axis=0)
+    return sums / np.maximum(counts, 1).reshape(-1, *[1] * (weights.ndim - 1))
+
+
+def gram_counts(raw: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Number of n-grams of one text in each bucket."""
+    total = np.zeros(1 << bits, np.int64)
+    for _, _, idx in gram_chunks(raw, orders, bits):
+        total += np.bincount(idx, minlength=1 << bits)
+    return total
+
+
 def free_name(taken: list[str], name: str) -> str:
     """``name``, with underscores in front until no column is called so."""
     low = {c.lower() for c in taken}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import LOWER, Shared, map_columns, text_buffer
+from slotvalue.llm.common import LOWER, Shared, gram_counts, gram_means, map_columns, text_buffer
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -39,7 +39,6 @@ SAMPLE = 2400
 EPOCHS = 6
 AMBIGUOUS = 0.5
 NONE = "und"
-_CHUNK = 1 << 18
 _SCALE = 16.0
 _LETTER = re.compile(rb"[A-Za-z]")
 _LOW = np.frombuffer(LOWER, np.uint8)
@@ -69,54 +68,8 @@ def codebook(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def _buckets(low: np.ndarray, order: int) -> np.ndarray:
-    """Bucket of the n-gram at every position that has ``order`` bytes."""
-    n = len(low) - order + 1
-    h = np.full(max(n, 0), order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-    for i in range(order):
-        h *= np.uint32(0x01000193)
-        h ^= low[i:i + n]
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    return h >> np.uint32(32 - BITS)
-
-
-def gram_means(raw: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per text, the mean of the weight rows of its n-grams.  Works through
-    the bytes in chunks, so a very long text needs no more memory."""
-    sums = np.zeros((len(offs) - 1, weights.shape[1]))
-    counts = np.zeros(len(offs) - 1)
-    size = np.diff(offs)
-    for order in ORDERS:
-        counts += np.maximum(size - order + 1, 0)
-    filled = np.flatnonzero(size)
-    starts, ends = offs[:-1][filled], offs[1:][filled]
-    for at in range(0, len(raw), _CHUNK):
-        stop = min(at + _CHUNK, len(raw))
-        low = _LOW[raw[at:min(stop + max(ORDERS) - 1, len(raw))]]
-        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, stop)
-        cuts = np.maximum(starts[first:last] - at, 0)
-        for order in ORDERS:
-            idx = _buckets(low, order)[:stop - at]
-            if not len(idx):
-                continue
-            part = weights[idx]
-            for back in range(1, order):  # n-grams must not run into the next text
-                over = ends[first:last] - back - at
-                part[over[(over >= 0) & (over < len(idx))]] = 0
-            inside = cuts < len(idx)
-            sums[filled[first:last][inside]] += np.add.reduceat(part, cuts[inside], axis=0)
-    return sums / np.maximum(counts, 1)[:, None]
-
-
 def _gram_counts(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = np.zeros(1 << BITS, np.int64)
-    for at in range(0, len(text), _CHUNK):
-        stop = min(at + _CHUNK, len(text))
-        low = _LOW[text[at:min(stop + max(ORDERS) - 1, len(text))]]
-        for order in ORDERS:
-            total += np.bincount(_buckets(low, order)[:stop - at], minlength=1 << BITS)
+    total = gram_counts(_LOW[text], ORDERS, BITS)
     idx = np.flatnonzero(total)
     return idx.astype(np.uint16), total[idx].astype(np.float32)
 
@@ -193,7 +146,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         lettered = np.array([_has_letter(raw[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:])], bool)
         if m is None or not n:
             return [pa.array([NONE] * n, pa.string()), pa.array(np.zeros(n)), pa.array(np.zeros(n, bool))]
-        best, share = decode(m, gram_means(raw, offs, m.weights) + m.bias)
+        best, share = decode(m, gram_means(_LOW[raw], offs, m.weights, ORDERS, BITS) + m.bias)
         names = np.array(m.languages, object)[best]
         return [pa.array(np.where(lettered, names, NONE), pa.string()), pa.array(np.where(lettered, share, 0.0)),
                 pa.array(lettered & (share < AMBIGUOUS))]

@@ -2,7 +2,7 @@ import numpy as np
 from odd import LONG, documents, empty
 from pyspark.sql import functions as F
 
-from slotvalue.llm import langid
+from slotvalue.llm import common, langid
 from slotvalue.llm.common import remainder, table
 
 SF = "/root/testdata/sf0.01"
@@ -41,14 +41,15 @@ def test_means_do_not_depend_on_chunks(monkeypatch):
     texts = [b"", b"a", b"ab", LONG.encode()[:5000], b"xyz", "größe".encode(), b""]
     raw = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    whole = langid.gram_means(raw, offs, weights)
+    raw = langid._LOW[raw]
+    whole = common.gram_means(raw, offs, weights, langid.ORDERS, langid.BITS)
     for n, t in enumerate(texts):  # each text alone, n-gram by n-gram
         low = langid._LOW[np.frombuffer(t, np.uint8)]
-        grams = [i for o in langid.ORDERS for i in langid._buckets(low, o).tolist()]
+        grams = [i for o in langid.ORDERS for i in common.gram_buckets(low, o, langid.BITS).tolist()]
         want = weights[grams].mean(0) if grams else np.zeros(3)
         assert np.allclose(whole[n], want, atol=1e-5)
-    monkeypatch.setattr(langid, "_CHUNK", 7)
-    assert np.allclose(langid.gram_means(raw, offs, weights), whole, atol=1e-5)
+    monkeypatch.setattr(common, "CHUNK", 7)
+    assert np.allclose(common.gram_means(raw, offs, weights, langid.ORDERS, langid.BITS), whole, atol=1e-5)
 
 
 def test_codewords_differ_and_correct_errors():
