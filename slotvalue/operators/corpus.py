@@ -153,10 +153,10 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
 
     Candidates: a query with interior words goes to the entries holding its
     rarest interior word (entries are split into distinct words once); a
-    query without one goes to the entries holding its rarest character
-    trigram taken inside its words (a 2-character word is its own gram),
-    matched against grams of the entries' distinct words.  These routes are
-    only planned when such queries exist (checks over the query table).
+    query without one goes to the entries holding a word that contains its
+    longest word, found over the distinct words of the whole index by their
+    rarest common trigram (a 2-character word is its own gram).  These routes
+    are only planned when such queries exist (checks over the query table).
     """
     fields = list(weights)
     q = (queries.where(F.length("query") >= min_len)
@@ -176,14 +176,21 @@ def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] =
                      F.count(F.when(F.size(qtok) == 0, 1)).alias("tiny")).first()
     if need["short"] > 0:
         # no interior word: the query lies inside one entry word, or spans
-        # the end of one word and the start of the next, so every gram of
-        # each query word occurs inside some word of the entry
-        qgrams = F.array_distinct(F.flatten(F.transform(
-            qtok, lambda t: F.when(F.length(t) == 2, F.array(t)).otherwise(_grams(t, 3)))))
-        qg = short.select("query_id", F.explode(qgrams).alias("g"))
-        eg = words.select("entry_id", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.col("_words"), lambda t: F.concat(_grams(t, 3), _grams(t, 2)))))).alias("g"))
-        cand = cand.unionByName(_rarest(qg, eg, "g"))
+        # the end of one word and the start of the next, so every query word
+        # lies inside some word of the entry.  The distinct words of the whole
+        # index that hold the longest one are found by their grams, and the
+        # entries by those words: grams are cut from the vocabulary only
+        longest = F.array_max(F.transform(qtok, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+        token = short.where(F.size(qtok) > 0).select("query_id", longest.alias("t"))
+        grams = F.when(F.length("t") == 2, F.array("t")).otherwise(_grams(F.col("t"), 3))
+        vocabulary = ew.select("w").distinct().where(F.length("w") >= 2)
+        vg = vocabulary.select(F.col("w").alias("entry_id"), F.explode(F.array_distinct(
+            F.concat(_grams(F.col("w"), 3), _grams(F.col("w"), 2)))).alias("g"))
+        near = _rarest(token.select("query_id", F.explode(grams).alias("g")), vg, "g")
+        held = near.join(token, "query_id").where(F.instr("entry_id", F.col("t")) > 0).select(
+            "query_id", F.col("entry_id").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        dealt = ew.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int"))
+        cand = cand.unionByName(held.join(dealt, ["w", "_salt"]).select("query_id", "entry_id").distinct())
         # queries whose words are all single characters ("a b"): grams that
         # cross white space, over whole fields
         tiny = short.where(F.size(qtok) == 0)

@@ -207,7 +207,10 @@ def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_doc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus.page_index(_pages(spark, sf_dir))
+    # the walked pages are read for titles, words and the exact check: walk them once
+    path = scratch_path(spark, "page-index")
+    corpus.page_index(_pages(spark, sf_dir)).write.parquet(path)
+    index = spark.read.parquet(path)
     hits = corpus.collapse(corpus.search(index, corpus.title_queries(index)))
     return hits.select("query_id", "base_href", "group_rank", "item_pos", "href", "entry_id.page_id", "entry_id.pos",
                        "score", "group_size", "more")
