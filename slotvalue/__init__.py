@@ -6,11 +6,9 @@ stable entity keys from names, summarises value by slot, ranks entrants in
 their class, sorts outcomes into bands, picks exemplars per slot and writes
 report tables.  A few batch operators cover document listing and search.
 
-Every public function takes and returns DataFrames.  Two operators run a
-job while the plan is built: the numbering operator in ``operators.ordinal``
-writes its sorted, numbered rows as a table in the session's checkpoint
-directory, and search checks whether any query needs the character-gram
-route.
+Every public function takes and returns DataFrames.  Nothing here runs a job
+while a plan is built, except search, which checks whether any query needs the
+character-gram route.  The corpus operators in ``llm`` are an optional part.
 """
 
 __version__ = "0.1.0"
