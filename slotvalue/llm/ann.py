@@ -112,9 +112,10 @@ def build_index(rows: DataFrame, k: int, expand: int = EXPAND) -> tuple[DataFram
     turn = rotation(sample.mean(0) if len(sample) else np.zeros(d), expand)
     shared = Shared(rows.sparkSession, turn)  # d x bits numbers
 
-    # a limit of k + 1 per vector holds before the shuffle, so no vector gathers all its rows
+    # each id counts once among the k + 1; their limit holds before the shuffle by vector, so no vector
+    # gathers all its rows
     least = Window.partitionBy("vec").orderBy("id")
-    own = rows.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1) \
+    own = rows.distinct().withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= k + 1) \
         .groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

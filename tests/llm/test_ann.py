@@ -47,6 +47,16 @@ def test_one_vector_shared_by_most_rows(spark):
     assert result(ann.nearest(df, F.col("vec_id") % 100 == 0)) == exact(rows, lambda i: i % 100 == 0, 10)
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(2)
+    # ids 1, 2 and 3 share a vector; rows of id 1 fill more than k + 1 places, and the query's own row is repeated
+    rows = [(0, [1.0, 2.0, 3.0])] * 4 + [(1, [1.0, 2.0, 4.0])] * 20 + [(2, [1.0, 2.0, 4.0]), (3, [1.0, 2.0, 4.0])]
+    rows += [(i, rng.normal(size=3).tolist()) for i in range(4, 40)] * 3
+    df = spark.createDataFrame([(*r, 0, 0.0, 1) for r in rows], SCHEMA)
+    for k in (1, 5, 10):
+        assert result(ann.nearest(df, F.col("vec_id") % 10 == 0, k=k)) == exact(rows, lambda i: i % 10 == 0, k)
+
+
 def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0, 0.0, 1), (1, [1.0, 3.0], 0, 0.0, 1)], SCHEMA)
     assert result(ann.nearest(df, F.col("vec_id") % 100 == 0)) == [(0, 1, 1, 1.0)]
