@@ -23,7 +23,8 @@ indexed.
 Defined cases: vectors that are null, zero, hold null or non-finite components
 or have another length than most take no part, and so do null ids; equal rows
 count once per id; a candidate with the query's own id is left out; ties go to
-the smaller id; an empty table gives an empty result.  Extra columns are ignored.
+the smaller id; distances beyond the range of a double are infinite and tie; an
+empty table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,9 +46,17 @@ BLOCK = 1024
 SAMPLE = 4096
 SEED = 29
 _ROWS = 1024  # codes compared with a block of queries at a time
+_TINY = 1e-290  # more than what squares below the range of a double lose
 _RESULT = "query_no int, query_id long, vec_id long, score double"
 
 
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Lengths of the rows; powers of two keep the squares within a double."""
+    power = np.frexp(np.abs(rows).max(1))[1]
+    scaled = np.ldexp(rows, -power[:, None])
+    return np.ldexp(np.sqrt((scaled * scaled).sum(1)), power)
+
+
 @dataclass
 class Rotation:
     centre: np.ndarray
@@ -56,7 +65,7 @@ class Rotation:
     def turn(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rotated vectors less the centre, their lengths)."""
         rest = vectors - self.centre
-        return rest @ self.matrix, np.sqrt((rest * rest).sum(1))
+        return rest @ self.matrix, lengths(rest)
 
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(packed signs, lengths, inner products with the own code)."""
@@ -84,14 +93,19 @@ class Queries:
 
 def bounds(codes: np.ndarray, length: np.ndarray, factor: np.ndarray, q: Queries,
            epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(lower, upper) bounds of the squared distances, codes x queries."""
+    """(lower, upper) bounds of the squared distances, codes x queries; infinite
+    where the numbers leave the range of a double, so such pairs are reranked."""
     bits = q.turned.shape[1]
     signs = np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
-    inner = (signs @ q.turned.T.astype(np.float32)).astype(np.float64) / (np.sqrt(bits) * factor)[:, None]
-    near = length[:, None] ** 2 + q.length[None] ** 2 - 2 * length[:, None] * inner
-    loss = np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor * epsilon / np.sqrt(max(bits - 1, 1))
-    slack = 2 * (length * loss)[:, None] * q.length[None] + 1e-5 * (length[:, None] + q.length[None]) ** 2
-    return near - slack, near + slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        # unit queries: their float32 components neither overflow nor vanish
+        unit = (q.turned / np.where(q.length > 0, q.length, 1)[:, None]).astype(np.float32)
+        inner = (signs @ unit.T).astype(np.float64) * q.length[None] / (np.sqrt(bits) * factor)[:, None]
+        near = length[:, None] ** 2 + q.length[None] ** 2 - 2 * length[:, None] * inner
+        loss = np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor * epsilon / np.sqrt(max(bits - 1, 1))
+        slack = 2 * (length * loss)[:, None] * q.length[None] + 1e-5 * (length[:, None] + q.length[None]) ** 2 + _TINY
+        lower, upper = near - slack, near + slack
+    return np.where(np.isfinite(lower), lower, -np.inf), np.where(np.isfinite(upper), upper, np.inf)
 
 
 def _usable(vector: str, d: Column | int | None = None) -> Column:
@@ -184,8 +198,7 @@ def _rerank(index: DataFrame, block, limits, k: int, epsilon: float) -> DataFram
                 lower, _ = bounds(codes, length, factor, q, epsilon)
                 for no in np.flatnonzero((lower <= limits.value).any(0)):
                     near = np.flatnonzero(lower[:, no] <= limits.value[no]) + i
-                    rest = vectors[near] - q.vectors[no]
-                    score = np.sqrt((rest * rest).sum(1))
+                    score = lengths(vectors[near] - q.vectors[no])
                     if len(best[no]) >= k:
                         close = score <= best[no][k - 1][0]
                         near, score = near[close], score[close]

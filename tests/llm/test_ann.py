@@ -57,6 +57,16 @@ def test_repeated_rows_count_once(spark):
         assert result(ann.nearest(df, F.col("vec_id") % 10 == 0, k=k)) == exact(rows, lambda i: i % 10 == 0, k)
 
 
+def test_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-99, 99, 8).astype(float).tolist()) for i in range(60)]
+    want = [(*r[:3], round(r[3], 6)) for r in exact(rows, lambda i: i % 10 == 0, 5)]
+    for power in (120, 600, -600):  # beyond float32; squares beyond double; squares that vanish
+        df = spark.createDataFrame([(i, [x * 2.0 ** power for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+        got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=5).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score * 2.0 ** -power, 6)) for r in got) == want, power
+
+
 def test_few_rows_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0, 0.0, 1), (1, [1.0, 3.0], 0, 0.0, 1)], SCHEMA)
     assert result(ann.nearest(df, F.col("vec_id") % 100 == 0)) == [(0, 1, 1, 1.0)]
