@@ -15,8 +15,13 @@ from slotvalue.llm.common import remainder, stored, table
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the language classifier rejects: no letters, or
-    ambiguous.  It learns from the labelled rows whose crc32 remainder is not 2."""
-    marked = langid.identify(docs, langid.fit(docs, remainder("doc_id", 4) != 2))
+    ambiguous.  It learns from the labelled rows whose crc32 remainder is not 2;
+    without any, only documents without letters are dropped."""
+    model = langid.fit(docs, remainder("doc_id", 4) != 2)
+    if model is None:
+        marked = langid.lettered(docs)
+        return marked.where(F.col(marked.columns[-1])).select(*docs.columns)
+    marked = langid.identify(docs, model)
     lang, _, ambiguous = marked.columns[len(docs.columns):]
     kept = marked.where((F.col(lang) != langid.NONE) & ~F.col(ambiguous))
     return kept.select(*docs.columns)

@@ -135,6 +135,15 @@ def _has_letter(text: bytes) -> bool:
     return bool(_LETTER.search(text)) or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with has_letter, which needs no model."""
+    def run(texts: pa.Array) -> list[pa.Array]:
+        raw, offs = text_buffer(texts)
+        return [pa.array([_has_letter(raw[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:])], pa.bool_())]
+
+    return map_columns(docs, [F.col(text_col).cast("string")], run, [("has_letter", "boolean")])
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and ambiguous."""
     shared = Shared(docs.sparkSession, model)  # 2**BITS weights per code bit

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from odd import documents, empty
+from pyspark.sql import functions as F
 from test_decontam import brute
 from test_simhash import brute_components, brute_fingerprint
 
@@ -48,3 +49,11 @@ def test_odd_and_empty_documents(spark):
         docs = stage(spark, docs, SF)
     ids = [r.doc_id for r in docs.collect()]
     assert ids and not {4, 5, 6} & set(ids)  # no letters: rejected
+
+
+def test_no_labelled_row_drops_only_texts_without_letters(spark):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    docs = documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = stage(spark, docs, SF)
+    want = [r for r in docs.collect() if r.text is not None and any(c.isalpha() for c in r.text)]
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, want))
