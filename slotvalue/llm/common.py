@@ -40,6 +40,11 @@ class Shared:
             self.held = cloudpickle.loads(self.sent.value)
         return self.held
 
+    def release(self) -> None:
+        """Drop the object and its broadcast; no later job may use it."""
+        self.held = None
+        self.sent.destroy()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -15,9 +15,12 @@ bucket of the windows with that ending, and their words are compared one by
 one.  Documents without benchmark text are read at about one lookup for every
 dozen words.
 
-The benchmark is cut into parts of at most ``part_words`` window words; each
-part is one broadcast of bounded size and one pass over the documents.  With
-several parts the passes give spans, which are joined by text hash and merged.
+The benchmark is read item by item and cut into parts of at most ``part_words``
+window words (or one window); long items are cut between windows.  A part is one
+broadcast of bounded size and one pass over the documents, and is released
+before the next is built, so the driver holds one part's tables at a time.
+With several parts the passes give spans, which are stored, joined by text hash
+and merged.
 
 Defined cases: a null, empty or word-less text has no words and is clean; an
 item without words has no windows; an item whose id is null marks words but is
@@ -31,7 +34,9 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.llm.common import Shared, column_bytes, free_name, map_columns, stored
+from slotvalue.session import scratch_path
 
 WINDOW = 13
 SHARE = 20
@@ -117,22 +123,24 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_words: int):
-    """Lists of (number, words) with at most ``part_words`` window words each,
-    or a single item, and the id of every number; read item by item."""
-    part, size = [], 0
+    """(list of (id, words), whether it is the last) with at most ``part_words``
+    window words each, or a single window; read item by item."""
+    part, size, most = [], 0, max(1, part_words // window)
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator()
     for name, text in rows:
         seq = words((text or "").encode("utf-8"))
         if not seq:
             continue
-        need = window * max(1, len(seq) - window + 1)
-        if part and size + need > part_words:
-            yield part
-            part, size = [], 0
-        part.append((name, seq))
-        size += need
+        n = max(1, len(seq) - window + 1)
+        for i in range(0, n, most):  # windows i to i + most of the item
+            need = window * min(most, n - i)
+            if part and size + need > part_words:
+                yield part, False
+                part, size = [], 0
+            part.append((name, seq[i:i + most + window - 1]))
+            size += need
     if part:
-        yield part
+        yield part, True
 
 
 def _digest(names: set) -> str:
@@ -158,26 +166,33 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    tables = [Shared(spark, build(part, window))
-              for part in _parts(benchmark, item_id, item_text, window, part_words)]
-    if len(tables) <= 1:
+    parts = _parts(benchmark, item_id, item_text, window, part_words)
+    part, last = next(parts, ([], True))
+    if last:
+        shared = Shared(spark, build(part, window))
+
         def run(texts: pa.Array) -> list[pa.Array]:
             found = []
             for t in column_bytes(texts):
                 seq = words(t)
-                spans, names = search(seq, tables[0].value) if tables else ([], set())
+                spans, names = search(seq, shared.value)
                 found.append((len(seq), sum(b - a for a, b in spans), names))
             return _columns(found, share)
 
         return map_columns(docs, [text], run, _ADDED)
-    return _mark_in_parts(docs, text, tables, share)
+    return _mark_in_parts(docs, text, chain([(part, last)], parts), window, share)
 
 
-def _mark_in_parts(docs: DataFrame, text: F.Column, tables: list, share: int) -> DataFrame:
+def _mark_in_parts(docs: DataFrame, text: F.Column, parts: Iterator[tuple[list, bool]], window: int,
+                   share: int) -> DataFrame:
     """One pass per part; the spans of a text meet by its hash."""
+    spark = docs.sparkSession
     key = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    found = None
-    for shared in tables:
+    path = scratch_path(spark, "decontam-spans")
+    schema = "key string, spans array<long>, names array<string>"
+    for items, _ in parts:
+        shared = Shared(spark, build(items, window))
+
         def run(texts: pa.Array, shared=shared) -> list[pa.Array]:
             got = [search(words(t), shared.value) for t in column_bytes(texts)]
             return [pa.array([np.array(s, np.int64).reshape(-1).tolist() for s, _ in got], pa.list_(pa.int64())),
@@ -185,8 +200,9 @@ def _mark_in_parts(docs: DataFrame, text: F.Column, tables: list, share: int) ->
 
         part = map_columns(docs.select(key.alias("key"), text.alias("text")), [F.col("text")], run,
                            [("spans", "array<long>"), ("names", "array<string>")]).select("key", "spans", "names")
-        part = part.where(F.size("spans") > 0).distinct()
-        found = part if found is None else found.union(part)
+        part.where(F.size("spans") > 0).distinct().write.mode("append").parquet(path)
+        shared.release()
+    found = spark.read.schema(schema).parquet(path)
     hits = stored(found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"),
                                            F.flatten(F.collect_list("names")).alias("names")), "decontam-hits")
     names = [free_name(docs.columns, c) for c in ("key", "spans", "names")]

@@ -1,6 +1,8 @@
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import pytest
 from odd import documents, empty
@@ -45,6 +47,26 @@ def test_odd_documents(spark, part_words):
         assert tuple(r)[len(docs.columns):] == brute(r.text, ITEMS), r.text
 
 
+def test_parts_are_bounded_and_held_one_at_a_time(spark, monkeypatch):
+    docs = documents(spark).where("doc_id in (1, 8, 9)")
+    made, sizes, real = [], [], decontam.build
+
+    def build(items, window):
+        gc.collect()
+        assert not any(t() for t in made)  # those of the parts before
+        tables = real(items, window)
+        made.extend(map(weakref.ref, tables))
+        sizes.append(sum(len(p) for t in tables for p in t.owners))
+        return tables
+
+    monkeypatch.setattr(decontam, "build", build)
+    bench = spark.createDataFrame(ITEMS[:5], "item_id long, text string")
+    rows = decontam.mark(docs, bench, part_words=30).collect()
+    assert len(sizes) == 3 and max(sizes) <= 30  # the first item alone has 52 window words
+    for r in rows:
+        assert tuple(r)[len(docs.columns):] == brute(r.text, ITEMS[:5]), r.text
+
+
 def test_long_text(spark):
     docs = documents(spark).where("doc_id = 7").select("doc_id", "text")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
