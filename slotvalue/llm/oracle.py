@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from slotvalue.llm.mixing import DOMAINS, EPOCHS, PERCENT, SEED, WEIGHTS
 from slotvalue.llm.sharding import LIMIT
+from slotvalue.llm.urlfilter import DEFAULT, HOST_RULES, SPAM_PATTERNS
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
@@ -74,4 +75,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN f USING (payload_digest)
 """
 
-SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING}
+_HOST_RULES = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in HOST_RULES)
+_SPAM = " OR ".join(f"contains(host || path, '{p.strip('*')}')" for p in SPAM_PATTERNS)
+
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+           FROM pages),
+     s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+     r(rule_host, rule_path, action) AS (VALUES {_HOST_RULES}),
+     fits AS (SELECT DISTINCT host, path, rule_host || rule_path AS rule, action
+              FROM (SELECT DISTINCT host, path FROM s) d, r
+              WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+     best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+              FROM fits GROUP BY host, path)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN {_SPAM} THEN 'block' ELSE '{DEFAULT}' END) AS verdict
+FROM s LEFT JOIN best USING (host, path)
+"""
+
+SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING, "op12_urls": URLS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, warc
+from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, urlfilter, warc
 from slotvalue.llm.common import remainder, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 from slotvalue.session import scratch_path
@@ -73,6 +73,16 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = urlfilter.literal_table(spark, urlfilter.HOST_RULES, {"host": "string", "path": "string", "action": "string"})
+    spam = urlfilter.literal_table(spark, [(p, "block") for p in urlfilter.SPAM_PATTERNS],
+                                   {"pattern": "string", "action": "string"})
+    rules = urlfilter.host_rules(hosts, level=1).union(urlfilter.pattern_rules(spam, level=0))
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+    return judged.select(F.col("id").alias("page_id"), "host", "path",
+                         F.when(F.col("level") == 1, F.col("rule")).alias("rule"), "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -84,4 +94,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_ann": op9_ann,
     "op10_tokens": op10_tokens,
+    "op12_urls": op12_urls,
 }
