@@ -5,6 +5,7 @@ from __future__ import annotations
 from slotvalue.llm.mixing import DOMAINS, EPOCHS, PERCENT, SEED, WEIGHTS
 from slotvalue.llm.sharding import LIMIT
 from slotvalue.llm.urlfilter import DEFAULT, HOST_RULES, SPAM_PATTERNS
+from slotvalue.llm.veccode import ENTRIES, PARTS, ROUNDS, SCALE
 
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
@@ -94,4 +95,34 @@ SELECT page_id, host, path, rule,
 FROM s LEFT JOIN best USING (host, path)
 """
 
-SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING, "op12_urls": URLS}
+def _assigned(k: int) -> str:
+    return f"""
+     a{k} AS (SELECT part, vec_id, label, any_value(p.x) AS x, min({{'d': list_sum(list_transform(list_zip(p.x, c.x),
+                     lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS near
+              FROM p JOIN c{k} c USING (part) GROUP BY part, vec_id, label)"""
+
+
+def _round(k: int) -> str:
+    return f"""{_assigned(k)},
+     s{k} AS (SELECT part, near.e AS e, pos, sum(x[pos])::BIGINT AS s, count(*) AS n
+              FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS pos) GROUP BY ALL),
+     m{k} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS moved FROM s{k} GROUP BY part, e),
+     c{k + 1} AS MATERIALIZED (SELECT part, e, coalesce(moved, x) AS x FROM c{k} LEFT JOIN m{k} USING (part, e))"""
+
+
+VECCODES = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+     p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // {PARTS}) + 1:(part + 1) * (len(v) // {PARTS})] AS x
+                        FROM v, (SELECT unnest(range({PARTS})) AS part)),
+     c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x
+            FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES})),{",".join(map(_round, range(ROUNDS)))},{_assigned(ROUNDS)},
+     coded AS (SELECT vec_id, label, string_agg(printf('%02x', near.e), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error
+               FROM a{ROUNDS} GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) FROM c{ROUNDS}) AS codebooks_sha256
+FROM coded
+"""
+
+SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING, "op12_urls": URLS,
+       "op13_veccodes": VECCODES}

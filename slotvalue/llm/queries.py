@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, urlfilter, warc
+from slotvalue.llm import (ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, urlfilter,
+                           veccode, warc)
 from slotvalue.llm.common import remainder, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 from slotvalue.session import scratch_path
@@ -83,6 +84,14 @@ def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("level") == 1, F.col("rule")).alias("rule"), "verdict")
 
 
+def op13_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = veccode.compress(table(spark, sf_dir, "embeddings"))
+    if coded is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -95,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ann": op9_ann,
     "op10_tokens": op10_tokens,
     "op12_urls": op12_urls,
+    "op13_veccodes": op13_veccodes,
 }
