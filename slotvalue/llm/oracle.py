@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from slotvalue.llm.divergence import MIN_DOCS, TOP, UNIT
 from slotvalue.llm.mixing import DOMAINS, EPOCHS, PERCENT, SEED, WEIGHTS
 from slotvalue.llm.sharding import LIMIT
 from slotvalue.llm.urlfilter import DEFAULT, HOST_RULES, SPAM_PATTERNS
@@ -95,6 +96,37 @@ SELECT page_id, host, path, rule,
 FROM s LEFT JOIN best USING (host, path)
 """
 
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     w AS MATERIALIZED (SELECT no, lang, source,
+                               unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+     kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT no) >= {MIN_DOCS}),
+     v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+     c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+     g AS (SELECT DISTINCT lang, source FROM d),
+     gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+     p AS MATERIALIZED (SELECT lang, source, term, coalesce(n, 0) AS n,
+                               (1 + {UNIT}::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v))::HUGEINT AS p
+                        FROM gn JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+     q AS (SELECT lang, term, (1 + {UNIT}::HUGEINT * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)))::HUGEINT AS q
+           FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) GROUP BY lang, term),
+     pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+               LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+               GROUP BY ALL),
+     named AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+               FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+                      (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM named)
+WHERE rank <= {TOP}
+"""
+
+
 def _assigned(k: int) -> str:
     return f"""
      a{k} AS (SELECT part, vec_id, label, any_value(p.x) AS x, min({{'d': list_sum(list_transform(list_zip(p.x, c.x),
@@ -124,5 +156,5 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 FROM coded
 """
 
-SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING, "op12_urls": URLS,
+SQL = {"op1_sharding": SHARDING, "op4_warc": WARC, "op8_mixing": MIXING, "op11_divergence": DIVERGENCE, "op12_urls": URLS,
        "op13_veccodes": VECCODES}

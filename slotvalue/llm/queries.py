@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.llm import (ann, decontam, langid, mixing, quality, sharding, simhash, substring, tokenio, urlfilter,
-                           veccode, warc)
+from slotvalue.llm import (ann, decontam, divergence, langid, mixing, quality, sharding, simhash, substring, tokenio,
+                           urlfilter, veccode, warc)
 from slotvalue.llm.common import remainder, table
 from slotvalue.llm.oracle import SQL  # noqa: F401
 from slotvalue.session import scratch_path
@@ -74,6 +74,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = urlfilter.literal_table(spark, urlfilter.HOST_RULES, {"host": "string", "path": "string", "action": "string"})
     spam = urlfilter.literal_table(spark, [(p, "block") for p in urlfilter.SPAM_PATTERNS],
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_ann": op9_ann,
     "op10_tokens": op10_tokens,
+    "op11_divergence": op11_divergence,
     "op12_urls": op12_urls,
     "op13_veccodes": op13_veccodes,
 }

@@ -7,7 +7,8 @@ import sys
 import tempfile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-KEYS = ["op2_quality", "op4_warc", "op5_decontam", "op6_langid", "op7_substring", "op9_ann", "op10_tokens"]
+KEYS = ["op2_quality", "op4_warc", "op5_decontam", "op6_langid", "op7_substring", "op9_ann", "op10_tokens",
+        "op11_divergence", "op12_urls", "op13_veccodes"]
 SCRIPT = f"""
 import sys
 sys.path.insert(0, {ROOT!r})
