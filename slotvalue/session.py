@@ -42,6 +42,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+#: Scratch folders of single-machine sessions that name none, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder that the cluster names in
     ``spark.checkpoint.dir``.  Only a session of a single machine that names
@@ -51,6 +55,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="slotvalue-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL_SCRATCH.get(app) or "file://" + tempfile.mkdtemp(prefix="slotvalue-scratch-")
+        _LOCAL_SCRATCH[app] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
