@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
+from slotvalue.operators import bands, clean, compare, corpus, exemplars, fuzzy, keys, report, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
                                     PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
                                     COMPARE_FIRST, DISPLAY_SLOTS)
@@ -199,6 +199,14 @@ def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_hits(spark, sf_dir).select("query_id", "query", "entry_id", "href", "score", "rank")
 
 
+def q_doc_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in documents, up to one edit for ten characters."""
+    docs = tables.read_table(spark, sf_dir, "documents")
+    queries = tables.read_table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
+    return fuzzy.fuzzy_search(corpus.doc_index(docs), queries)
+
+
 def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _doc_hits(spark, sf_dir)
     docs = tables.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
@@ -261,6 +269,7 @@ QUERIES: dict[str, Query] = {
     "cmp_worst_rank": q_cmp_worst_rank,
     "cmp_bust_rank": q_cmp_bust_rank,
     "doc_search": q_doc_search,
+    "doc_fuzzy": q_doc_fuzzy,
     "doc_snippet": q_doc_snippet,
     "doc_collapse": q_doc_collapse,
     "doc_stats": q_doc_stats,

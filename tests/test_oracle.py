@@ -17,11 +17,11 @@ def con():
     return duck(SF)
 
 
-def test_every_query_has_an_oracle():
-    assert set(QUERIES) <= set(SQL)
+def test_every_query_has_an_oracle_or_a_brute_force_test():
+    assert set(QUERIES) - set(SQL) == {"doc_fuzzy"}  # test_fuzzy.py
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+@pytest.mark.parametrize("key", sorted(set(QUERIES) & set(SQL)))
 def test_query_matches_oracle(spark, con, key):
     _, problems = compare(spark, con, key, QUERIES[key], SQL[key], SF)
     assert not problems, problems
