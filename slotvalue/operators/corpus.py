@@ -1,21 +1,13 @@
-"""Document operators: listing pages, category filter, word counts, exact
-many-query search with weighted fields, grouping of hits by document and
-snippets around the first match.
-
-Search is a distributed join, not a nested loop: an entry containing a
-query holds each of the query's interior words as a whole word, and each
-3-character piece (gram) of every query word inside one of its own words.
-Each query is therefore sent only to the entries holding its rarest such
-word (or gram), found with a distributed frequency count, and candidate
-pairs are then checked exactly with ``instr``.
-"""
+"""Document operators: search entries from documents and pages, grouping of
+hits by document, snippets around the first match, listing pages, category
+filter and word counts.  ``searchindex`` searches the entries."""
 
 from __future__ import annotations
 
 import html
 import re
 import sys
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -26,12 +18,7 @@ from pyspark.sql import functions as F
 # Functions that run on executors are pickled with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Tasks that one candidate key is dealt out over.
-SALTS = 16
-# Field weights of the search index and the result limits.
-WEIGHTS = {"title": 20, "section": 20, "text": 10}
-LIMIT = 50
-MIN_QUERY = 2
+# Fixed value: items of a group that are shown.
 COLLAPSE_AFTER = 3
 
 # ---------------------------------------------------------------- indexes
@@ -104,112 +91,7 @@ def title_queries(index: DataFrame) -> DataFrame:
     return titles.groupBy("query").agg(F.min("page_id").cast("bigint").alias("query_id"))
 
 
-# ----------------------------------------------------------------- search
-
-def _grams(text: Column, k: int) -> Column:
-    """Distinct k-character pieces of ``text`` (empty for shorter text).
-
-    One regex pass with a look-ahead capture yields every overlapping
-    piece, so the cost is linear in the text length (taking ``substring``
-    at each position would rescan the text from its start each time)."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1))
-
-
-def _rarest(query_keys: DataFrame, entry_keys: DataFrame, key: str) -> DataFrame:
-    """(query_id, entry_id) candidates: the entries holding the query's
-    rarest key.  ``query_keys``: (query_id, key), every key a matching entry
-    must hold; ``entry_keys``: (entry_id, key), distinct per entry.  A query
-    with a key no entry holds gets no candidate (it cannot match)."""
-    held = entry_keys.join(query_keys.select(key).distinct(), key, "left_semi")
-    freq = held.groupBy(key).agg(F.count(F.lit(1)).alias("_df"))
-    anchor = (query_keys.join(freq, key, "left")
-              .withColumn("_df", F.coalesce(F.col("_df"), F.lit(0)))
-              .groupBy("query_id")
-              .agg(F.min_by(key, F.struct("_df", key)).alias(key), F.min("_df").alias("_df"))
-              .where(F.col("_df") > 0).select("query_id", key))
-    # a key that many queries and entries share is dealt out over SALTS tasks
-    salted = anchor.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = held.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [key, "_salt"]).select("query_id", "entry_id")
-
-
-def _interior_words(lq: Column) -> Column:
-    """Words of the query with white space on both sides inside the query:
-    any entry containing the query holds them as whole words."""
-    toks = F.split(lq, r"\s+")
-    inner = F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 2, F.lit(0)))
-    return F.array_distinct(F.filter(inner, lambda x: x != ""))
-
-
-def search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS,
-           limit: int | None = LIMIT, min_len: int = MIN_QUERY) -> DataFrame:
-    """Case-insensitive exact-substring search of every query over the
-    weighted fields of the index.
-
-    ``queries``: (query_id, query).  Result: query_id, query, entry_id,
-    href, score (sum of the weights of matching fields) and ``rank`` (1 =
-    best; ties by entry id), at most ``limit`` entries per query (a
-    per-group limit applied partially before the shuffle).
-
-    Candidates: a query with interior words goes to the entries holding its
-    rarest interior word (entries are split into distinct words once); a
-    query without one goes to the entries holding a word that contains its
-    longest word, found over the distinct words of the whole index by their
-    rarest common trigram (a 2-character word is its own gram).  These routes
-    are only planned when such queries exist (checks over the query table).
-    """
-    fields = list(weights)
-    q = (queries.where(F.length("query") >= min_len)
-         .select("query_id", "query", F.lower("query").alias("lq"))
-         .withColumn("_inner", _interior_words(F.col("lq"))))
-    e = index.select("entry_id", "href", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"l_{f}")
-                                           for f in fields])
-    words = e.select("entry_id", F.array_distinct(F.flatten(F.array(
-        *[F.split(F.col(f"l_{f}"), r"\s+") for f in fields]))).alias("_words"))
-    qw = q.select("query_id", F.explode("_inner").alias("w"))
-    ew = words.select("entry_id", F.explode("_words").alias("w"))
-    cand = _rarest(qw, ew, "w")
-    short = q.where(F.size("_inner") == 0)
-    qtok = F.filter(F.split(F.col("lq"), r"\s+"), lambda t: F.length(t) >= 2)
-    # one small job over the query table decides which routes to plan
-    need = short.agg(F.count(F.lit(1)).alias("short"),
-                     F.count(F.when(F.size(qtok) == 0, 1)).alias("tiny")).first()
-    if need["short"] > 0:
-        # no interior word: the query lies inside one entry word, or spans
-        # the end of one word and the start of the next, so every query word
-        # lies inside some word of the entry.  The distinct words of the whole
-        # index that hold the longest one are found by their grams, and the
-        # entries by those words: grams are cut from the vocabulary only
-        longest = F.array_max(F.transform(qtok, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-        token = short.where(F.size(qtok) > 0).select("query_id", longest.alias("t"))
-        grams = F.when(F.length("t") == 2, F.array("t")).otherwise(_grams(F.col("t"), 3))
-        vocabulary = ew.select("w").distinct().where(F.length("w") >= 2)
-        vg = vocabulary.select(F.col("w").alias("entry_id"), F.explode(F.array_distinct(
-            F.concat(_grams(F.col("w"), 3), _grams(F.col("w"), 2)))).alias("g"))
-        near = _rarest(token.select("query_id", F.explode(grams).alias("g")), vg, "g")
-        held = near.join(token, "query_id").where(F.instr("entry_id", F.col("t")) > 0).select(
-            "query_id", F.col("entry_id").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        dealt = ew.withColumn("_salt", F.pmod(F.xxhash64("entry_id"), F.lit(SALTS)).cast("int"))
-        cand = cand.unionByName(held.join(dealt, ["w", "_salt"]).select("query_id", "entry_id").distinct())
-        # queries whose words are all single characters ("a b"): grams that
-        # cross white space, over whole fields
-        tiny = short.where(F.size(qtok) == 0)
-        if need["tiny"] > 0:
-            tg = tiny.select("query_id", F.explode(
-                F.when(F.length("lq") < 3, F.array("lq")).otherwise(_grams(F.col("lq"), 3))).alias("g"))
-            fg = e.select("entry_id", F.explode(F.array_distinct(F.flatten(F.array(
-                *[F.concat(_grams(F.col(f"l_{f}"), 3), _grams(F.col(f"l_{f}"), 2)) for f in fields]))))
-                .alias("g"))
-            cand = cand.unionByName(_rarest(tg, fg, "g"))
-    pairs = cand.join(q.drop("_inner"), "query_id").join(e, "entry_id")
-    score = sum((F.when(F.instr(F.col(f"l_{f}"), F.col("lq")) > 0, F.lit(w)).otherwise(F.lit(0))
-                 for f, w in weights.items()), F.lit(0))
-    hits = pairs.select("query_id", "query", "entry_id", "href", score.cast("bigint").alias("score")) \
-        .where(F.col("score") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("entry_id"))
-    ranked = hits.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
-
+# ------------------------------------------------------------------- hits
 
 def collapse(hits: DataFrame, *, after: int = COLLAPSE_AFTER) -> DataFrame:
     """Group the hits of each query by base document (href before ``#``):

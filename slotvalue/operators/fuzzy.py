@@ -38,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from slotvalue.operators.corpus import LIMIT, MIN_QUERY, WEIGHTS, search
+from slotvalue.operators.searchindex import LIMIT, MIN_QUERY, WEIGHTS, SearchIndex, search
 from slotvalue.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -247,16 +247,17 @@ def _blocks(queries: DataFrame, block_chars: int) -> Iterator[list[Row]]:
         yield part
 
 
-def fuzzy_search(index: DataFrame, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS, tolerance: float = TOLERANCE,
+def fuzzy_search(index: DataFrame | SearchIndex, queries: DataFrame, *, weights: Mapping[str, int] = WEIGHTS, tolerance: float = TOLERANCE,
                  limit: int | None = LIMIT, min_len: int = MIN_QUERY, block_chars: int = 1 << 20) -> DataFrame:
     """(query_id, query, entry_id, href, distance, score, rank): ``distance`` is
     the least number of edits over the fields, ``score`` the sum of the weights
     of the fields that match; ranked by distance, score, entry."""
-    spark, fields = index.sparkSession, list(weights)
+    given = index.entries if isinstance(index, SearchIndex) else index
+    spark, fields = given.sparkSession, list(weights)
     asked = queries.where(F.length("query") >= min_len).select("query_id", "query", F.lower("query").alias("lq"))
     plain = F.floor(F.length("lq") * tolerance + 1e-9) < 1
-    entries = index.select("entry_id", "href", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    kind = index.schema["entry_id"].dataType.simpleString()
+    entries = given.select("entry_id", "href", *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
+    kind = given.schema["entry_id"].dataType.simpleString()
     path = scratch_path(spark, "fuzzy-hits")
     schema = f"query_id long, entry_id {kind}, href string, distance int, score long"
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotvalue.operators import bands, clean, compare, corpus, exemplars, fuzzy, keys, report, slots
+from slotvalue.operators import bands, clean, compare, corpus, exemplars, fuzzy, keys, report, searchindex, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
                                     PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
                                     COMPARE_FIRST, DISPLAY_SLOTS)
@@ -188,11 +188,24 @@ def q_cmp_bust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("slot", r6("bust_share"), "bust_pos")
 
 
-def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = tables.read_table(spark, sf_dir, "documents")
-    queries = tables.read_table(spark, sf_dir, "benchmark").select(
+def _doc_index(spark: SparkSession, sf_dir: str) -> searchindex.SearchIndex:
+    """The documents' index: the first query of a session writes it."""
+    return searchindex.kept_index(spark, f"documents {sf_dir}", lambda: searchindex.build_search_index(
+        corpus.doc_index(tables.read_table(spark, sf_dir, "documents"))))
+
+
+def _page_index(spark: SparkSession, sf_dir: str) -> searchindex.SearchIndex:
+    return searchindex.kept_index(spark, f"pages {sf_dir}", lambda: searchindex.build_search_index(
+        corpus.page_index(_pages(spark, sf_dir))))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_table(spark, sf_dir, "benchmark").select(
         F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
-    return corpus.search(corpus.doc_index(docs), queries)
+
+
+def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searchindex.search(_doc_index(spark, sf_dir), _passages(spark, sf_dir))
 
 
 def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,25 +214,21 @@ def q_doc_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_doc_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in documents, up to one edit for ten characters."""
-    docs = tables.read_table(spark, sf_dir, "documents")
-    queries = tables.read_table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").cast("bigint").alias("query_id"), F.col("text").alias("query"))
-    return fuzzy.fuzzy_search(corpus.doc_index(docs), queries)
+    return fuzzy.fuzzy_search(corpus.doc_index(tables.read_table(spark, sf_dir, "documents")), _passages(spark, sf_dir))
 
 
 def q_doc_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _doc_hits(spark, sf_dir)
-    docs = tables.read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry_id"), "text")
-    return hits.join(docs, "entry_id").select(
+    texts = _doc_index(spark, sf_dir).entries.select("entry_id", "text")
+    # written, so that the few hits are known to be few and the texts stay where they are
+    hits = searchindex.written(_doc_hits(spark, sf_dir).select("query_id", "query", "entry_id"), scratch_path(spark, "hits"))
+    return hits.join(texts, "entry_id").select(
         "query_id", "entry_id", corpus.snippet(F.col("text"), F.col("query")).alias("snippet"))
 
 
 def q_doc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the walked pages are read for titles, words and the exact check: walk them once
-    path = scratch_path(spark, "page-index")
-    corpus.page_index(_pages(spark, sf_dir)).write.parquet(path)
-    index = spark.read.parquet(path)
-    hits = corpus.collapse(corpus.search(index, corpus.title_queries(index)))
+    """Page titles searched in the pages and their paragraphs, by page."""
+    index = _page_index(spark, sf_dir)
+    hits = corpus.collapse(searchindex.search(index, corpus.title_queries(index.entries)))
     return hits.select("query_id", "base_href", "group_rank", "item_pos", "href", "entry_id.page_id", "entry_id.pos",
                        "score", "group_size", "more")
 

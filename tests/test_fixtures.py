@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from slotvalue.functions.rfuncs import percent_label
 from slotvalue.functions.text import file_stem
-from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, slots
+from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, searchindex, slots
 from slotvalue.sources import pages
 
 AS_OF = "2001-12-31"
@@ -188,7 +188,7 @@ def test_search_collapse_snippet(spark):
     ], "entry_id long, href string, title string, section string, text string")
     q = spark.createDataFrame([(1, "quick brown"), (2, "alpha"), (3, "x"), (4, "own"), (5, "wn do"),
                                (6, "a q")], "query_id long, query string")
-    hits = corpus.search(idx, q)
+    hits = searchindex.search(idx, q)
     got = rows(hits, "query_id", "entry_id", "score")
     assert (1, 1, 10) in got and (1, 2, 10) in got and (1, 5, 10) in got
     assert [r for r in got if r[0] == 2] == [(2, e, 20) for e in (1, 2, 3, 4)]
@@ -326,12 +326,12 @@ def test_page_index_of_odd_pages(spark):
     assert by[1, 0][2:] == ("http://h/1", "T é", "H", "a b") and by[1, 1100][2:] == ("http://h/1#p1099", "T é", "H", "w1099")
     assert by[2, 0].text == "seen par" and by[2, 1].text == "par" and by[3, 0].text == ""
     q = spark.createDataFrame([(1, "w1050"), (2, "w0")], "query_id long, query string")
-    assert rows(corpus.search(idx, q), "query_id", "href") == [(1, "http://h/1#p1050"), (2, "http://h/1#p0")]
+    assert rows(searchindex.search(idx, q), "query_id", "href") == [(1, "http://h/1#p1050"), (2, "http://h/1#p0")]
 
 
 def test_one_common_word_over_many_entries(spark):
     idx = spark.range(3000).select(F.col("id").alias("entry_id"), F.concat(F.lit("h"), "id").alias("href"), F.lit("").alias("title"),
                                    F.lit("").alias("section"), F.lit("some common word here").alias("text"))
     q = spark.createDataFrame([(i, "common") for i in range(5)] + [(9, "some common word")], "query_id long, query string")
-    got = corpus.search(idx, q, limit=None).groupBy("query_id").count()
+    got = searchindex.search(idx, q, limit=None).groupBy("query_id").count()
     assert {r.query_id: r["count"] for r in got.collect()} == {i: 3000 for i in (0, 1, 2, 3, 4, 9)}

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from slotvalue.operators import corpus, fuzzy
+from slotvalue.operators import fuzzy
 from slotvalue.plans.catalog import QUERIES
 from slotvalue.sources.tables import read_table
 

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from slotvalue.operators import corpus, exemplars, report
+from slotvalue.operators import exemplars, report, searchindex
 from slotvalue.sources import docindex, files, tables
 
 SF = "/root/testdata/sf0.001"
@@ -23,7 +23,7 @@ def test_json_index_search(spark):
         json.dump(entries, fh)
     idx = docindex.read_doc_index(spark, d)
     q = spark.createDataFrame([(1, "second pick"), (2, "median")], "query_id long, query string")
-    got = sorted((r["query_id"], r["entry_id"], r["score"]) for r in corpus.search(idx, q).collect())
+    got = sorted((r["query_id"], r["entry_id"], r["score"]) for r in searchindex.search(idx, q).collect())
     assert got == [(1, "a.html", 20), (1, "a.html#s", 20), (2, "a.html#s", 30)]
 
 
