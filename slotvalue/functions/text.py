@@ -3,6 +3,7 @@ built-ins (no Python UDF)."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -21,26 +22,35 @@ SPECIAL_LATIN = {
 }
 
 
+#: Latin-1 Supplement to Extended-B, Extended Additional, Extended-C, Extended-D,
+#: the Latin ligatures, the fullwidth letters.
+LATIN_BLOCKS = [(0x00C0, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06),
+                (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]
+_FORM_OF = re.compile(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z]|AA|AO|AU|AV|AY|OO|TZ|VY)( WITH .+)?")
+
+
 def _transliteration() -> tuple[dict[str, str], dict[str, str]]:
     """(one-to-one map, one-to-many map) from Latin letters to ASCII.
 
-    Rule: every letter in U+00C0..U+024F and U+1E00..U+1EFF whose
-    compatibility decomposition holds ASCII letters maps to those (é -> e,
-    Ŕ -> R, ễ -> e); the fixed table above covers letters without such a
-    decomposition.  Marks written as letters of their own (U+0300..U+036F, the
-    decomposed form of an accent) are dropped by ``letters_only``."""
+    Rule: a letter of the Latin blocks (to Extended-D), the Latin ligatures and
+    the fullwidth forms whose compatibility decomposition holds ASCII letters
+    maps to those (é -> e, Ŕ -> R, ễ -> e, ﬃ -> ffi); one without such a
+    decomposition to the letter that its Unicode name says it is a form of
+    (ⱡ -> l, Ꜳ -> AA); the fixed table above covers the others.  Marks written
+    as letters of their own (U+0300..U+036F, the decomposed form of an accent)
+    are dropped by ``letters_only``."""
     single: dict[str, str] = {}
     multi: dict[str, str] = {}
-    for cp in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+    for cp in (cp for first, last in LATIN_BLOCKS for cp in range(first, last + 1)):
         ch = chr(cp)
         if ch in SPECIAL_LATIN or not ch.isalpha():
             continue
-        base = unicodedata.normalize("NFKD", ch)
-        ascii_part = "".join(c for c in base if c.isascii() and c.isalpha())
-        if len(ascii_part) == 1:
-            single[ch] = ascii_part
-        elif len(ascii_part) > 1:
-            multi[ch] = ascii_part
+        to = "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii() and c.isalpha())
+        form = _FORM_OF.fullmatch(unicodedata.name(ch, ""))
+        if not to and form:
+            to = form[2].lower() if form[1] == "SMALL" else form[2]
+        if to:
+            (single if len(to) == 1 else multi)[ch] = to
     for ch, to in SPECIAL_LATIN.items():
         (single if len(to) == 1 else multi)[ch] = to
     return single, multi
@@ -52,11 +62,13 @@ DST_CHARS = "".join(SINGLE[c] for c in SRC_CHARS)
 
 
 def latin_ascii(c: Column) -> Column:
-    """Latin-to-ASCII transliteration: multi-letter replacements, then one
-    ``translate`` for the one-to-one letters."""
+    """Latin-to-ASCII transliteration: ASCII text stays as it is; else the
+    letters that become several, where there are any, then one ``translate``."""
+    several = c
     for src, dst in MULTI.items():
-        c = F.replace(c, F.lit(src), F.lit(dst))
-    return F.translate(c, SRC_CHARS, DST_CHARS)
+        several = F.replace(several, F.lit(src), F.lit(dst))
+    several = F.when(c.rlike(f"[{''.join(MULTI)}]"), several).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(several, SRC_CHARS, DST_CHARS)).otherwise(c)
 
 
 def latin_ascii_sql(expr: str) -> str:

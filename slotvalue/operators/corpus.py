@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotvalue.operators.ordinal import Order, rows_between
 
 # Functions that run on executors are pickled with their code.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -153,14 +154,11 @@ def word_stats(documents: DataFrame, *, words_per_minute: int = 200) -> DataFram
         F.length("text").cast("bigint").alias("chars"))
 
 
-def listing_page(df: DataFrame, *, page: int, size: int, order: list[Column]) -> DataFrame:
+def listing_page(df: DataFrame, *, page: int, size: int, order: list[Order]) -> DataFrame:
     """Rows ``(page-1)*size + 1 .. page*size`` of ``df`` in ``order``, with
-    their position.  A top-k with offset: each task keeps at most
-    ``page*size`` rows, and the position is numbered over the page only."""
-    skip = (page - 1) * size
-    rows = df.orderBy(*order).offset(skip).limit(size)
-    pos = F.row_number().over(Window.orderBy(*order)) + skip
-    return rows.withColumn("position", pos.cast("bigint"))
+    their position.  Any page costs the same: only the rows around it are
+    sorted (``ordinal.rows_between``)."""
+    return rows_between(df, order, (page - 1) * size + 1, page * size, rn="position")
 
 
 def in_category(df: DataFrame, category: str, categories: Column) -> DataFrame:

@@ -67,36 +67,40 @@ def _measure(kind: T.DataType, name: str, desc: bool) -> tuple[Column, bool]:
     return (F.bitwise_not(v) if desc else v), exact
 
 
+def place_among(bounds: Column, value: Column, depth: int) -> Column:
+    """The number of ``bounds`` (an ascending array of up to 2**depth - 1
+    values) below ``value``, by binary search."""
+    return F.aggregate(
+        F.array(*[F.lit(1 << s) for s in reversed(range(depth))]), F.lit(0),
+        lambda found, step: found + F.when(F.try_element_at(bounds, found + step) < value, step).otherwise(F.lit(0)))
+
+
 def _with_buckets(df: DataFrame, order: list[tuple[str, bool]], parts: int) -> tuple[DataFrame, list[str]]:
     """``df`` with one bucket column per order column."""
     depth = max(1, math.ceil(math.log2(parts)))
     m = (1 << depth) - 1
     measures = [_measure(df.schema[c].dataType, c, desc) for c, desc in order]
 
-    def number(c: str, p: Column) -> Column:
+    def nan(c: str) -> Column:
         floating = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-        return F.when(~F.isnan(c), p) if floating else p
+        return F.coalesce(F.isnan(c), F.lit(False)) if floating else F.lit(False)
 
     shares = [i / (m + 1) for i in range(1, m + 1)]
     bounds = df.select(F.struct(*[
-        F.percentile_approx(number(c, p), shares, 10 * (m + 1)).alias(f"c{i}")
+        F.percentile_approx(F.when(~nan(c), p), shares, 10 * (m + 1)).alias(f"c{i}")
         for i, ((c, _), (p, _)) in enumerate(zip(order, measures))])).scalar()
     out = df.withColumn("_bounds", bounds)
     split, names = F.lit(True), []
     for i, ((c, desc), (p, exact)) in enumerate(zip(order, measures)):
-        at = F.col(f"_bounds.c{i}")
-        # binary search: how many bounds lie below the measure
-        below = F.aggregate(
-            F.array(*[F.lit(1 << s) for s in reversed(range(depth))]), F.lit(0),
-            lambda found, step: found + F.when(F.try_element_at(at, found + step) < p, step).otherwise(F.lit(0)))
-        out = out.withColumn(f"_below{i}", below)
+        at, null = F.col(f"_bounds.c{i}"), F.col(c).isNull()
+        # later columns are looked at only where the earlier ones tie
+        out = out.withColumn(f"_below{i}", F.when(split, place_among(at, p, depth)))
         tie = F.coalesce(F.try_element_at(at, F.col(f"_below{i}") + 1) == p, F.lit(False)) if exact else F.lit(False)
         code = 2 * F.col(f"_below{i}") + tie.cast("int")
-        is_nan = F.isnan(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)
-        code = F.when(F.col(c).isNull(), 2 * m + 3).when(is_nan, -1 if desc else 2 * m + 2).otherwise(code)
+        code = F.when(null, 2 * m + 3).when(nan(c), -1 if desc else 2 * m + 2).otherwise(code)
         out = out.withColumn(f"_b{i}", F.when(split, code).otherwise(F.lit(-2)))
         names.append(f"_b{i}")
-        split = split & (F.col(c).isNull() | F.coalesce(is_nan, F.lit(False)) | tie)
+        split = split & (null | nan(c) | tie)
     return out, names
 
 
@@ -160,3 +164,22 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Order], *,
     if bucket:
         added.append(F.struct(*ks, *bs).alias(bucket))
     return out.select(*cols, *added)
+
+
+def rows_between(df: DataFrame, order: Sequence[Order], first: int, last: int, *, buckets: int | None = None,
+                 rn: str = "rn") -> DataFrame:
+    """The rows at places ``first`` to ``last`` (from 1) of ``df`` in
+    ``order``, with their place as ``rn``.
+
+    Rows are counted by bucket, and only the buckets that hold the wanted
+    places are sorted, so a place deep in a large table costs no more than one
+    near its beginning and no task sorts more than a bucket."""
+    spec, cols = _parsed(order), list(df.columns)
+    parts = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, bs = _with_buckets(df, spec, parts)
+    sizes = rows.groupBy(*bs).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(F.lit(0)).orderBy(*bs).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = sizes.withColumn("_upto", F.sum("_c").over(upto)).where((F.col("_upto") >= first) & (F.col("_upto") - F.col("_c") < last))
+    near = rows.join(held.select(*bs, (F.col("_upto") - F.col("_c")).alias("_before")), bs)
+    place = F.row_number().over(Window.partitionBy(*bs).orderBy(*_sorted_by(spec))) + F.col("_before")
+    return near.withColumn("_rn", place).where(F.col("_rn").between(first, last)).select(*cols, F.col("_rn").cast("bigint").alias(rn))

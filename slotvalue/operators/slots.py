@@ -3,31 +3,35 @@ value within each class, and mean / median class rank by slot."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotvalue.functions.rfuncs import flag, guarded
-from slotvalue.operators.ordinal import number_within
+from slotvalue.operators.ordinal import number_within, place_among
 
 
-#: Half the width, as a share of the rows, of the band around the middle whose
-#: values are counted one by one; 20 times the error of the sketch.
-_BAND, _ACCURACY = 0.002, 10_000
+#: Shares of the rows at which the middle is looked for: 41 bounds, as close as
+#: the sketch can tell them apart, out to 20 times its error.
+_NEAR = [0.5 + i / 10_000 for i in range(-20, 21)]
+_ACCURACY = 10_000
 
 
 def summarise_by(df: DataFrame, keys: Sequence[str], value: str, median: str = "exact") -> DataFrame:
     """Per group: ``_n`` rows, ``_nv`` non-NULL values, ``_total``, ``_avg``
     and ``_med`` of ``value``.
 
-    ``median="exact"``: the first pass takes, with the sums, two approximate
-    percentiles that enclose the middle (``percentile_approx`` is off by one
-    part in ``_ACCURACY`` of the rows at most).  The second counts the values
-    between them, and the rows below, with a partial aggregate; a running sum
-    over these few distinct values finds the one or two middle rows.  No sort
-    and no task holds a whole group (``percentile``/``median`` merge every
-    distinct value of a group in one task).
+    ``median="exact"``: the first pass takes, with the sums, a sketch's bounds
+    around the middle (``percentile_approx``, off by one part in ``_ACCURACY``
+    of the rows at most).  The second counts the values between two neighbouring
+    bounds one by one, with a partial aggregate, and all others as two numbers.
+    The counts tell for certain which stretch holds the middle; a running sum
+    over its values alone, some ten thousandth of the group, finds it.  Were the
+    sketch worse than it promises, the count would show it and raise an error.
+    No task holds a whole group (``percentile``/``median`` merge every distinct
+    value of a group in one task).
 
     ``median="approx"``: ``percentile_approx`` alone.
     """
@@ -37,26 +41,34 @@ def summarise_by(df: DataFrame, keys: Sequence[str], value: str, median: str = "
             F.sum(value).alias("_total"), F.avg(value).alias("_avg")]
     if median == "approx":
         return df.groupBy(*keys).agg(*base, F.percentile_approx(value, 0.5, _ACCURACY).cast("double").alias("_med"))
-    ends = F.percentile_approx(value, [0.5 - _BAND, 0.5 + _BAND], _ACCURACY)
-    stats = df.groupBy(*keys).agg(*base, ends.alias("_ends"))
-    low, high = F.col("_ends")[0], F.col("_ends")[1]
-    renamed = stats.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_nv", "_ends")
-    same = [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]
-    # rows below the band count together, as NULL, which sorts first
-    near = df.select(*keys, value).join(renamed, same).where(F.col(value) <= high).groupBy(
-        *keys, F.when(F.col(value) >= low, F.col(value)).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_nv").alias("_nv"))
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    ranked = near.withColumn("_upto", F.sum("_c").over(upto))
+    stats = df.groupBy(*keys).agg(*base, F.percentile_approx(value, _NEAR, _ACCURACY).alias("_ends"))
+    group = [f"_s{i}" for i in range(len(keys))]
+    bounds = stats.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], "_nv", "_ends")
+    same = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, group)]
+    top = len(_NEAR)
+    stretch = F.when(F.col("_v") < F.col("_ends")[0], -1).when(F.col("_v") > F.col("_ends")[top - 1], top).otherwise(
+        place_among(F.col("_ends"), F.col("_v"), math.ceil(math.log2(top + 1))))
+    inner = (F.col("_stretch") >= 0) & (F.col("_stretch") < top)
+    near = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull()).join(bounds, same) \
+        .withColumn("_stretch", stretch).groupBy(*group, "_stretch", F.when(inner, F.col("_v")).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_nv").alias("_nv"))
+    lo, hi = F.floor((F.col("_nv") + 1) / 2), F.ceil((F.col("_nv") + 1) / 2)
+    sizes = near.groupBy(*group, "_stretch").agg(F.sum("_c").alias("_held"), F.first("_nv").alias("_nv"))
+    below = Window.partitionBy(*group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_held").over(below), F.lit(0)))
+    chosen = sizes.where(((F.col("_before") < lo) & (lo <= F.col("_before") + F.col("_held")))
+                         | ((F.col("_before") < hi) & (hi <= F.col("_before") + F.col("_held"))))
+    chosen = chosen.select(*[F.col(c).alias(f"{c}_") for c in [*group, "_stretch"]], "_before")
+    values = near.join(chosen, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*group, "_stretch"]])
+    upto = Window.partitionBy(*group, "_stretch").orderBy("_v")
+    values = values.withColumn("_upto", F.col("_before") + F.sum("_c").over(upto))
+    known = F.when(inner, F.col("_v")).otherwise(F.raise_error(F.lit("the middle lies outside the sketch's bounds")).cast("double"))
 
     def at(place: Column) -> Column:
-        return F.min(F.when(F.col("_upto") >= place, F.col("_v")))
+        return F.min(F.when((F.col("_upto") >= place) & (F.col("_upto") - F.col("_c") < place), known))
 
-    mid = ranked.groupBy(*keys).agg(((at(F.floor((F.col("_nv") + 1) / 2)) + at(F.ceil((F.col("_nv") + 1) / 2))) / 2)
-                                    .cast("double").alias("_med"))
-    mid = mid.withColumnsRenamed({k: f"_m_{k}" for k in keys})
-    return stats.join(mid, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys], "left").select(
-        *keys, "_n", "_nv", "_total", "_avg", "_med")
+    mid = values.groupBy(*group).agg(((at(lo) + at(hi)) / 2).cast("double").alias("_med"))
+    return stats.join(mid, same, "left").select(*keys, "_n", "_nv", "_total", "_avg", "_med")
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "med") -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, fuzzy, keys, report, searchindex, slots
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_SIZE, CATEGORY,
-                                    COMPARE_FIRST, DISPLAY_SLOTS)
+                                    PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_DEEP, LISTING_SIZE, CATEGORY,
+                                    COMPARE_FIRST, DISPLAY_SLOTS, PAGE_ORDERS)
 from slotvalue.session import scratch_path
 from slotvalue.sources import docindex, files, pages, tables
 
@@ -101,7 +101,7 @@ def q_page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_page_first_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_first_table(pages.page_cells(_pages(spark, sf_dir)))
+    return pages.page_first_table(_pages(spark, sf_dir))
 
 
 def q_header_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,27 +116,39 @@ def q_page_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed entrants with keys from the pages' first lists.  The lists have
     one column and no header, so its cells are names, and their row and length
     stand in for the other columns."""
-    cells = pages.page_first_table(pages.page_tables(_pages(spark, sf_dir)))
+    cells = pages.page_tables(_pages(spark, sf_dir), first_only=True)
     wide = pages.to_wide(cells.withColumn("class_year", pages.class_from_url(F.col("url"))), ["0"],
                          ["page_id", "class_year", "row_idx"], "col_idx")
-    raw = wide.select("class_year", (F.col("page_id") * 10_000 + F.col("row_idx")).alias("row_pos"),
+    raw = wide.select("page_id", "class_year", F.col("row_idx").alias("row_pos"),
                       F.col("row_idx").cast("string").alias("Pk"), F.col("0").alias("Player"),
                       F.length("0").cast("string").alias("Yrs"), F.lit("").alias("WS"), F.lit("x").alias("VORP"))
-    typed = clean.clean_entrants(raw)
-    return keys.entity_key(typed, order=("class_year", "row_pos")).select(
-        "class_year", "slot", "name", "exposure", "value", "value2", "row_pos", "base_id", "player_id")
+    typed = clean.clean_entrants(raw, keep=["page_id"])
+    return keys.entity_key(typed, order=("class_year", "page_id", "row_pos")).select(
+        "class_year", "slot", "name", "exposure", "value", "value2", "page_id", "row_pos", "base_id", "player_id")
 
 
-def q_slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entrants with keys in one call from stored pages: the orders rendered as
+    HTML tables, several pages a class."""
+    html = tables.rendered_pages(tables.raw_entrants(spark, sf_dir), clean.PAGE_COLUMNS, PAGE_ORDERS)
+    return clean.load_pages(html).select(
+        "class_year", "slot", "name", "exposure", "value", "value2", "base_id", "player_id")
+
+
+def _report(spark: SparkSession, sf_dir: str, chosen: list[int] | None) -> DataFrame:
     ex = _exemplars(spark, sf_dir).withColumn("player_id", F.col("id").cast("string"))
     images = files.image_paths(tables.read_table(spark, sf_dir, "labels"), "doc_id")
-    return report.slot_report(ex, images, slots=REPORT_SLOTS, placeholder=PLACEHOLDER)
+    return report.slot_report(ex, images, slots=chosen, placeholder=PLACEHOLDER)
+
+
+def q_slot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, REPORT_SLOTS)
 
 
 def q_slot_report_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the chosen slots, in report order (its place is a column)
     and under display names."""
-    rep = report.slot_report_placed(q_slot_report(spark, sf_dir).where(F.col("slot").isin(DISPLAY_SLOTS)))
+    rep = report.slot_report_placed(_report(spark, sf_dir, DISPLAY_SLOTS))
     return report.display_labels(rep.select("slot", "place", "category", "path", "name", "class_year", "exposure",
                                             "value", "rate"))
 
@@ -157,6 +169,15 @@ def q_index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("entry_id", "href", "title", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def q_index_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files of one JSON array each, and loaded from
+    them by several tasks a file."""
+    path = scratch_path(spark, "doc-arrays")
+    docindex.write_doc_arrays(corpus.doc_index(tables.read_table(spark, sf_dir, "documents")), path)
+    loaded = docindex.read_doc_arrays(spark, path)
+    return loaded.select("entry_id", "href", "title", "section", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _slot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.slot_value(tables.entrants(spark, sf_dir), max_slot=FIRST_ROUND, focus_slot=FOCUS_SLOT)
 
@@ -237,12 +258,21 @@ def q_doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.word_stats(tables.read_table(spark, sf_dir, "documents"))
 
 
+def _listing(spark: SparkSession, sf_dir: str, page: int) -> DataFrame:
+    rows = tables.read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("order_date"))
+    found = corpus.listing_page(rows, page=page, size=LISTING_SIZE, order=[("order_date", "desc"), "o_orderkey"])
+    return found.withColumn("order_date", F.col("order_date").cast("string"))
+
+
 def q_doc_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the orders, newest first."""
-    rows = tables.read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("order_date"))
-    return corpus.listing_page(rows, page=LISTING_PAGE, size=LISTING_SIZE,
-                               order=[F.col("order_date").desc(), F.col("o_orderkey")])
+    return _listing(spark, sf_dir, LISTING_PAGE)
+
+
+def q_doc_listing_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far from the first."""
+    return _listing(spark, sf_dir, LISTING_DEEP)
 
 
 def q_doc_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,10 +298,12 @@ QUERIES: dict[str, Query] = {
     "header_promote": q_header_promote,
     "class_union": q_class_union,
     "page_entrants": q_page_entrants,
+    "load_pages": q_load_pages,
     "slot_report": q_slot_report,
     "slot_report_display": q_slot_report_display,
     "slot_report_files": q_slot_report_files,
     "index_files": q_index_files,
+    "index_arrays": q_index_arrays,
     "cmp_lowest": q_cmp_lowest,
     "cmp_nearest": q_cmp_nearest,
     "cmp_ratio": q_cmp_ratio,
@@ -283,5 +315,6 @@ QUERIES: dict[str, Query] = {
     "doc_collapse": q_doc_collapse,
     "doc_stats": q_doc_stats,
     "doc_listing": q_doc_listing,
+    "doc_listing_deep": q_doc_listing_deep,
     "doc_category": q_doc_category,
 }

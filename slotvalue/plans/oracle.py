@@ -5,7 +5,7 @@ Spark results."""
 from __future__ import annotations
 
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
-                                    PLACEHOLDER, LISTING_PAGE, LISTING_SIZE, CATEGORY, COMPARE_FIRST,
+                                    PLACEHOLDER, LISTING_PAGE, LISTING_DEEP, LISTING_SIZE, CATEGORY, COMPARE_FIRST,
                                     DISPLAY_SLOTS)
 
 D = FLOAT_DIGITS
@@ -238,6 +238,19 @@ LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l
 WHERE o.o_orderstatus <> 'P' AND c.c_name <> ''
 """
 
+SQL["load_pages"] = f"""
+WITH raw AS ({SQL["clean_entrants"]}),
+named AS ({_name_parts('raw', 'name')}),
+keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY class_year, row_pos) AS occ,
+         count(*) OVER (PARTITION BY base_id) AS nk
+  FROM named
+)
+SELECT class_year, slot, name, exposure, value, value2, base_id,
+       CASE WHEN nk = 1 THEN base_id ELSE base_id || CAST(occ AS VARCHAR) END AS player_id
+FROM keyed
+"""
+
 SQL["page_scan"] = f"""
 SELECT page_id, url, TRY_CAST(regexp_extract(url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
        CAST(length(html) AS BIGINT) AS n_chars
@@ -305,16 +318,16 @@ WITH {CELLS},
 raw AS (
   SELECT TRY_CAST(regexp_extract(p.url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
          CAST(c.row_idx AS DOUBLE) AS slot, c.cell AS name, CAST(length(c.cell) AS DOUBLE) AS exposure,
-         CAST(0 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS value2, c.page_id * 10000 + c.row_idx AS row_pos
+         CAST(0 AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS value2, c.page_id, c.row_idx AS row_pos
   FROM cells c JOIN pages p ON p.page_id = c.page_id WHERE c.table_idx = 0 AND c.cell <> ''
 ),
 named AS ({_name_parts('raw', 'name')}),
 keyed AS (
-  SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY class_year NULLS LAST, row_pos) AS occ,
+  SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY class_year NULLS LAST, page_id, row_pos) AS occ,
          count(*) OVER (PARTITION BY base_id) AS nk
   FROM named
 )
-SELECT class_year, slot, name, exposure, value, value2, row_pos, base_id,
+SELECT class_year, slot, name, exposure, value, value2, page_id, row_pos, base_id,
        CASE WHEN nk = 1 THEN base_id ELSE base_id || CAST(occ AS VARCHAR) END AS player_id
 FROM keyed
 """
@@ -347,6 +360,8 @@ SELECT CAST(doc_id AS VARCHAR) AS entry_id, 'doc/' || CAST(doc_id AS VARCHAR) AS
 FROM documents
 """
 
+SQL["index_arrays"] = SQL["index_files"]
+
 SLOT_SUMMARY = f"""
 summary AS (
   SELECT slot,
@@ -493,12 +508,17 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words,
 FROM documents
 """
 
-SQL["doc_listing"] = f"""
+def _listing(page: int) -> str:
+    return f"""
 SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS order_date,
        CAST(row_number() OVER (ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey) AS BIGINT) AS position
-FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT {LISTING_SIZE} OFFSET {(LISTING_PAGE - 1) * LISTING_SIZE}
+FROM orders ORDER BY CAST(o_orderdate AS DATE) DESC, o_orderkey LIMIT {LISTING_SIZE} OFFSET {(page - 1) * LISTING_SIZE}
 """
 
+
+SQL["doc_listing"] = _listing(LISTING_PAGE)
+SQL["doc_listing_deep"] = _listing(LISTING_DEEP)
+
 SQL["doc_category"] = f"""
 SELECT doc_id, lang, source FROM documents
 WHERE coalesce(list_contains(string_split(concat_ws(',', lang, source), ','), '{CATEGORY}'), false)

@@ -13,9 +13,11 @@ AS_OF = "2001-12-31"
 MATURITY_YEARS = 4
 FLOAT_DIGITS = 6       # float results are rounded so engines agree on the last bits
 REPORT_SLOTS = None    # all slots of the exemplars table
-DISPLAY_SLOTS = [1, 2, 3]  # slots of the displayed report
+DISPLAY_SLOTS = list(range(1, LOTTERY + 1))  # slots of the displayed report
 PLACEHOLDER = "images/placeholder.jpg"
 LISTING_PAGE = 2
+LISTING_DEEP = 400     # a page far from the first
 LISTING_SIZE = 25
+PAGE_ORDERS = 500      # order keys of a rendered page
 CATEGORY = "fr"
 COMPARE_FIRST = 5      # "the first five" slots of the comparisons

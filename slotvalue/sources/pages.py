@@ -137,6 +137,29 @@ class _Walker(HTMLParser):
                 c.cell.parts.append(data)
 
 
+class _Done(Exception):
+    """The first table or list has ended."""
+
+
+class _FirstWalker(_Walker):
+    """Reads a page to the end of its first table or list."""
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        if self.found and not self.open:
+            raise _Done
+
+
+def _containers(html: str, first_only: bool) -> list[_Container]:
+    walker = _FirstWalker() if first_only else _Walker()
+    try:
+        walker.feed(html)
+        walker.close()
+    except _Done:
+        pass
+    return walker.found[:1] if first_only else walker.found
+
+
 def unique_names(names: Sequence[str]) -> list[str]:
     """Names made unique in order: the second ``MP`` becomes ``MP.1``, or the
     first ``MP.<n>`` that no other column has."""
@@ -160,18 +183,16 @@ def _header_row(grid: list[list[_Cell]], header_row: int | None) -> int:
     return 1 if heads == [True, True] else 0
 
 
-def page_tables(pages: DataFrame, header_row: int | None = None) -> DataFrame:
-    """All cells of all tables and lists: page_id, url, table_idx, row_idx,
+def page_tables(pages: DataFrame, header_row: int | None = None, first_only: bool = False) -> DataFrame:
+    """All cells of all tables and lists, or of each page's first only (which is
+    read no further): page_id, url, table_idx, row_idx,
     col_idx (from 0), cell text, first link target, whether the row lies below
     the header row, and the column's unique name (NULL beyond the header)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-                walker = _Walker()
-                walker.feed(html or "")
-                walker.close()
-                for t, container in enumerate(walker.found):
+                for t, container in enumerate(_containers(html or "", first_only)):
                     grid = container.grid()
                     head = _header_row(grid, header_row)
                     names = unique_names([c.text for c in grid[head]]) if head < len(grid) else []
@@ -179,6 +200,7 @@ def page_tables(pages: DataFrame, header_row: int | None = None) -> DataFrame:
                              for r, line in enumerate(grid) for c, cell in enumerate(line)]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in TABLE_SCHEMA.split(", ")])
 
+    # a page without an id has no cells that could be told apart: it is left out
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.col("html").cast("string").alias("html"))
     return src.where("page_id is not null").mapInPandas(run, TABLE_SCHEMA)
@@ -193,9 +215,9 @@ def page_cells(pages: DataFrame) -> DataFrame:
     return page_tables(pages).select(*_CELLS)
 
 
-def page_first_table(cells: DataFrame) -> DataFrame:
-    """The first table (or list) of each page."""
-    return cells.where(F.col("table_idx") == 0)
+def page_first_table(pages: DataFrame) -> DataFrame:
+    """The cells of the first table (or list) of each page."""
+    return page_tables(pages, first_only=True).select(*_CELLS)
 
 
 def header_promote(pages: DataFrame, header_row: int | None = None) -> DataFrame:
@@ -214,7 +236,7 @@ def to_wide(named: DataFrame, names: Sequence[str], keys: Sequence[str] = ("page
 def class_union(pages: DataFrame) -> DataFrame:
     """Cells of the first table of every page, stacked, with the page's class
     attached: one scan over all pages instead of one load per class."""
-    first = page_first_table(page_tables(pages))
+    first = page_tables(pages, first_only=True)
     return first.select("page_id", class_from_url(F.col("url")).alias("class_year"), *_CELLS[1:])
 
 
@@ -223,6 +245,6 @@ def raw_table(pages: DataFrame, columns: Sequence[str], header_row: int | None =
     row_pos (row in page order) and the named ``columns`` (NULL where a page
     has no such column)."""
     keys = ["page_id", "class_year", "row_pos"]
-    body = page_first_table(page_tables(pages, header_row)).where("is_body").select(
+    body = page_tables(pages, header_row, first_only=True).where("is_body").select(
         "page_id", class_from_url(F.col("url")).alias("class_year"), F.col("row_idx").alias("row_pos"), "col_name", "cell")
     return to_wide(body, columns, keys)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -81,3 +82,23 @@ def raw_entrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_entrant_text(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"),
                             read_table(spark, sf_dir, "lineitem"))
 
+
+
+def rendered_pages(raw: DataFrame, columns: Sequence[str], per_page: int) -> DataFrame:
+    """Raw text rows (class_year, row_pos and ``columns``) as stored pages, one
+    HTML table each: a page holds the rows of one class whose ``row_pos`` lies in
+    one stretch of ``per_page``, so no page grows with the table.  Its number is
+    made of the stretch and the class; its url ends in the class."""
+    def escaped(c: str) -> Column:
+        text = F.coalesce(F.col(c), F.lit(""))
+        return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), escaped(c), F.lit("</td>")) for c in columns], F.lit("</tr>"))
+    rows = raw.select((F.floor(F.col("row_pos") / per_page) * 10_000 + F.col("class_year")).alias("page_id"), "class_year",
+                      F.struct("row_pos", row.alias("html")).alias("row"))
+    head = "<table><tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    pages = rows.groupBy("page_id", "class_year").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    return pages.select(
+        "page_id", F.concat(F.lit("https://example.org/class/"), F.col("class_year").cast("string")).alias("url"),
+        F.concat(F.lit(f"<html><body><p>one <b>page</b></p>{head}"), F.array_join("rows.html", ""),
+                 F.lit("</table><ul><li>after</li></ul></body></html>")).alias("html"))

@@ -4,7 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from slotvalue.functions.rfuncs import percent_label
-from slotvalue.functions.text import file_stem
+from slotvalue.functions.text import file_stem, latin_ascii
 from slotvalue.operators import bands, clean, compare, corpus, exemplars, keys, report, searchindex, slots
 from slotvalue.sources import pages
 
@@ -66,7 +66,7 @@ def test_page_cells_and_header(spark):
                                "page_id long, url string, html string")
     cells = pages.page_cells(pg)
     assert cells.where("page_id = 2").count() == 0
-    first = pages.page_first_table(cells)
+    first = pages.page_first_table(pg)
     assert first.where("cell = 'second'").count() == 0
     named = pages.header_promote(pg)
     got = rows(named.where("table_idx = 0"), "col_idx", "col_name", "cell", "href")
@@ -209,7 +209,7 @@ def test_search_collapse_snippet(spark):
 def test_listing_category_stats(spark):
     docs = spark.createDataFrame([(i, "fr" if i % 2 else "en", f"s{i % 3}", "a b  c" if i == 3 else "")
                                   for i in range(10)], "doc_id long, lang string, source string, text string")
-    page = corpus.listing_page(docs, page=2, size=3, order=[F.col("doc_id").desc()])
+    page = corpus.listing_page(docs, page=2, size=3, order=[("doc_id", "desc")])
     assert rows(page, "doc_id", "position") == [(4, 6), (5, 5), (6, 4)]
     assert corpus.in_category(docs, "fr", F.concat_ws(",", "lang", "source")).count() == 5
     assert corpus.in_category(docs, "", F.concat_ws(",", "lang", "source")).count() == 10
@@ -303,6 +303,34 @@ def test_pages_to_entrants(spark):
                    (2005, 1.0, "Anna Smithers", 1.0, 2.0, 3.0, "smithan2"), (2005, 1.5, "Bo Half", 1.0, None, 3.0, "halfbo")]
 
 
+def test_first_table_is_that_of_the_whole_page(spark):
+    """Stopping at its end gives what the whole page gives."""
+    odd = ["<table><tr><td>a<table><tr><td>in</td></tr></table>b</td></tr></table><ul><li>x</li></ul>", "<ul><li>open",
+           "<!-- <table> --><script>'<ul>'</script><ol><li>1<ul><li>2</ol><table><tr><td>z</td></tr></table>", "</table><p>none", "",
+           "<table><tr><td rowspan=2>r</td><td>1</td></tr><tr><td>2</td></tr></table></table><table></table>"]
+    pg = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in enumerate(odd)], "page_id long, url string, html string")
+    assert rows(pages.page_first_table(pg)) == rows(pages.page_cells(pg).where("table_idx = 0"))
+
+
+def test_names_tie_by_page_and_row(spark):
+    """Two pages of one class: the lower page comes first, whatever its rows."""
+    def page(*names):
+        body = "".join(f"<tr><td>{i + 1}</td><td>{n}</td><td>1</td><td>1</td><td>1</td></tr>" for i, n in enumerate(names))
+        return "<table><tr>" + "".join(f"<th>{c}</th>" for c in clean.PAGE_COLUMNS) + f"</tr>{body}</table>"
+
+    pg = spark.createDataFrame([(2, "http://h/2000", page("Al Smith")), (1, "http://h/2000", page("X Y", "Alan Smith", "Alf Smith"))],
+                               "page_id long, url string, html string")
+    got = rows(clean.load_pages(pg), "page_id", "row_pos", "player_id")
+    assert got == [(1, 1, "yx"), (1, 2, "smithal1"), (1, 3, "smithal2"), (2, 1, "smithal3")]
+
+
+def test_transliteration_of_more_blocks(spark):
+    given = ["ＡＢＣ ｘｙｚ", "ﬁx ﬀ ﬃ ﬅ", "ⱡⱥⱢ Ꜳꜳ Ꝏ", "plain", "ƀɁ Ƒ", "Straße Œuvre", None, "日本"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(latin_ascii(F.col("t"))).collect()]
+    assert got[:6] == ["ABC xyz", "fix ff ffi st", "laL AAaa OO", "plain", "bɁ F", "Strasse OEuvre"] and got[6:] == [None, "日本"]
+
+
 def test_transliteration_of_vietnamese_and_forms(spark):
     df = spark.createDataFrame([("Nguyễn Văn Thiệu",), ("Ṡtraẞe",), ("Ḿb Ấn",)], "name string")
     assert [r.name_clean for r in keys.name_clean(df).collect()] == ["Nguyen Van Thieu", "StraSSe", "Mb An"]

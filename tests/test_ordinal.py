@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from slotvalue.operators.ordinal import number_within
+from slotvalue.operators import slots
+from slotvalue.operators.ordinal import number_within, rows_between
 from slotvalue.operators.slots import exact_median
 
 
@@ -120,3 +121,20 @@ def test_exact_median_of_many_rows(spark):
         F.pmod(F.xxhash64("id"), 1_000_003).cast("double")).alias("v"))
     want = {r.k: r.m for r in df.groupBy("k").agg(F.expr("median(v)").alias("m")).collect()}
     assert {r.k: r.med for r in exact_median(df, ["k"], "v").collect()} == want
+
+
+def test_places_deep_in_a_table(spark):
+    df = _data(spark).drop("g", "h")
+    order = [("v", "desc"), "id"]
+    all_rows = number_within(df, [], order).select("id", "rn").collect()
+    for first, last in ((1, 10), (995, 1004), (1990, 2050), (2001, 2010), (5, 4)):
+        got = rows_between(df, order, first, last, buckets=32).select("id", "rn").collect()
+        assert sorted(got) == sorted(r for r in all_rows if first <= r.rn <= last)
+
+
+def test_bounds_that_miss_the_middle_are_noticed(spark, monkeypatch):
+    df = spark.range(5_000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    assert exact_median(df, ["k"], "v").first().med == 2499.5
+    monkeypatch.setattr(slots, "_NEAR", [0.2 + i / 1000 for i in range(10)])
+    with pytest.raises(Exception, match="outside the sketch"):
+        exact_median(df, ["k"], "v").collect()
