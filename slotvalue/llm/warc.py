@@ -2,8 +2,8 @@
 
 One WARC/1.1 record per page, each compressed as a Zstandard frame of its own.
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the
-dictionary, built from the records of that archive; decoders that know the
-layout load it, all others skip it.
+dictionary, built from the records of that archive, however few they are;
+decoders that know the layout load it, all others skip it.
 
 Records with equal payloads of at least ``MIN_SHARED`` bytes: the one with the
 smallest page id is a ``response``, the others are ``revisit`` records without
@@ -79,24 +79,24 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def build_dictionary(records: list[bytes]) -> bytes:
-    """A trained dictionary; empty if there is too little to train on."""
-    if sum(map(len, records)) < 8 * DICT_BYTES or len(records) < 16:
-        return b""
+    """A dictionary of up to an eighth of the records: trained, or, where they
+    are too few or too small for that, the beginnings of some of them as they
+    are (Zstandard takes any content as a dictionary)."""
+    size = min(DICT_BYTES, max(sum(map(len, records)) // 8, 256))
     try:
-        return zstandard.train_dictionary(DICT_BYTES, records).as_bytes()
+        return zstandard.train_dictionary(size, records).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        some = records[::-(-len(records) // 8)]
+        return b"".join(r[:max(size // len(some), 32)] for r in some)
 
 
 def archive(records: list[bytes]) -> Iterator[bytes]:
     """The frames of one archive: the dictionary's, then one per record."""
     trained = build_dictionary(records)
     yield struct.pack("<II", DICT_MAGIC, len(trained)) + trained
-    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
-    if trained:
-        loaded = zstandard.ZstdCompressionDict(trained)
-        loaded.precompute_compress(level=LEVEL)
-        packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=loaded)
+    loaded = zstandard.ZstdCompressionDict(trained)
+    loaded.precompute_compress(level=LEVEL)
+    packer = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, dict_data=loaded)
     for r in records:
         yield packer.compress(r)
 

@@ -59,6 +59,25 @@ def test_large_pages_close_an_archive(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "w").glob("part-*"))) == 14
 
 
+def test_every_archive_has_a_dictionary(spark, tmp_path):
+    """Small tasks too: 64 partitions, some of a single short record."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").repartition(60).union(
+        spark.createDataFrame([(10 ** 6 + i, "u", None if i % 2 else "x") for i in range(4)], "page_id long, url string, html string")
+        .repartition(4))
+    path = tmp_path / "w"
+    got = warc.archive_pages(pages, str(path))
+    assert got.count() == pages.count()
+    files = [f.read_bytes() for f in path.glob("part-*")]
+    assert len(files) >= 60
+    for data in files:
+        size = int.from_bytes(data[4:8], "little")
+        assert int.from_bytes(data[:4], "little") == warc.DICT_MAGIC and size >= 32
+        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:8 + size]))
+        assert reader.stream_reader(data, read_across_frames=True).read().startswith(b"WARC/1.1")
+    texts = {r.page_id: r.html or "" for r in pages.select("page_id", "html").collect()}
+    assert all(bytes(r.payload).decode() == texts[r.page_id] for r in got.collect() if r.payload is not None)
+
+
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], SCHEMA)
     assert warc.archive_pages(pages, str(tmp_path / "w")).count() == 0
