@@ -10,7 +10,9 @@ Amounts are whole tokens, rounded down.
 
 A leaf's rows are ordered anew in every epoch by a seeded hash of the id.  The
 leaf's selection is the longest prefix of epoch 0, epoch 1, ... whose tokens do
-not exceed its budget.  Rows with equal ids are taken or left together.
+not exceed its budget.  Rows whose ids are equal, or null, follow each other by a
+hash of the whole row, and equal rows are taken one by one, so an id with many
+rows is cut inside like any other part of its leaf.
 
 The prefix needs no sort of a leaf: tokens per (leaf, top 8 hash bits) and a
 running sum over those bins find the bin where the budget ends; its rows are
@@ -41,6 +43,7 @@ EPOCHS = 3
 SEED = 17
 BIN_BITS = 8
 LEVELS = 3
+PAGE = 1000            # equal rows laid out together
 NONE = "(none)"
 SEP = "\u001f"
 #: Domain of each source; others are in the domain "other".
@@ -129,37 +132,75 @@ def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column, percent: int
         F.expr("case when tokens > 0 then budget % tokens else 0 end").alias("rest"))
     plan = stored(plan, "mix-plan")
     place = hash60(F.concat_ws(":", F.lit(seed).cast("string"), F.col("full").cast("string"), F.col("id")))
-    # where the tokens of a leaf's last epoch end, BIN_BITS of the hash at a time: each step looks
-    # only at the rows of the bin that its predecessor found, and orders at most 2**BIN_BITS sums
     keyed = slim.join(plan.select(*slim_path, "full"), slim_path).select(*slim_path, "tokens", place.alias("key"))
-    up = Window.partitionBy(*slim_path)
-    edge = plan.select(*slim_path, F.lit(0).cast("long").alias("prefix"), "rest")
-    for level in range(LEVELS + 1):
-        inside = keyed.join(edge, slim_path).where(
-            F.shiftright("key", HASH_BITS - BIN_BITS * level) == F.col("prefix"))
-        last = level == LEVELS
-        at_bin = F.col("key") if last else F.shiftright("key", HASH_BITS - BIN_BITS * (level + 1))
-        sums = inside.groupBy(*slim_path, at_bin.alias("bin")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
-        over = sums.withColumn("upto", F.sum("t").over(up.orderBy("bin"))).where("upto > rest")
-        first = F.min(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("t")).alias("rest")))
-        edge = stored(over.groupBy(*slim_path).agg(first.alias("e")).select(
-            *slim_path, F.col("e.bin").alias("prefix"), F.col("e.rest").alias("rest")), "mix-edges")
-    first_out = edge.select(*slim_path, F.col("prefix").alias("stop"))
-    cut = stored(plan.join(first_out, slim_path, "left"), "mix-cuts")
-
-    stop, full = name("stop"), name("full")
-    cut = cut.select(*[F.col(a).alias(b) for a, b in zip(slim_path, path)], F.col("full").alias(full),
-                     F.col("stop").alias(stop))
+    edge = _ends(keyed, plan.select(*slim_path, "rest"), slim_path)
+    stop, full, sub, sub_stop, copies = map(name, ("stop", "full", "sub", "sub_stop", "copies"))
+    met = keyed.join(edge, slim_path).where("key = prefix").groupBy(*slim_path).agg(
+        F.count("*").alias("n"), F.first("rest").alias("rest"))
+    crowd = stored(met.where("n > 1").select(*slim_path, "rest"), "mix-crowds")
+    cut = stored(plan.select(*slim_path, "full").join(edge.select(*slim_path, F.col("prefix").alias("stop")), slim_path, "left"),
+                 "mix-cuts").select(*[F.col(a).alias(b) for a, b in zip(slim_path, path)], F.col("full").alias(full),
+                                    F.col("stop").alias(stop))
     chosen = rows.join(cut, path)
 
     def at(n: Column) -> Column:
         return hash60(F.concat_ws(":", F.lit(seed).cast("string"), n.cast("string"), ident))
 
+    def written(df: DataFrame) -> DataFrame:
+        return df.select(*cols, *path, n_tokens, epoch, at(F.col(epoch)).alias(key))
+
     # no row stops the last epoch where all its tokens fit
-    in_last = (F.col(full) < epochs) & (F.col(stop).isNull() | (at(F.col(full)) < F.col(stop)))
-    times = F.col(full) + F.when(in_last, 1).otherwise(0)
-    chosen = chosen.withColumn(epoch, F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-    return chosen.select(*cols, *path, n_tokens, epoch, at(F.col(epoch)).alias(key))
+    key_last = at(F.col(full))
+    in_last = F.col(stop).isNull() | (key_last < F.col(stop))
+    several = not crowd.isEmpty()
+    if several:  # the budget ends among rows of one id
+        chosen = chosen.withColumn(sub, _row_hash(docs))
+        inside = chosen.where(key_last == F.col(stop)).select(
+            *[F.col(b).alias(a) for a, b in zip(slim_path, path)], F.col(n_tokens).alias("tokens"), F.col(sub).alias("key"))
+        ends = _ends(inside.join(crowd.select(*slim_path), slim_path), crowd, slim_path)
+        equal = inside.join(ends, slim_path).where("key = prefix").groupBy(*slim_path).agg(
+            F.first("prefix").alias("prefix"), F.expr("first(rest) div max(tokens)").alias("copies"))
+        equal = stored(equal, "mix-equal").select(*[F.col(a).alias(b) for a, b in zip(slim_path, path)],
+                                                  F.col("prefix").alias(sub_stop), F.col("copies").alias(copies))
+        chosen = chosen.join(equal, path, "left")
+        in_last = in_last | F.coalesce((key_last == F.col(stop)) & (F.col(sub) < F.col(sub_stop)), F.lit(False))
+    times = F.col(full) + F.when((F.col(full) < epochs) & in_last, 1).otherwise(0)
+    taken_rows = written(chosen.withColumn(epoch, F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)))))
+    if not several:
+        return taken_rows
+    # equal rows: one stands for all, and is laid out as often as the budget has room, a page at a time
+    same = chosen.where((F.col(full) < epochs) & (key_last == F.col(stop)) & (F.col(sub) == F.col(sub_stop)) & (F.col(copies) > 0))
+    pages = same.dropDuplicates(path).withColumn(sub_stop, F.explode(F.expr(f"sequence(0L, (`{copies}` - 1) div {PAGE})")))
+    pages = pages.repartition(*path, sub_stop).withColumn(sub, F.explode(F.sequence(
+        F.lit(1).cast("long"), F.least(F.lit(PAGE).cast("long"), F.col(copies) - F.col(sub_stop) * PAGE))))
+    return taken_rows.union(written(pages.withColumn(epoch, F.col(full))))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """60 bits of a hash of all columns that can be hashed."""
+    given = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()
+             and "variant" not in f.dataType.simpleString()]
+    return F.shiftrightunsigned(F.xxhash64(*given), 64 - HASH_BITS)
+
+
+def _ends(keyed: DataFrame, rest: DataFrame, leaf: list[str]) -> DataFrame:
+    """(leaf..., prefix, rest): the key at which the tokens of a leaf's rows,
+    in order of ``key``, exceed its ``rest``, and what is left of that before it.
+
+    It is found BIN_BITS of the hash at a time: each step looks only at the rows
+    of the bin that its predecessor found, and orders at most 2**BIN_BITS sums."""
+    up = Window.partitionBy(*leaf)
+    edge = rest.select(*leaf, F.lit(0).cast("long").alias("prefix"), "rest")
+    for level in range(LEVELS + 1):
+        inside = keyed.join(edge, leaf).where(F.shiftright("key", HASH_BITS - BIN_BITS * level) == F.col("prefix"))
+        last = level == LEVELS
+        at_bin = F.col("key") if last else F.shiftright("key", HASH_BITS - BIN_BITS * (level + 1))
+        sums = inside.groupBy(*leaf, at_bin.alias("bin")).agg(F.sum("tokens").alias("t"), F.first("rest").alias("rest"))
+        over = sums.withColumn("upto", F.sum("t").over(up.orderBy("bin"))).where("upto > rest")
+        first = F.min(F.struct("bin", (F.col("rest") - F.col("upto") + F.col("t")).alias("rest")))
+        edge = stored(over.groupBy(*leaf).agg(first.alias("e")).select(
+            *leaf, F.col("e.bin").alias("prefix"), F.col("e.rest").alias("rest")), "mix-edges")
+    return edge
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -71,6 +71,31 @@ def test_prefixes_of_seeded_epochs(spark):
     assert got == want
 
 
+def test_a_hot_id_is_cut(spark, monkeypatch):
+    """Half the rows share no id, or one id, or are all equal: the mix still
+    meets its budget within a row of each leaf."""
+    monkeypatch.setattr(mixing, "PAGE", 7)
+    for case in ("null ids", "one id", "equal rows", "two kinds"):
+        rows = []
+        for i in range(400):
+            text = {"equal rows": "w w w w", "two kinds": "a b c d" if i % 3 else "x y"}.get(case, f"w{i} b c d")
+            rows.append((None if case != "one id" else 7, text, "en", "src0"))
+            rows.append((1000 + i, f"v{i} b c d", "en", "src1"))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+        total = sum(len(r[1].split()) for r in rows)
+        for percent, epochs in ((60, 1), (90, 2)) if case == "two kinds" else ((60, 1),):
+            got = mixed(docs, percent=percent, epochs=epochs)
+            tokens = {r.origin: r.t for r in got.groupBy("origin").agg(F.sum("n_tokens").alias("t")).collect()}
+            target = total * percent // 100
+            assert target - 8 <= sum(tokens.values()) <= target, (case, percent, tokens)
+            # nothing is taken more often in an epoch than it is there
+            there = {(r[0], r[1]): 0 for r in rows}
+            for r in rows:
+                there[r[0], r[1]] += 1
+            for r in got.groupBy("doc_id", "text", "epoch").count().collect():
+                assert r["count"] <= there[r.doc_id, r.text]
+
+
 def test_odd_documents(spark):
     docs = documents(spark)
     got = mixed(docs, percent=100, epochs=1)
