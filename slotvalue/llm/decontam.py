@@ -8,19 +8,21 @@ hit.  A document is contaminated if it has hit words and they are at least
 ``1 / share`` of its words.
 
 The search treats words as symbols.  Windows of one length m are searched
-together: for each position the block of words that ends there is looked up in
-a shift table.  A block that occurs in no window lets the search skip all
-positions up to m - block + 1 further on; a block that ends a window leads to a
-bucket of the windows with that ending, and their words are compared one by
-one.  Documents without benchmark text are read at about one lookup for every
-dozen words.
-
-The benchmark is read item by item and cut into parts of at most ``part_words``
-window words (or one window); long items are cut between windows.  A part is one
-broadcast of bounded size and one pass over the documents, and is released
-before the next is built, so the driver holds one part's tables at a time.
-With several parts the passes give spans, which are stored, joined by text hash
-and merged.
+together: for each position the block of words that ends there is hashed into a
+shift table.  A block that occurs in no window lets the search skip all
+positions up to m - block + 1 further on; blocks that share a slot have the
+smaller shift, so none is skipped.  A block that ends a window leads, with the
+hash of the first block, to the windows with these two, and their words are
+compared directly.  Documents without benchmark text are read at about one
+lookup for every dozen words.
+
+The benchmark is read item by item and cut into parts whose tables take at most
+``part_bytes`` (or one window); long items are cut between windows.  A table
+holds the items' words once, in one run of bytes, and windows as places in it,
+so its size follows from the words' bytes and not from Python objects.  A part
+is one broadcast and one pass over the documents, and is released before the
+next is built, so the driver holds one part's tables at a time.  With several
+parts the passes give spans, which are stored, joined by text hash and merged.
 
 Defined cases: a null, empty or word-less text has no words and is clean; an
 item without words has no windows; an item whose id is null marks words but is
@@ -40,6 +42,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +51,11 @@ from slotvalue.session import scratch_path
 
 WINDOW = 13
 SHARE = 20
-PART_WORDS = 4_000_000
+PART_BYTES = 48 << 20
 BLOCK = 2
+#: Bytes that a table needs besides the words' own: a word's offset, blank and
+#: share of the shift table; a window's key, place and owner; an item's name.
+_PER_WORD, _PER_WINDOW, _PER_ITEM = 9, 24, 100
 #: Word bytes, A-Z lower-cased; every other byte becomes a blank.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
                for b in range(256))
@@ -61,52 +67,99 @@ def words(text: bytes | None) -> list[bytes]:
 
 @dataclass
 class Table:
-    """Shift table and buckets of the windows of one length."""
+    """Shift table and windows of one length."""
     length: int
     block: int
-    shifts: dict[tuple, int]                 # block of words -> positions to skip, 0 at the end of a window
-    buckets: dict[tuple, list[tuple]]        # last block -> windows that end so
-    owners: dict[tuple, set]                 # window -> numbers of its items
-
-
-def build(items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> list[Table]:
+    shifts: bytes            # by hash of a block: positions to skip, 0 at the end of a window
+    text: bytes              # the items' words, each with a blank after it
+    offsets: np.ndarray      # first byte of every word, and the end
+    keys: np.ndarray         # of the distinct windows, sorted: halves of the hashes of their last and first blocks
+    places: np.ndarray       # their first words
+    owned: np.ndarray        # owners of window i are owners[owned[i]:owned[i + 1]]
+    owners: np.ndarray
+    names: list              # of the items
+
+    def matches(self, last: int, seq: list[bytes]) -> Iterator[int]:
+        """Numbers of the windows that are ``seq``, whose last block hashes to ``last``."""
+        key = np.uint64((last & ~_HALF) | (_hash(b" ".join(seq[:self.block])) >> 32))
+        whole, i = b" ".join(seq), int(np.searchsorted(self.keys, key))
+        while i < len(self.keys) and self.keys[i] == key:
+            at = self.places[i]
+            if self.text[self.offsets[at]:self.offsets[at + self.length] - 1] == whole:
+                yield i
+            i += 1
+
+
+_hash = xxhash.xxh3_64_intdigest
+_HALF = (1 << 32) - 1
+
+
+def build(items: list[tuple[object, list[bytes]]], window: int = WINDOW) -> list[Table]:
     """One table per window length."""
-    owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for number, seq in items:
-        m = min(window, len(seq))
-        for i in range(len(seq) - m + 1 if m else 0):
-            owners[m][tuple(seq[i:i + m])].add(number)
-    tables = []
-    for m, own in sorted(owners.items()):
-        block = min(BLOCK, m)
-        shifts: dict[tuple, int] = {}
-        buckets = defaultdict(list)
-        for pattern in own:
-            for end in range(block, m + 1):
-                key = pattern[end - block:end]
-                shifts[key] = min(shifts.get(key, m), m - end)
-            buckets[pattern[m - block:]].append(pattern)
-        tables.append(Table(m, block, shifts, dict(buckets), dict(own)))
-    return tables
+    by_length: dict[int, list] = defaultdict(list)
+    for name, seq in items:
+        if seq:
+            by_length[min(window, len(seq))].append((name, seq))
+    return [_table(m, own) for m, own in sorted(by_length.items())]
+
+
+def _table(m: int, items: list[tuple[object, list[bytes]]]) -> Table:
+    block = min(BLOCK, m)
+    flat = [w for _, seq in items for w in seq]
+    text = b" ".join(flat) + b" "
+    offsets = np.zeros(len(flat) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1, out=offsets[1:])
+    del flat
+
+    def hashed(starts: np.ndarray, size: int) -> np.ndarray:
+        ends = offsets[starts + size] - 1
+        return np.fromiter((_hash(text[a:z]) for a, z in zip(offsets[starts].tolist(), ends.tolist())),
+                           np.uint64, len(starts))
+
+    sizes = np.array([len(seq) for _, seq in items])
+    counts, first = sizes - m + 1, np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), counts)
+    starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+    blocks = hashed(np.arange(len(offsets) - block), block)
+    slots = 1 << len(blocks).bit_length() + 1
+    slot = (blocks & np.uint64(slots - 1)).astype(np.int64)
+    shifts = np.full(slots, min(m - block + 1, 255), np.uint8)
+    for at in range(m - block + 1):  # nearer the end, so the smaller shift stays
+        shifts[slot[starts + at]] = min(m - block - at, 255)
+
+    keys = (blocks[starts + m - block] & ~np.uint64(_HALF)) | (blocks[starts] >> np.uint64(32))
+    whole = hashed(starts, m)
+    order = np.lexsort((owner, whole, keys))
+    keys, whole, owner, starts = keys[order], whole[order], owner[order], starts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (whole[1:] != whole[:-1])
+    for i in np.flatnonzero(~new):  # equal hashes: the words decide
+        a, b = starts[i - 1], starts[i]
+        new[i] = text[offsets[a]:offsets[a + m]] != text[offsets[b]:offsets[b + m]]
+    kept = new.copy()
+    kept[1:] |= owner[1:] != owner[:-1]
+    small = np.int32 if len(text) < 1 << 31 else np.int64
+    return Table(m, block, shifts.tobytes(), text, offsets.astype(small), keys[new], starts[new].astype(np.int32),
+                 np.append(np.flatnonzero(new[kept]), kept.sum()).astype(np.int32), owner[kept], [n for n, _ in items])
 
 
 def search(seq: list[bytes], tables: list[Table]) -> tuple[list[tuple[int, int]], set]:
-    """(merged spans of hit words as [start, end), numbers of items found)."""
+    """(merged spans of hit words as [start, end), names of items found)."""
     spans: list[tuple[int, int]] = []
     found: set = set()
     n = len(seq)
     for t in tables:
         m, block, shifts, at = t.length, t.block, t.shifts, t.length
-        skip = m - block + 1
+        mask, seen = len(shifts) - 1, set()
         while at <= n:
-            key = tuple(seq[at - block:at])
-            step = shifts.get(key, skip)
+            last = _hash(b" ".join(seq[at - block:at]))
+            step = shifts[last & mask]
             if not step:
-                for pattern in t.buckets[key]:
-                    if tuple(seq[at - m:at]) == pattern:
-                        spans.append((at - m, at))
-                        found |= t.owners[pattern]
-                        break  # the patterns of a bucket differ
+                for i in t.matches(last, seq[at - m:at]):
+                    spans.append((at - m, at))
+                    if i not in seen:
+                        seen.add(i)
+                        found.update(t.names[o] for o in t.owners[t.owned[i]:t.owned[i + 1]])
                 step = 1
             at += step
     return merged(spans), found
@@ -122,23 +175,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_words: int):
-    """(list of (id, words), whether it is the last) with at most ``part_words``
-    window words each, or a single window; read item by item."""
-    part, size, most = [], 0, max(1, part_words // window)
+def _parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_bytes: int):
+    """(list of (id, words), whether it is the last) whose tables take at most
+    ``part_bytes``, or a single window; read item by item."""
+    part, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator()
     for name, text in rows:
         seq = words((text or "").encode("utf-8"))
         if not seq:
             continue
-        n = max(1, len(seq) - window + 1)
-        for i in range(0, n, most):  # windows i to i + most of the item
-            need = window * min(most, n - i)
-            if part and size + need > part_words:
+        m, begin = min(window, len(seq)), 0
+        named = _PER_ITEM + len(name or "")
+        for i in range(len(seq) - m + 1):
+            need = _PER_WINDOW + _PER_WORD + len(seq[i + m - 1])  # one more window of the piece
+            alone = named + _PER_WINDOW + sum(map(len, seq[i:i + m])) + _PER_WORD * m if i == begin else 0
+            if size + max(need, alone) > part_bytes and (part or i > begin):
+                if i > begin:
+                    part.append((name, seq[begin:i - 1 + m]))
                 yield part, False
-                part, size = [], 0
-            part.append((name, seq[i:i + most + window - 1]))
-            size += need
+                part, size, begin = [], 0, i
+                alone = named + _PER_WINDOW + sum(map(len, seq[i:i + m])) + _PER_WORD * m
+            size += max(need, alone)
+        part.append((name, seq[begin:]))
     if part:
         yield part, True
 
@@ -162,11 +220,11 @@ def _columns(rows: list[tuple[int, int, set]], share: int) -> list[pa.Array]:
 
 def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = WINDOW, share: int = SHARE,
-         part_words: int = PART_WORDS) -> DataFrame:
+         part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items_sha256 and contaminated."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
-    parts = _parts(benchmark, item_id, item_text, window, part_words)
+    parts = _parts(benchmark, item_id, item_text, window, part_bytes)
     part, last = next(parts, ([], True))
     if last:
         shared = Shared(spark, build(part, window))

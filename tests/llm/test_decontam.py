@@ -1,5 +1,6 @@
 import gc
 import hashlib
+import pickle
 import random
 import re
 import weakref
@@ -35,11 +36,11 @@ ITEMS = [(1, "the quick brown fox jumps over the lazy dog while seven wizards br
          (6, "word12 Ünïcode12 word13 Ünïcode13 word14"), (7, "straße straße straße")]
 
 
-@pytest.mark.parametrize("part_words", [1_000_000, 10])
-def test_odd_documents(spark, part_words):
+@pytest.mark.parametrize("part_bytes", [1_000_000, 10])
+def test_odd_documents(spark, part_bytes):
     docs = documents(spark).where("doc_id is null or doc_id <> 7")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontam.mark(docs, bench, part_words=part_words)
+    got = decontam.mark(docs, bench, part_bytes=part_bytes)
     assert got.columns[:len(docs.columns)] == docs.columns and got.columns[len(docs.columns)] == "_n_words"
     rows = got.collect()
     assert len(rows) == docs.count()
@@ -47,6 +48,11 @@ def test_odd_documents(spark, part_words):
         assert tuple(r)[len(docs.columns):] == brute(r.text, ITEMS), r.text
 
 
+def held(table):
+    arrays = (table.offsets, table.keys, table.places, table.owned, table.owners)
+    return len(table.shifts) + len(table.text) + sum(a.nbytes for a in arrays) + sum(len(n or "") for n in table.names)
+
+
 def test_parts_are_bounded_and_held_one_at_a_time(spark, monkeypatch):
     docs = documents(spark).where("doc_id in (1, 8, 9)")
     made, sizes, real = [], [], decontam.build
@@ -56,17 +62,47 @@ def test_parts_are_bounded_and_held_one_at_a_time(spark, monkeypatch):
         assert not any(t() for t in made)  # those of the parts before
         tables = real(items, window)
         made.extend(map(weakref.ref, tables))
-        sizes.append(sum(len(p) for t in tables for p in t.owners))
+        sizes.append(sum(map(held, tables)))
         return tables
 
     monkeypatch.setattr(decontam, "build", build)
     bench = spark.createDataFrame(ITEMS[:5], "item_id long, text string")
-    rows = decontam.mark(docs, bench, part_words=30).collect()
-    assert len(sizes) == 3 and max(sizes) <= 30  # the first item alone has 52 window words
+    rows = decontam.mark(docs, bench, part_bytes=400).collect()
+    assert len(sizes) == 3 and max(sizes) <= 400  # the first item alone needs more
     for r in rows:
         assert tuple(r)[len(docs.columns):] == brute(r.text, ITEMS[:5]), r.text
 
 
+def test_size_of_a_full_part():
+    """300,000 items: a part's tables, as they are sent, take what the bound says."""
+    rng = random.Random(5)
+    vocabulary = [f"w{rng.randrange(1 << 40):x}".encode() for _ in range(200_000)]
+    items = [(str(n), rng.choices(vocabulary, k=rng.choice([13, 13, 13, 5, 20]))) for n in range(300_000)]
+
+    class Rows:
+        select = lambda self, *_: self
+        toLocalIterator = lambda self: ((n, b" ".join(w).decode()) for n, w in items)
+
+    windows, parts = 0, 0
+    for part, _ in decontam._parts(Rows(), "id", "text", 13, decontam.PART_BYTES):
+        tables = decontam.build(part)
+        windows += sum(len(t.owners) for t in tables)
+        parts += 1
+        assert len(pickle.dumps(tables)) <= decontam.PART_BYTES
+    assert parts > 1 and windows == sum(max(1, len(w) - 12) for _, w in items)
+
+
+def test_windows_of_many_items_and_equal_blocks():
+    """Windows with the same first and last words; one that every item has."""
+    common = [b"w%d" % i for i in range(13)]
+    items = [(n, [b"a", b"b", b"%d" % n, *common[:8], b"y", b"z"]) for n in range(50)] + [(n, common) for n in range(70)]
+    tables = decontam.build(items)
+    for n in (0, 49):
+        assert decontam.search([b"q"] + items[n][1] + [b"q"], tables) == ([(1, 14)], {n})
+    assert decontam.search(common + [b"q"] + common, tables) == ([(0, 13), (14, 27)], set(range(70)))
+    assert decontam.search([b"a", b"b", b"50", *common[:8], b"y", b"z"], tables) == ([], set())
+
+
 def test_long_text(spark):
     docs = documents(spark).where("doc_id = 7").select("doc_id", "text")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
