@@ -166,11 +166,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = marked.join(joined, marked.fp == joined.node, "left").select(
         "id", "hash", F.coalesce("root", "fp").alias("root"))
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("m")
-    keep = stored(roots.groupBy("root").agg(best).select(F.col("m.id").alias("k_id"), F.col("m.hash").alias("k_hash"))
+    keep = stored(roots.groupBy("root").agg(best).select(F.col("m.id").alias("id"), F.col("m.hash").alias("hash"))
                   .distinct(), "simhash-keep")
+    # rows are counted without their texts; only the rows of a repeated key are numbered
+    counted = marked.groupBy("id", "hash").agg(F.count("*").alias("n"))
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.hash") == F.col("k.hash"))
+    kept = counted.alias("r").join(keep.withColumn("kept", F.lit(True)).alias("k"), same, "left")
+    fate = stored(kept.where("kept is null or n > 1").select("r.id", "r.hash", F.col("kept").isNotNull().alias("kept")),
+                  "simhash-fate")
+    known = fate.select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), "kept")
+    at = keyed[row_id].eqNullSafe(known.f_id) & (keyed[row_hash] == known.f_hash)
+    out = keyed.join(known, at, "left_anti").select(*docs.columns)
+    if fate.where("kept").isEmpty():
+        return out
     first = Window.partitionBy(row_id, row_hash).orderBy(F.lit(1))
     rank = free_name([*docs.columns, row_id, row_hash], "row_rank")
-    once = keyed.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= 1)
-    return once.join(keep, once[row_id].eqNullSafe(keep.k_id) & (once[row_hash] == keep.k_hash), "left_semi") \
-        .select(*[once[c] for c in docs.columns])
-
+    again = keyed.join(known.where("kept"), at, "left_semi")
+    once = again.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= 1)
+    return out.union(once.select(*docs.columns))

@@ -88,6 +88,19 @@ def test_one_row_of_each_group_stays(spark):
     assert simhash.drop_near_copies(docs.where("doc_id is null")).count() == 2  # the text and the empty text
 
 
+def test_only_rows_of_repeated_keys_are_numbered(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "x"), (3, "p q r s t u v", "x"), (3, "p q r s t u v", "x"),
+            (3, "k l m n o", "x"), (None, "", "x"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == \
+        sorted([(1, rows[0][1]), (3, rows[2][1]), (3, rows[4][1]), (None, "")], key=str)
+    alone = simhash.drop_near_copies(docs.where("doc_id in (1, 2)"))
+    assert [r.doc_id for r in alone.collect()] == [1]
+    assert "Window" not in alone._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_table(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0
     assert simhash.drop_near_copies(empty(spark)).count() == 0
