@@ -97,6 +97,39 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 CHUNK = 1 << 18
 
 
+def characters(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 texts as numbers (a character's bytes, the first
+    one lowest), and the offsets of the texts among them.  ASCII comes back as
+    it is.  Damaged UTF-8 is cut before each byte that may start a character."""
+    if not len(raw) or raw.max() < 0x80:
+        return raw, offs
+    filled = np.flatnonzero(np.diff(offs))
+    lead = (raw & 0xC0) != 0x80
+    lead[offs[filled]] = True
+    count = np.zeros(len(offs), np.int64)
+    count[filled + 1] = np.add.reduceat(lead, offs[filled], dtype=np.int64)
+    parts = []
+    for a in range(0, len(raw), CHUNK):
+        at = a + np.flatnonzero(lead[a:a + CHUNK])
+        code, inside = raw[at].astype(np.uint32), np.ones(len(at), bool)
+        for j in (1, 2, 3):
+            near = np.minimum(at + j, len(raw) - 1)
+            inside &= (at + j < len(raw)) & ~lead[near]
+            code |= np.where(inside, raw[near].astype(np.uint32) << np.uint32(8 * j), np.uint32(0))
+        parts.append(code)
+    return np.concatenate(parts), np.cumsum(count)
+
+
+def sampled(rows: DataFrame, key: str, label: str, rates: dict) -> DataFrame:
+    """The rows whose ``key``, a 64-bit hash of what makes them differ, falls
+    under their label's rate, in any layout of the files the same; rows of one
+    key count once."""
+    limit = F.lit(None).cast("long")
+    for value, rate in rates.items():
+        limit = F.when(F.col(label) == value, int(rate * (1 << 40))).otherwise(limit)
+    return rows.where(F.col(key).bitwiseAND(F.lit((1 << 40) - 1)) < limit).dropDuplicates([label, key])
+
+
 def gram_buckets(raw: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Bucket, of 2**bits, of the n-gram at every position that has ``order``
     bytes."""

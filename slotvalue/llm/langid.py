@@ -9,7 +9,8 @@ negated losses; a document whose share is below ``AMBIGUOUS`` is flagged.
 
 Training: logistic loss, AdaGrad steps in numpy on the driver, over a sample
 of labelled rows of at most ``SAMPLE`` rows in expectation, spread evenly over
-the languages.  N-grams are counted in tasks; only their hashed counts reach
+the languages and picked by a hash of label and text, so the layout of the files
+plays no part; equal texts of one label are learned from once.  N-grams are counted in tasks; only their hashed counts reach
 the driver (at most 2**BITS per sampled row).  The codebook holds one codeword
 per language, so the set of languages must fit on the driver.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotvalue.llm.common import LOWER, Shared, gram_counts, gram_means, map_columns, text_buffer
+from slotvalue.llm.common import LOWER, Shared, gram_counts, gram_means, map_columns, sampled, text_buffer
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -85,7 +86,8 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
     if not found:
         return None
     each = sample / len(found)
-    picked = rows.sampleBy("lang", {k: min(1.0, each / n) for k, n in found.items()}, seed)
+    picked = sampled(rows.withColumn("key", F.xxhash64("lang", "text")), "key", "lang",
+                     {k: min(1.0, each / n) for k, n in found.items()})
 
     def counted(texts: pa.Array) -> list[pa.Array]:
         raw, offs = text_buffer(texts)
@@ -93,8 +95,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str =
         return [pa.array([i.tobytes() for i, _ in grams], pa.binary()),
                 pa.array([v.tobytes() for _, v in grams], pa.binary())]
 
-    got = map_columns(picked.select("lang", "text"), [F.col("text")], counted,
-                      [("idx", "binary"), ("cnt", "binary")]).select("lang", "idx", "cnt").collect()
+    got = map_columns(picked, [F.col("text")], counted,
+                      [("idx", "binary"), ("cnt", "binary")]).select("key", "lang", "idx", "cnt").collect()
+    got.sort(key=lambda r: (r["key"], r["lang"]))
     languages = sorted(found)
     return _learn([(languages.index(r["lang"]), np.frombuffer(r["idx"], np.uint16).astype(np.int64),
                     np.frombuffer(r["cnt"], np.float32)) for r in got], languages, seed)

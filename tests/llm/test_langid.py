@@ -62,3 +62,10 @@ def test_codewords_differ_and_correct_errors():
         margins[:, :wrong] *= -1
         best, _ = langid.decode(langid.Model([], book, np.zeros(0), np.zeros(0)), margins)
         assert best.tolist() == list(range(n))
+
+
+def test_model_does_not_depend_on_the_layout(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("text", "lang")
+    one = langid.fit(docs, F.lit(True), sample=60)
+    two = langid.fit(docs.union(docs).repartition(7, "text"), F.lit(True), sample=120)
+    assert (one.weights == two.weights).all() and (one.bias == two.bias).all() and one.weights.any()
