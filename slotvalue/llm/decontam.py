@@ -51,11 +51,11 @@ from slotvalue.session import scratch_path
 
 WINDOW = 13
 SHARE = 20
-PART_BYTES = 48 << 20
+PART_BYTES = 64 << 20
 BLOCK = 2
 #: Bytes that a table needs besides the words' own: a word's offset, blank and
 #: share of the shift table; a window's key, place and owner; an item's name.
-_PER_WORD, _PER_WINDOW, _PER_ITEM = 9, 24, 100
+_PER_WORD, _PER_WINDOW, _PER_ITEM = 21, 24, 100
 #: Word bytes, A-Z lower-cased; every other byte becomes a blank.
 _WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20
                for b in range(256))
@@ -70,7 +70,7 @@ class Table:
     """Shift table and windows of one length."""
     length: int
     block: int
-    shifts: bytes            # by hash of a block: positions to skip, 0 at the end of a window
+    shifts: bytes            # by hash of a block: positions to skip, 0 at the end of a window; _BEGINS: it begins one
     text: bytes              # the items' words, each with a blank after it
     offsets: np.ndarray      # first byte of every word, and the end
     keys: np.ndarray         # of the distinct windows, sorted: halves of the hashes of their last and first blocks
@@ -79,9 +79,9 @@ class Table:
     owners: np.ndarray
     names: list              # of the items
 
-    def matches(self, last: int, seq: list[bytes]) -> Iterator[int]:
-        """Numbers of the windows that are ``seq``, whose last block hashes to ``last``."""
-        key = np.uint64((last & ~_HALF) | (_hash(b" ".join(seq[:self.block])) >> 32))
+    def matches(self, last: int, first: int, seq: list[bytes]) -> Iterator[int]:
+        """Numbers of the windows that are ``seq``, whose last and first block have these hashes."""
+        key = np.uint64((last & ~_HALF) | (first >> 32))
         whole, i = b" ".join(seq), int(np.searchsorted(self.keys, key))
         while i < len(self.keys) and self.keys[i] == key:
             at = self.places[i]
@@ -92,6 +92,7 @@ class Table:
 
 _hash = xxhash.xxh3_64_intdigest
 _HALF = (1 << 32) - 1
+_BEGINS = 128
 
 
 def build(items: list[tuple[object, list[bytes]]], window: int = WINDOW) -> list[Table]:
@@ -121,11 +122,12 @@ def _table(m: int, items: list[tuple[object, list[bytes]]]) -> Table:
     owner = np.repeat(np.arange(len(items), dtype=np.int32), counts)
     starts = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
     blocks = hashed(np.arange(len(offsets) - block), block)
-    slots = 1 << len(blocks).bit_length() + 1
+    slots = 1 << len(blocks).bit_length() + 3  # so sparse that few blocks share a slot
     slot = (blocks & np.uint64(slots - 1)).astype(np.int64)
-    shifts = np.full(slots, min(m - block + 1, 255), np.uint8)
+    shifts = np.full(slots, min(m - block + 1, _BEGINS - 1), np.uint8)
     for at in range(m - block + 1):  # nearer the end, so the smaller shift stays
-        shifts[slot[starts + at]] = min(m - block - at, 255)
+        shifts[slot[starts + at]] = min(m - block - at, _BEGINS - 1)
+    shifts[slot[starts]] |= _BEGINS
 
     keys = (blocks[starts + m - block] & ~np.uint64(_HALF)) | (blocks[starts] >> np.uint64(32))
     whole = hashed(starts, m)
@@ -153,13 +155,15 @@ def search(seq: list[bytes], tables: list[Table]) -> tuple[list[tuple[int, int]]
         mask, seen = len(shifts) - 1, set()
         while at <= n:
             last = _hash(b" ".join(seq[at - block:at]))
-            step = shifts[last & mask]
+            step = shifts[last & mask] & ~_BEGINS
             if not step:
-                for i in t.matches(last, seq[at - m:at]):
-                    spans.append((at - m, at))
-                    if i not in seen:
-                        seen.add(i)
-                        found.update(t.names[o] for o in t.owners[t.owned[i]:t.owned[i + 1]])
+                first = _hash(b" ".join(seq[at - m:at - m + block]))
+                if shifts[first & mask] & _BEGINS:
+                    for i in t.matches(last, first, seq[at - m:at]):
+                        spans.append((at - m, at))
+                        if i not in seen:
+                            seen.add(i)
+                            found.update(t.names[o] for o in t.owners[t.owned[i]:t.owned[i + 1]])
                 step = 1
             at += step
     return merged(spans), found
