@@ -13,7 +13,7 @@ from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT
                                     PLACEHOLDER, REPORT_SLOTS, LISTING_PAGE, LISTING_DEEP, LISTING_SIZE, CATEGORY,
                                     COMPARE_FIRST, DISPLAY_SLOTS, PAGE_ORDERS)
 from slotvalue.session import scratch_path
-from slotvalue.sources import docindex, files, pages, tables
+from slotvalue.sources import coltypes, docindex, files, pages, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,6 +135,24 @@ def q_load_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "class_year", "slot", "name", "exposure", "value", "value2", "base_id", "player_id")
 
 
+def _lottery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as HTML tables, with a column of ``TRUE``, ``FALSE`` and ``NA``."""
+    slot = F.col("Pk").try_cast("bigint")
+    raw = tables.raw_entrants(spark, sf_dir).withColumn(
+        "Lot", F.when(slot.isNull(), "NA").when(slot <= LOTTERY, "TRUE").otherwise("FALSE"))
+    return tables.rendered_pages(raw, clean.PAGE_COLUMNS + ["Lot"], PAGE_ORDERS)
+
+
+def q_page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of each column of each rendered page's table."""
+    return coltypes.column_types(_lottery_pages(spark, sf_dir), first_only=True)
+
+
+def q_typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered pages' tables, stacked, in the types all pages agree on."""
+    return coltypes.typed_table(_lottery_pages(spark, sf_dir), clean.PAGE_COLUMNS + ["Lot"])
+
+
 def _report(spark: SparkSession, sf_dir: str, chosen: list[int] | None) -> DataFrame:
     ex = _exemplars(spark, sf_dir).withColumn("player_id", F.col("id").cast("string"))
     images = files.image_paths(tables.read_table(spark, sf_dir, "labels"), "doc_id")
@@ -299,6 +317,8 @@ QUERIES: dict[str, Query] = {
     "class_union": q_class_union,
     "page_entrants": q_page_entrants,
     "load_pages": q_load_pages,
+    "page_types": q_page_types,
+    "typed_table": q_typed_table,
     "slot_report": q_slot_report,
     "slot_report_display": q_slot_report_display,
     "slot_report_files": q_slot_report_files,

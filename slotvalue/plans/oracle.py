@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from slotvalue.plans.params import (AS_OF, FIRST_ROUND, FLOAT_DIGITS, FOCUS_SLOT, LOTTERY, MATURITY_YEARS,
                                     PLACEHOLDER, LISTING_PAGE, LISTING_DEEP, LISTING_SIZE, CATEGORY, COMPARE_FIRST,
-                                    DISPLAY_SLOTS)
+                                    DISPLAY_SLOTS, PAGE_ORDERS)
 
 D = FLOAT_DIGITS
 
@@ -251,6 +251,43 @@ SELECT class_year, slot, name, exposure, value, value2, base_id,
 FROM keyed
 """
 
+# The rendered orders as they are, before any HTML: which cells are missing and
+# what the others are follows from the order itself.
+RENDERED = f"""
+rendered AS (
+  SELECT CAST(floor(o.o_orderkey / {PAGE_ORDERS}) * 10000 + year(o.o_orderdate) AS BIGINT) AS page_id,
+         CAST(year(o.o_orderdate) AS BIGINT) AS class_year, o.o_orderkey, o.o_orderstatus = 'P' AS header,
+         CAST(c.c_nationkey + 1 AS BIGINT) AS slot, c.c_name AS name, CAST(l.n AS BIGINT) AS n, o.o_totalprice AS price,
+         CAST(row_number() OVER (PARTITION BY floor(o.o_orderkey / {PAGE_ORDERS}), year(o.o_orderdate)
+                                 ORDER BY o.o_orderkey) AS BIGINT) AS row_pos
+  FROM orders o
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey
+)"""
+
+SQL["page_types"] = f"""
+WITH {RENDERED},
+p AS (
+  SELECT page_id, count(*) AS cells, count(n) AS played, count_if(header) AS headers FROM rendered GROUP BY page_id
+)
+SELECT page_id, CAST(0 AS BIGINT) AS table_idx, CAST(t.i AS BIGINT) AS col_idx, t.name AS col_name, cells AS n_cells,
+       CAST(CASE WHEN t.name IN ('Yrs', 'WS') THEN cells - played WHEN t.name = 'Lot' THEN headers ELSE 0 END AS BIGINT) AS n_missing,
+       CASE t.name WHEN 'Pk' THEN CASE WHEN headers > 0 THEN 'text' ELSE 'integer' END
+                   WHEN 'Player' THEN 'text'
+                   WHEN 'Yrs' THEN CASE WHEN played > 0 THEN 'integer' ELSE 'logical' END
+                   WHEN 'WS' THEN CASE WHEN played > 0 THEN 'double' ELSE 'logical' END
+                   WHEN 'VORP' THEN 'double' ELSE 'logical' END AS type
+FROM p, (VALUES (0, 'Pk'), (1, 'Player'), (2, 'Yrs'), (3, 'WS'), (4, 'VORP'), (5, 'Lot')) t(i, name)
+"""
+
+SQL["typed_table"] = f"""
+WITH {RENDERED}
+SELECT page_id, class_year, row_pos, CASE WHEN header THEN 'Pk' ELSE CAST(slot AS VARCHAR) END AS "Pk", name AS "Player",
+       n AS "Yrs", CASE WHEN n IS NOT NULL THEN price / 1000 END AS "WS", price AS "VORP",
+       CASE WHEN NOT header THEN slot <= {LOTTERY} END AS "Lot"
+FROM rendered
+"""
+
 SQL["page_scan"] = f"""
 SELECT page_id, url, TRY_CAST(regexp_extract(url, '{CLASS_IN_URL}', 1) AS BIGINT) AS class_year,
        CAST(length(html) AS BIGINT) AS n_chars
