@@ -174,7 +174,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = counted.alias("r").join(keep.withColumn("kept", F.lit(True)).alias("k"), same, "left")
     fate = stored(kept.where("kept is null or n > 1").select("r.id", "r.hash", F.col("kept").isNotNull().alias("kept")),
                   "simhash-fate")
-    known = fate.select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), "kept")
+    # always dealt by key, whatever the size: the keys to drop grow with the rows.  Both joins use one exchange
+    known = fate.select(F.col("id").alias("f_id"), F.col("hash").alias("f_hash"), "kept").hint("shuffle_hash")
     at = keyed[row_id].eqNullSafe(known.f_id) & (keyed[row_hash] == known.f_hash)
     out = keyed.join(known, at, "left_anti").select(*docs.columns)
     if fate.where("kept").isEmpty():
