@@ -187,14 +187,16 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _streamed(df: DataFrame, keys: list[str], order: list[str], fn: Callable, schema: str) -> DataFrame:
     """``fn(rows)`` over the rows of every task, those of a key side by side
-    and in order; memory does not grow with a key's rows."""
+    and in order; memory does not grow with a key's rows.  They are dealt by a
+    hash of the key: dealt by the key itself, Spark would leave that out behind a
+    join on the same key, and may then cut a key's rows to even out the join."""
     cols = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (dict(zip(cols, row)) for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
         yield from fn(rows)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _batches(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]], size: int = 256) -> Iterator[pa.RecordBatch]:

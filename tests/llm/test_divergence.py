@@ -76,6 +76,23 @@ def test_odd_documents(spark):
     check(docs)  # no term is in ten documents: pairs of value 0 only
 
 
+def test_keys_stay_whole_behind_a_join_that_is_evened_out(spark):
+    """Without broadcasts, a shard's counts of many sources are a skewed side."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.files.maxPartitionBytes": "16k",
+            "spark.sql.files.openCostInBytes": "16k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        check(corpus(spark, 4, n=1500, langs=("en",), sources=90).repartition(16), min_docs=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_ties_go_by_the_terms_bytes(spark):
     rows = [("en", f"s{i % 2}", " ".join(f"w{c}" for c in ("abcdefghijklmnopq" if i % 2 else "zyx"))) for i in range(30)]
     df = spark.createDataFrame(rows, "lang string, source string, text string")
