@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotvalue.functions.text import NUMERIC, parse_number
-from slotvalue.sources.pages import page_tables, raw_table
+from slotvalue.sources.pages import page_tables, raw_table, stored_rows
 
 # Fixed values of the conversion rules.
 TRUE_WORDS = ["T", "TRUE", "true"]
@@ -39,14 +39,19 @@ LOGICAL_BIT, INTEGER_BIT, DOUBLE_BIT, TEXT_BIT = 1, 2, 4, 8
 SPARK_TYPES = {"logical": "boolean", "integer": "bigint", "double": "double", "text": "string"}
 
 
+def _bare(c: Column) -> Column:
+    """Text without the white space around it (tabs and line ends too)."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
+
+
 def is_missing(c: Column) -> Column:
-    return c.isNull() | c.rlike(r"^\s*$") | (F.trim(c) == MISSING_WORD)
+    return c.isNull() | c.rlike(r"^\s*$") | (_bare(c) == MISSING_WORD)
 
 
 def cell_kind(c: Column) -> Column:
     """The bit of a cell's own type; 0 for a missing cell."""
     return (F.when(is_missing(c), 0)
-            .when(F.trim(c).isin(TRUE_WORDS + FALSE_WORDS), LOGICAL_BIT)
+            .when(_bare(c).isin(TRUE_WORDS + FALSE_WORDS), LOGICAL_BIT)
             .when(c.rlike(INTEGER) & (F.abs(parse_number(c)) <= MAX_INTEGER), INTEGER_BIT)
             .when(c.rlike(NUMERIC) | c.rlike(SPECIAL), DOUBLE_BIT)
             .otherwise(TEXT_BIT))
@@ -64,13 +69,13 @@ def typed(c: Column, name: str) -> Column:
     """Text cells as a column of the named type.  Missing cells are NULL, but
     blank text stays in a text column."""
     if name == "text":
-        return F.when(F.trim(c) != MISSING_WORD, c)
+        return F.when(_bare(c) != MISSING_WORD, c)
     if name == "logical":
-        return F.when(F.trim(c).isin(TRUE_WORDS), True).when(F.trim(c).isin(FALSE_WORDS), False)
+        return F.when(_bare(c).isin(TRUE_WORDS), True).when(_bare(c).isin(FALSE_WORDS), False)
     if name == "integer":
-        return F.when(c.rlike(INTEGER), F.trim(c).try_cast("bigint"))
+        return F.when(c.rlike(INTEGER), _bare(c).try_cast("bigint"))
     if name == "double":
-        return F.when(c.rlike(NUMERIC) | c.rlike(SPECIAL), F.trim(c).try_cast("double"))
+        return F.when(c.rlike(NUMERIC) | c.rlike(SPECIAL), _bare(c).try_cast("double"))
     raise ValueError(f"no such type: {name}")
 
 
@@ -99,8 +104,10 @@ def typed_table(pages: DataFrame, columns: Sequence[str], header_row: int | None
     row_pos and ``columns``, each in the one type that holds its cells on all
     pages.  Where ``types`` are given (column to ``logical``, ``integer``,
     ``double`` or ``text``) the pages are read once and a cell that does not fit
-    is NULL; else a first pass over the pages infers them."""
+    is NULL; else the rows are stored and a first pass over them infers them."""
     raw = raw_table(pages, columns, header_row)
+    if types is None:
+        raw = stored_rows(raw)
     known = dict(types) if types is not None else stacked_types(raw, columns)
     return raw.select("page_id", "class_year", "row_pos",
                       *[typed(F.col(f"`{c}`"), known[c]).cast(SPARK_TYPES[known[c]]).alias(c) for c in columns])

@@ -50,6 +50,19 @@ def test_any_columns(spark, columns):
     assert got == {i: expected(c) for i, c in enumerate(columns)}
 
 
+def test_white_space_around_words_and_numbers(spark):
+    columns = [["F\t"], ["\tNA\n"], ["\t7 "], ["\n1.5\r"], ["x\t"]]
+    assert types_of(spark, columns) == {0: "logical", 1: "logical", 2: "integer", 3: "double", 4: "text"}
+    cells = spark.createDataFrame([("F\t", "\t7", "1.5\n", "\tNA")], "a string, b string, c string, d string")
+    kinds = {"a": "logical", "b": "integer", "c": "double", "d": "text"}
+    assert tuple(cells.select(*[coltypes.typed(F.col(c), k) for c, k in kinds.items()]).head()) == (False, 7, 1.5, None)
+
+
+def test_inferred_types_walk_the_pages_once(stored):
+    plan = coltypes.typed_table(stored, ["Pk", "WS"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan and "Scan parquet" in plan
+
+
 def page(rows, head=("Pk", "Player", "WS")):
     def line(tag, cells):
         return "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
