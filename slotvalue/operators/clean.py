@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from slotvalue.functions.text import empty_zero_number, parse_number
 from slotvalue.operators.keys import entity_key
-from slotvalue.sources.pages import raw_table
+from slotvalue.sources.pages import raw_table, stored_rows
 
 
 # Column names of the page tables.
@@ -41,6 +41,7 @@ def clean_entrants(raw: DataFrame, *, slot_col: str = "Pk", name_col: str = "Pla
 def load_pages(pages: DataFrame, header_row: int | None = None) -> DataFrame:
     """Typed entrants with their entity keys, straight from stored pages: the
     first table of each page, its class from the page's url.  Equal names are
-    numbered by class, page and row."""
-    typed = clean_entrants(raw_table(pages, PAGE_COLUMNS, header_row), keep=["page_id"])
+    numbered by class, page and row.  The rows are stored, as numbering reads
+    them several times."""
+    typed = clean_entrants(stored_rows(raw_table(pages, PAGE_COLUMNS, header_row)), keep=["page_id"])
     return entity_key(typed, order=("class_year", "page_id", "row_pos"))

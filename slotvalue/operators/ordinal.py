@@ -98,7 +98,9 @@ def _with_buckets(df: DataFrame, order: list[tuple[str, bool]], parts: int) -> t
         tie = F.coalesce(F.try_element_at(at, F.col(f"_below{i}") + 1) == p, F.lit(False)) if exact else F.lit(False)
         code = 2 * F.col(f"_below{i}") + tie.cast("int")
         code = F.when(null, 2 * m + 3).when(nan(c), -1 if desc else 2 * m + 2).otherwise(code)
-        out = out.withColumn(f"_b{i}", F.when(split, code).otherwise(F.lit(-2)))
+        # never NULL, and Spark knows it: else it tests the buckets' join keys for NULL early, on the rows below an
+        # aggregate that makes ``df``, and works them out for each of those
+        out = out.withColumn(f"_b{i}", F.coalesce(F.when(split, code), F.lit(-2)))
         names.append(f"_b{i}")
         split = split & (null | nan(c) | tie)
     return out, names

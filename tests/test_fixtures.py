@@ -303,6 +303,32 @@ def test_pages_to_entrants(spark):
                    (2005, 1.0, "Anna Smithers", 1.0, 2.0, 3.0, "smithan2"), (2005, 1.5, "Bo Half", 1.0, None, 3.0, "halfbo")]
 
 
+def test_cells_are_handed_on_a_few_at_a_time(spark, monkeypatch):
+    """A task never holds the cells of many pages, and a page's may go out in several parts."""
+    body = "".join(f"<tr><td>{i}</td><td>n{i}</td></tr>" for i in range(20))
+    pg = spark.createDataFrame([(i, f"http://h/{i}", f"<table><tr><th>Pk</th><th>Player</th></tr>{body}</table>") for i in range(30)],
+                               "page_id long, url string, html string").coalesce(1)
+    whole = rows(pages.page_tables(pg))
+    monkeypatch.setattr(pages, "CELLS_OUT", 7)
+    assert rows(pages.page_tables(pg)) == whole and len(whole) == 30 * 42
+
+
+def test_wide_rows_take_one_aggregate(spark):
+    pg = spark.createDataFrame([(1, "http://h/1", "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"),
+                                (1, "http://h/1", "<table><tr><th>c</th></tr><tr><td>9</td></tr></table>")],
+                               "page_id long, url string, html string")
+    wide = pages.raw_table(pg, ["a", "b", "c", "d"])
+    assert [tuple(r) for r in wide.collect()] == [(1, 1, 1, "1", "2", "9", None)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_buckets_are_not_worked_out_below_an_aggregate(spark):
+    cells = spark.range(400).select((F.col("id") % 5).alias("k"), (F.col("id") / 4).cast("long").alias("o"), F.col("id").cast("string").alias("c"))
+    made = cells.groupBy("k", "o").agg(F.first("c").alias("c"))
+    plan = keys.number_within(made, ["c"], ["k", "o"], buckets=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "lambdafunction" in line]
+
+
 def test_first_table_is_that_of_the_whole_page(spark):
     """Stopping at its end gives what the whole page gives."""
     odd = ["<table><tr><td>a<table><tr><td>in</td></tr></table>b</td></tr></table><ul><li>x</li></ul>", "<ul><li>open",
